@@ -21,7 +21,9 @@ keys.  The statistic needs no dense grid: with margins r_i, c_j and total n,
 the cells that were not observed contribute their expected count and
 sum(e) = n, so
 
-    chi2 = sum_observed (o - e)^2 / e  +  (n - sum_observed e).
+    chi2 = sum_observed (o - e)^2 / e  +  (n^2 - sum_observed r_i c_j) / n,
+
+the second term in exact integer (decimal) arithmetic.
 
 Yates' correction (dof = 1, a 2x2 table) uses that |o - e| is the same in
 all four cells and sum(1/e) = n * sum_i(1/r_i) * sum_j(1/c_j).  Everything
@@ -146,13 +148,16 @@ def chi_square_statistic(
     m = _with_margins(cells, row, col)
     o = F.col("observed").cast("double")
     e = F.col("_r").cast("double") * F.col("_c") / F.col("_n")
+    exact = "decimal(38,0)"
     # n rides along the observed cells: one window over the cells (R x C at most).
     stats = (
         m.withColumn("_n", F.sum("observed").over(Window.partitionBy()))
         .agg(
             F.first("_n").cast("double").alias("n"),
+            F.first("_n").cast(exact).alias("_n_exact"),
             F.sum((o - e) * (o - e) / e).alias("_obs_term"),
-            F.sum(e).alias("_obs_e"),
+            # sum of r_i * c_j over observed cells, exactly (integers)
+            F.sum(F.col("_r").cast(exact) * F.col("_c").cast(exact)).alias("_obs_rc"),
             F.sum(1.0 / (F.col("_r") * F.col("_kr"))).alias("_inv_r"),
             F.sum(1.0 / (F.col("_c") * F.col("_kc"))).alias("_inv_c"),
             F.count_distinct(row).alias("n_rows"),
@@ -160,7 +165,12 @@ def chi_square_statistic(
         )
     )
     dof = (F.col("n_rows") - 1) * (F.col("n_cols") - 1)
-    plain = F.col("_obs_term") + (F.col("n") - F.col("_obs_e"))
+    # Expected counts of the unobserved cells: (n^2 - sum_observed r*c) / n,
+    # exactly 0 when every cell occurs.
+    unobserved_e = (
+        (F.col("_n_exact") * F.col("_n_exact") - F.col("_obs_rc")).cast("double") / F.col("n")
+    )
+    plain = F.col("_obs_term") + unobserved_e
     inv_e = F.col("n") * F.col("_inv_r") * F.col("_inv_c")
     gap = F.sqrt(F.greatest(plain, F.lit(0.0)) / inv_e)
     yates = F.pow(gap - F.least(F.lit(0.5), gap), 2) * inv_e

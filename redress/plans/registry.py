@@ -19,8 +19,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from redress.functions.labels import ISSUE_ABBREVIATIONS, PRODUCT_ABBREVIATIONS
-from redress.operators import association, counts, outcomes, profile, trends
+from redress.operators import association, counts, narratives, outcomes, profile, trends
 from redress.sources.complaints import COMPLAINT_COLUMNS, NULL_PROFILE_COLUMNS
+from redress.sources.narratives import documents_corpus
 from redress.sources.tpch_view import VIEW_SQL, complaints_view
 
 MIN_YEAR = 1996
@@ -196,6 +197,30 @@ def _dispute_by_response(spark, d):
     )
 
 
+def _narrative_model(spark, d):
+    """Complement NB trained on whole document texts (one row per distinct
+    text), labelled by language: the stand-in for narratives labelled by
+    company response, which the test data lacks."""
+    return narratives.train_response_model(documents_corpus(spark, d), "text", "lang")
+
+
+def _score_narratives(spark, d):
+    model = _narrative_model(spark, d)
+    docs = documents_corpus(spark, d, distinct=False)
+    return narratives.score_narratives(model, docs, "text", "doc_id")
+
+
+def _sample_narratives(spark, d):
+    docs = documents_corpus(spark, d, distinct=False)
+    return narratives.sample_narratives(docs, "doc_id", k=5, seed=42).select("doc_id", "lang")
+
+
+def _score_sample(spark, d):
+    model = _narrative_model(spark, d)
+    docs = documents_corpus(spark, d, distinct=False)
+    return narratives.score_sample(model, docs, "text", "doc_id", k=1, seed=42)
+
+
 QUERIES: dict[str, Query] = {
     "sample_rows": _sample_rows,
     "missing_counts": _missing_counts,
@@ -229,6 +254,9 @@ QUERIES: dict[str, Query] = {
     "top_issue_per_year": _top_issue_per_year,
     "response_composition": _response_composition,
     "dispute_by_response": _dispute_by_response,
+    "score_narratives": _score_narratives,
+    "sample_narratives": _sample_narratives,
+    "score_sample": _score_sample,
 }
 
 
@@ -439,6 +467,13 @@ FROM rm CROSS JOIN cm LEFT JOIN cells ON cells.r = rm.r AND cells.c = cm.c"""
     "SELECT year, CAST(year AS VARCHAR) AS mark, MIN(year) OVER () AS year_min,\n"
     "  MAX(year) OVER () AS year_max FROM years",
     "response_trend": _category_trend_sql("company_response_to_consumer"),
+    "response_trend_wide": f"""WITH complaints AS ({VIEW_SQL}),
+counts AS (
+  SELECT date_received, company_response_to_consumer, COUNT(*) AS n FROM complaints
+  WHERE company_response_to_consumer IS NOT NULL GROUP BY 1, 2
+)
+SELECT * FROM (PIVOT counts ON company_response_to_consumer USING COALESCE(FIRST(n), 0)
+               GROUP BY date_received)""",
     "product_trend": _category_trend_sql("product"),
     "product_trend_for": _category_trend_sql(
         "product", "SELECT * FROM smoothed WHERE product = (SELECT MIN(product) FROM cats)"
