@@ -27,7 +27,8 @@ the second term in exact integer (decimal) arithmetic.
 
 Yates' correction (dof = 1, a 2x2 table) uses that |o - e| is the same in
 all four cells and sum(1/e) = n * sum_i(1/r_i) * sum_j(1/c_j).  Everything
-is one aggregation over the observed cells joined to their margins.  Only
+is one aggregation over the observed cells, their margins attached by
+windows over those cells (the raw rows are read once).  Only
 the p-value needs a Python helper (the incomplete gamma function), applied
 to the single result row.
 """
@@ -102,14 +103,21 @@ def crosstab_wide(
     return wide.na.fill(0, subset=[x for x in wide.columns if x != row])
 
 
-def _with_margins(cells: DataFrame, row: str, col: str) -> DataFrame:
-    row_m = cells.groupBy(row).agg(
-        F.sum("observed").alias("_r"), F.count(F.lit(1)).alias("_kr")
-    )
-    col_m = cells.groupBy(col).agg(
-        F.sum("observed").alias("_c"), F.count(F.lit(1)).alias("_kc")
+def _with_margins(cells: DataFrame, row: str, col: str, value: str = "observed") -> DataFrame:
+    """Attach row total ``_r``, column total ``_c``, grand total ``_n`` and
+    the number of cells per row / column (``_kr``, ``_kc``) to each cell.
+
+    Windows over the aggregated cells, so the input is read once (separate
+    margin aggregates joined back would each re-run the input).
+    """
+    by_row, by_col = Window.partitionBy(row), Window.partitionBy(col)
+    return (
+        cells.withColumn("_r", F.sum(value).over(by_row))
+        .withColumn("_kr", F.count(F.lit(1)).over(by_row))
+        .withColumn("_c", F.sum(value).over(by_col))
+        .withColumn("_kc", F.count(F.lit(1)).over(by_col))
+        .withColumn("_n", F.sum(value).over(Window.partitionBy()))
     )
-    return cells.join(row_m, row).join(col_m, col)
 
 
 def expected_counts(
@@ -118,17 +126,14 @@ def expected_counts(
     """``(row, col, observed, expected)`` over the dense table; expected =
     row total x column total / n (the ``expected`` array of the test)."""
     cells = contingency_cells(c, row, col, weight)
-    grid = dense_grid(cells, row, col, "observed", fill=0)
-    row_m = cells.groupBy(row).agg(F.sum("observed").alias("_r"))
-    # n rides along the column margins: one window over the column keys.
-    col_m = cells.groupBy(col).agg(F.sum("observed").alias("_c")).withColumn(
-        "_n", F.sum("_c").over(Window.partitionBy())
-    )
-    return grid.join(row_m, row).join(col_m, col).select(
+    grid = _with_margins(dense_grid(cells, row, col, "observed", fill=0), row, col)
+    return grid.select(
         row,
         col,
         F.col("observed").cast("long").alias("observed"),
-        (F.col("_r") * F.col("_c") / F.col("_n")).alias("expected"),
+        (F.col("_r").cast("double") * F.col("_c").cast("double") / F.col("_n").cast("double")).alias(
+            "expected"
+        ),
     )
 
 
@@ -149,10 +154,8 @@ def chi_square_statistic(
     o = F.col("observed").cast("double")
     e = F.col("_r").cast("double") * F.col("_c") / F.col("_n")
     exact = "decimal(38,0)"
-    # n rides along the observed cells: one window over the cells (R x C at most).
     stats = (
-        m.withColumn("_n", F.sum("observed").over(Window.partitionBy()))
-        .agg(
+        m.agg(
             F.first("_n").cast("double").alias("n"),
             F.first("_n").cast(exact).alias("_n_exact"),
             F.sum((o - e) * (o - e) / e).alias("_obs_term"),

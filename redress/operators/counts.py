@@ -18,8 +18,9 @@ Operators do not sort; top-n operators do, through ``orderBy().limit()``.
 Scale: every grouping key is a low-cardinality categorical; the only shuffles
 carry partially aggregated groups.  Windows without a partition key run on
 aggregated rows (one per distinct product, issue or (issue, sub-issue) pair).
-Default selections (``None`` arguments) are resolved inside the plan with a
-semi join against a one-row top-1 frame, never on the driver.
+Default selections (``None`` arguments) are resolved inside the plan by
+ranking windows over the aggregated groups, never on the driver, and without
+a second pass over the input.
 """
 
 from __future__ import annotations
@@ -66,6 +67,33 @@ def product_subproduct_state(c: DataFrame) -> DataFrame:
     )
 
 
+def _ranked_pairs(c: DataFrame) -> DataFrame:
+    """(product, subproduct) pairs of non-null products with the rank of the
+    product among products (``_product_rank``, by ``COUNT(product)``) and of
+    the sub-product within its product (``position``, by its largest
+    single-state count) -- one aggregation, then windows over the pairs."""
+    triples = (
+        c.where(F.col("subproduct").isNotNull() & F.col("product").isNotNull())
+        .groupBy("product", "subproduct", "state")
+        .agg(F.count("state").alias("_per_state"), F.count(F.lit(1)).alias("_rows"))
+    )
+    pairs = triples.groupBy("product", "subproduct").agg(
+        F.max("_per_state").alias("_best"), F.sum("_rows").alias("_rows")
+    )
+    by_product = Window.partitionBy("product")
+    return (
+        pairs.withColumn("_total", F.sum("_rows").over(by_product))
+        .withColumn(
+            "position",
+            F.row_number().over(by_product.orderBy(F.desc("_best"), F.asc("subproduct"))),
+        )
+        .withColumn(
+            "_product_rank",
+            F.dense_rank().over(Window.orderBy(F.desc("_total"), F.asc("product"))),
+        )
+    )
+
+
 def product_subproduct_lists(c: DataFrame, as_arrays: bool = False) -> DataFrame:
     """Sub-products of each product in first-appearance order.
 
@@ -88,10 +116,13 @@ def product_subproduct_lists(c: DataFrame, as_arrays: bool = False) -> DataFrame
 
 def subproducts_for(c: DataFrame, product: str | None = None) -> DataFrame:
     """``(product, position, subproduct)`` of one product (default: the largest)."""
-    rows = product_subproduct_lists(c)
     if product is not None:
-        return rows.where(F.col("product") == product)
-    return rows.join(products(c).where(F.col("position") == 1).select("product"), "product", "left_semi")
+        return product_subproduct_lists(c).where(F.col("product") == product)
+    return (
+        _ranked_pairs(c)
+        .where(F.col("_product_rank") == 1)
+        .select("product", "position", "subproduct")
+    )
 
 
 def state_counts_for(
@@ -105,12 +136,32 @@ def state_counts_for(
     counts = product_subproduct_state(c)
     if product is not None and subproduct is not None:
         picked = counts.where((F.col("product") == product) & (F.col("subproduct") == subproduct))
-    else:
-        choice = subproducts_for(c, product).where(F.col("position") == 1)
-        if subproduct is not None:
-            choice = subproducts_for(c, product).where(F.col("subproduct") == subproduct)
-        picked = counts.join(choice.select("product", "subproduct"), ["product", "subproduct"], "left_semi")
-    return picked.select("state", "Counts_Complaints")
+        return picked.select("state", "Counts_Complaints")
+    # One pass: rank inside the (product, sub-product, state) groups.
+    triples = (
+        c.where(F.col("subproduct").isNotNull() & F.col("product").isNotNull())
+        .groupBy("product", "subproduct", "state")
+        .agg(F.count("state").alias("Counts_Complaints"), F.count(F.lit(1)).alias("_rows"))
+    )
+    if product is not None:
+        triples = triples.where(F.col("product") == product)
+    by_pair = Window.partitionBy("product", "subproduct")
+    ranked = (
+        triples.withColumn("_best", F.max("Counts_Complaints").over(by_pair))
+        .withColumn("_total", F.sum("_rows").over(Window.partitionBy("product")))
+        .withColumn(
+            "_product_rank",
+            F.dense_rank().over(Window.orderBy(F.desc("_total"), F.asc("product"))),
+        )
+    )
+    ranked = ranked.where(F.col("_product_rank") == 1)
+    if subproduct is not None:
+        return ranked.where(F.col("subproduct") == subproduct).select("state", "Counts_Complaints")
+    ranked = ranked.withColumn(
+        "_sub_rank",
+        F.dense_rank().over(Window.partitionBy("product").orderBy(F.desc("_best"), F.asc("subproduct"))),
+    )
+    return ranked.where(F.col("_sub_rank") == 1).select("state", "Counts_Complaints")
 
 
 # ----------------------------------------------------------------------------
@@ -163,13 +214,13 @@ def top_issue_subissue(
 
     ``(issue, subissue, count, issue_abbrev, issue_total)``: ``issue_total``
     is the sum over the kept rows of the same abbreviation, the bar order of
-    the chart.  The top-issue key set has at most ``n_issues`` rows, so the
-    semi join broadcasts it.
+    the chart.  The issue ranking is a window over the aggregated pairs, so
+    the input is read once.
     """
-    pairs = issue_subissue_counts(c)
-    keys = F.broadcast(top_issues(c, n_issues, pairs).select("issue"))
+    ranked = _rank_issues(issue_subissue_counts(c))
     kept = (
-        pairs.join(keys, "issue", "left_semi")
+        ranked.where(F.col("_issue_rank") <= n_issues)
+        .select("issue", "subissue", "count")
         .orderBy(F.desc("count"), F.asc("issue"), F.asc("subissue"))
         .limit(n_pairs)
     )
@@ -180,6 +231,14 @@ def top_issue_subissue(
     )
 
 
+def _rank_issues(pairs: DataFrame) -> DataFrame:
+    """Add ``_total`` (per-issue sum) and ``_issue_rank`` (1 = largest total,
+    ties to the smaller issue) to the (issue, sub-issue) counts."""
+    return pairs.withColumn("_total", F.sum("count").over(Window.partitionBy("issue"))).withColumn(
+        "_issue_rank", F.dense_rank().over(Window.orderBy(F.desc("_total"), F.asc("issue")))
+    )
+
+
 def issue_subissue_lists(c: DataFrame, as_arrays: bool = False) -> DataFrame:
     """Sub-issues of each issue, issues ordered by total, sub-issues by count.
 
@@ -206,11 +265,8 @@ def subissues_for(c: DataFrame, issue: str | None = None) -> DataFrame:
     """``(subissue, count)`` of one issue label (default: the largest issue)."""
     pairs = issue_subissue_counts(c)
     if issue is not None:
-        picked = pairs.where(F.col("issue") == issue)
-    else:
-        top = issue_totals(c, pairs).where(F.col("position") == 1).select("issue")
-        picked = pairs.join(top, "issue", "left_semi")
-    return picked.select("subissue", "count")
+        return pairs.where(F.col("issue") == issue).select("subissue", "count")
+    return _rank_issues(pairs).where(F.col("_issue_rank") == 1).select("subissue", "count")
 
 
 def _as_arrays(rows: DataFrame, keys, item: str, out: str) -> DataFrame:

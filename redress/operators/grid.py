@@ -3,18 +3,17 @@
 pandas' ``pivot(...).fillna(0)`` and ``crosstab`` both produce the full
 grid of the observed row keys by the observed column keys.  The grid is the
 result itself, so its size is the output size; it is built here without a
-cartesian product:
-
-1. the distinct column keys (C rows) each get the sorted key domain through
-   one window over those C rows;
-2. the observed cells are grouped per row key (R rows) into a map
-   ``column key -> value`` plus an *anchor*, the row's smallest column key;
-3. each row key is equi-joined to the domain through its anchor, and the
-   domain array is exploded into the row's C cells.
-
-The only single-partition step is (1), over the distinct column keys, which
-are low-cardinality categorical values here (responses, products, channels);
-everything sized by the data is grouped or joined on keys.
+cartesian product and from a single pass over the input:
+
+1. every observed cell learns the sorted domain of column keys through one
+   window over the cells (``collect_set`` over an unpartitioned frame);
+2. the cells are grouped per row key into a map ``column key -> value``;
+3. each row key's domain array is exploded into its C cells, and the map
+   supplies the observed values.
+
+The only single-partition step is (1), over the observed cells: aggregated
+(row key, column key) pairs of low-cardinality keys (days x responses, days x
+products, channels x responses), never raw rows.  Everything else is keyed.
 """
 
 from __future__ import annotations
@@ -23,29 +22,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def dense_grid(cells: DataFrame, row: str, col: str, value: str, fill=0) -> DataFrame:
+def dense_grid(
+    cells: DataFrame, row: str, col: str, value: str, fill=0, keep_domain: bool = False
+) -> DataFrame:
     """``cells`` holds at most one row per (row, col) with both keys non-null.
 
     Returns ``(row, col, value)`` for every observed row key by every observed
-    column key, with ``fill`` where the pair was not observed.
+    column key, with ``fill`` where the pair was not observed; with
+    ``keep_domain`` also ``_domain``, the sorted array of column keys.
     """
-    domain = (
-        cells.select(col)
-        .distinct()
-        .select(
-            F.col(col).alias("_anchor"),
-            F.array_sort(F.collect_list(col).over(Window.partitionBy())).alias("_domain"),
-        )
+    tagged = cells.withColumn(
+        "_domain", F.array_sort(F.collect_set(col).over(Window.partitionBy()))
     )
-    per_row = cells.groupBy(row).agg(
-        F.min(col).alias("_anchor"),
+    per_row = tagged.groupBy(row).agg(
+        F.first("_domain").alias("_domain"),
         F.map_from_entries(F.collect_list(F.struct(F.col(col), F.col(value)))).alias("_obs"),
     )
-    grid = per_row.join(domain, "_anchor").select(
-        row, F.explode("_domain").alias(col), "_obs"
-    )
-    return grid.select(
+    grid = per_row.select(row, F.explode("_domain").alias(col), "_obs", "_domain")
+    out = [
         row,
         col,
         F.coalesce(F.try_element_at("_obs", F.col(col)), F.lit(fill)).alias(value),
-    )
+    ]
+    if keep_domain:
+        out.append("_domain")
+    return grid.select(*out)

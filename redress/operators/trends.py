@@ -136,17 +136,15 @@ def category_trend_for(
     """One category's smoothed series; ``value=None`` picks the alphabetically
     first category (the first pivot column).
 
-    The filter is on the window's partition key, so Catalyst applies it
-    before the window.  The grid itself still needs every category, since
-    the date axis is the union of their days.
+    The grid still needs every category, since the date axis is the union of
+    their days; the choice is applied to the grid before the per-category
+    window, using the grid's own sorted category domain (no second pass).
     """
-    trend = category_trend(c, category, window, date_col)
-    if value is not None:
-        return trend.where(F.col(category) == value)
-    first = (
-        c.where(F.col(category).isNotNull()).agg(F.min(category).alias(category))
-    )
-    return trend.join(first, category, "left_semi")
+    counts = category_daily_counts(c, category, date_col)
+    grid = dense_grid(counts, date_col, category, "count", fill=0, keep_domain=True)
+    chosen = F.lit(value) if value is not None else F.element_at("_domain", 1)
+    grid = grid.where(F.col(category) == chosen).drop("_domain")
+    return rolling_mean(grid, "count", date_col, window, partition_cols=[category])
 
 
 def category_trend_wide(
