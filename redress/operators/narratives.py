@@ -107,6 +107,27 @@ def model_labels(model: PipelineModel) -> list[str]:
     raise ValueError("pipeline has no fitted StringIndexer")
 
 
+def model_summary(model: PipelineModel, labelled: DataFrame, label_col: str = "label") -> DataFrame:
+    """``(label, label_index, documents)``: the fitted classes in index order
+    and the training documents per class."""
+    labels = F.array(*[F.lit(x) for x in model_labels(model)])
+    return (
+        labelled.where(F.col(label_col).isNotNull())
+        .groupBy(F.col(label_col).alias("label"))
+        .agg(F.count(F.lit(1)).alias("documents"))
+        .select(
+            "label",
+            (F.array_position(labels, F.col("label")) - 1).cast("int").alias("label_index"),
+            "documents",
+        )
+    )
+
+
+def vocabulary_size(model: PipelineModel) -> int:
+    """Number of terms the fitted vectoriser kept."""
+    return next(len(s.vocabulary) for s in model.stages if hasattr(s, "vocabulary"))
+
+
 def score_narratives(
     model: PipelineModel,
     df: DataFrame,

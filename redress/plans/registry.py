@@ -197,13 +197,34 @@ def _dispute_by_response(spark, d):
     )
 
 
-def _narrative_model(spark, d):
+_MODELS: dict[tuple[str, str], object] = {}
+
+
+def _fit_narrative_model(spark, d):
     """Complement NB trained on whole document texts (one row per distinct
     text), labelled by language: the stand-in for narratives labelled by
     company response, which the test data lacks."""
     return narratives.train_response_model(documents_corpus(spark, d), "text", "lang")
 
 
+def _narrative_model(spark, d):
+    """The fitted model, trained once per application and table folder.
+
+    The reference scores with a model it loads once at start-up; likewise the
+    scoring queries share one fit (``train_response_model`` always refits).
+    """
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _MODELS:
+        _MODELS[key] = _fit_narrative_model(spark, d)
+    return _MODELS[key]
+
+
+def _train_response_model(spark, d):
+    model = _fit_narrative_model(spark, d)
+    _MODELS[(spark.sparkContext.applicationId, d)] = model
+    return narratives.model_summary(model, documents_corpus(spark, d), "lang")
+
+
 def _score_narratives(spark, d):
     model = _narrative_model(spark, d)
     docs = documents_corpus(spark, d, distinct=False)
@@ -254,6 +275,7 @@ QUERIES: dict[str, Query] = {
     "top_issue_per_year": _top_issue_per_year,
     "response_composition": _response_composition,
     "dispute_by_response": _dispute_by_response,
+    "train_response_model": _train_response_model,
     "score_narratives": _score_narratives,
     "sample_narratives": _sample_narratives,
     "score_sample": _score_sample,
@@ -494,6 +516,15 @@ SELECT year, issue, count FROM (
 FROM complaints WHERE company_response_to_consumer IS NOT NULL
 GROUP BY company_response_to_consumer"""
     ),
+    "train_response_model": """
+WITH texts AS (
+  SELECT arg_min(lang, doc_id) AS lang FROM documents WHERE text IS NOT NULL
+  GROUP BY sha256(text), length(text)
+)
+SELECT lang AS label,
+  CAST(DENSE_RANK() OVER (ORDER BY lang ASC) - 1 AS INTEGER) AS label_index,
+  COUNT(*) AS documents
+FROM texts GROUP BY lang""",
     "dispute_by_response": _with_view(
         """SELECT company_response_to_consumer AS Response,
   CASE WHEN consumer_disputed THEN 'True' ELSE 'False' END AS Dispute,

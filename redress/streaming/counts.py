@@ -1,0 +1,92 @@
+"""The start-up counts, kept current over an append-only complaints folder.
+
+The reference computes its grouped counts once, at start-up, from a table
+that keeps growing.  Here the same operators run on a streaming DataFrame
+(Structured Streaming over a parquet folder): the aggregate state holds one
+row per group, each trigger folds the new files in, and every trigger's
+complete snapshot is written whole, after an optional batch step on the
+snapshot (``post``) for what streaming aggregation cannot express (windows
+over rows, shares).  The checkpoint lives under the shared
+``spark.checkpoint.dir``, so a restarted query resumes where it stopped.
+
+No operator here is new: each entry of ``STREAMABLE`` is a batch operator
+from :mod:`redress.operators` applied as is to the stream.
+"""
+
+from __future__ import annotations
+
+import os
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+from redress.operators import association, counts, trends
+from redress.session import checkpoint_dir
+from redress.sources.complaints import COMPLAINT_SCHEMA
+
+RESPONSE = "company_response_to_consumer"
+
+# name -> (aggregate on the stream, default batch step on each snapshot)
+STREAMABLE: dict[str, tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame] | None]] = {
+    "product_counts": (counts.product_counts, None),
+    "product_subproduct_state": (counts.product_subproduct_state, None),
+    "issue_counts": (counts.issue_counts, None),
+    "issue_subissue_counts": (counts.issue_subissue_counts, None),
+    "channel_response_counts": (association.channel_response_counts, None),
+    "daily_trend": (
+        trends.daily_counts,
+        lambda snap: trends.rolling_mean(snap, "count", "date_received"),
+    ),
+    "response_daily_counts": (lambda c: trends.category_daily_counts(c, RESPONSE), None),
+    "product_daily_counts": (lambda c: trends.category_daily_counts(c, "product"), None),
+}
+
+
+def complaint_stream(spark: SparkSession, source: str, max_files: int | None = None) -> DataFrame:
+    """Streaming scan of a folder of complaint parquet files (new files only)."""
+    reader = spark.readStream.schema(COMPLAINT_SCHEMA).format("parquet")
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.load(source)
+
+
+def running_counts(
+    spark: SparkSession,
+    source: str,
+    name: str,
+    sink: str,
+    checkpoint: str | None = None,
+    post: Callable[[DataFrame], DataFrame] | None = None,
+    available_now: bool = True,
+    processing_time: str | None = None,
+) -> StreamingQuery:
+    """Start the streaming form of ``STREAMABLE[name]`` and write each
+    trigger's complete result to ``sink`` (parquet, overwritten whole).
+
+    ``available_now`` processes what is in ``source`` and stops; otherwise
+    the query runs every ``processing_time``.
+    """
+    aggregate, default_post = STREAMABLE[name]
+    step = post or default_post
+    if checkpoint is None:
+        base = re.sub(r"^file:", "", checkpoint_dir(spark))
+        checkpoint = os.path.join(base, "streaming", name)
+
+    def write_snapshot(snapshot: DataFrame, epoch_id: int) -> None:
+        out = step(snapshot) if step else snapshot
+        out.write.mode("overwrite").parquet(sink)
+
+    writer = (
+        aggregate(complaint_stream(spark, source))
+        .writeStream.outputMode("complete")
+        .option("checkpointLocation", checkpoint)
+        .foreachBatch(write_snapshot)
+        .queryName(f"redress_{name}")
+    )
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    elif processing_time:
+        writer = writer.trigger(processingTime=processing_time)
+    return writer.start()

@@ -1,0 +1,41 @@
+import os
+import tempfile
+
+from conftest import SF001
+
+from redress.operators import counts, trends
+from redress.sources.tpch_view import complaints_view
+from redress.streaming import running_counts
+
+
+def _rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def test_running_counts_fold_in_new_files(spark):
+    folder = tempfile.mkdtemp(prefix="redress-stream-")
+    source, sink, ckpt = (os.path.join(folder, x) for x in ("in", "out", "ckpt"))
+    view = complaints_view(spark, SF001, ["complaint_id", "issue", "subissue", "date_received"])
+    first = view.where("date_received < DATE '1996-07-01'")
+    second = view.where("date_received >= DATE '1996-07-01'")
+    first.write.mode("append").parquet(source)
+
+    q = running_counts(spark, source, "issue_subissue_counts", sink, checkpoint=ckpt)
+    q.awaitTermination()
+    assert _rows(spark.read.parquet(sink)) == _rows(counts.issue_subissue_counts(first))
+
+    second.write.mode("append").parquet(source)
+    q = running_counts(spark, source, "issue_subissue_counts", sink, checkpoint=ckpt)
+    q.awaitTermination()
+    assert _rows(spark.read.parquet(sink)) == _rows(counts.issue_subissue_counts(view))
+
+
+def test_running_daily_trend_applies_window_on_snapshot(spark):
+    folder = tempfile.mkdtemp(prefix="redress-stream-")
+    source, sink = os.path.join(folder, "in"), os.path.join(folder, "out")
+    view = complaints_view(spark, SF001, ["date_received"])
+    view.write.parquet(source)
+    q = running_counts(spark, source, "daily_trend", sink, checkpoint=os.path.join(folder, "ck"))
+    q.awaitTermination()
+    got = spark.read.parquet(sink).select("date_received", "count", "monthly_mva")
+    assert _rows(got) == _rows(trends.daily_trend(view))
