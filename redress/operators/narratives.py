@@ -159,8 +159,12 @@ def sample_narratives(
     df: DataFrame, id_col: str, k: int = 1, seed: int = 42
 ) -> DataFrame:
     """``k`` rows in a seeded hash order of ``id_col``: repeatable, uniform
-    over ids, and planned as a per-partition top-k (no full sort)."""
-    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)).limit(k)
+    over ids, and planned as a per-partition top-k (no full sort).
+
+    The order key is the SHA-256 hex digest of ``'<seed>:<id>'``, a hash any
+    SQL engine computes the same way."""
+    key = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")), 256)
+    return df.orderBy(key, F.col(id_col)).limit(k)
 
 
 def score_sample(

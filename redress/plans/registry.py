@@ -525,6 +525,9 @@ SELECT lang AS label,
   CAST(DENSE_RANK() OVER (ORDER BY lang ASC) - 1 AS INTEGER) AS label_index,
   COUNT(*) AS documents
 FROM texts GROUP BY lang""",
+    "sample_narratives": """
+SELECT doc_id, lang FROM documents WHERE text IS NOT NULL
+ORDER BY sha256('42:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 5""",
     "dispute_by_response": _with_view(
         """SELECT company_response_to_consumer AS Response,
   CASE WHEN consumer_disputed THEN 'True' ELSE 'False' END AS Dispute,
