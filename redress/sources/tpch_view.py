@@ -169,6 +169,23 @@ def _expr(name: str) -> Column:
     raise KeyError(name)
 
 
+_SOURCES: dict[str, tuple[SparkSession, DataFrame]] = {}
+
+
+def source_table(spark: SparkSession, path: str) -> DataFrame:
+    """``spark.read.parquet(path)``, listed and footer-read once per session.
+
+    The driver's tables are read-only, so the resolved relation (file index
+    and schema) is reused across queries instead of being rebuilt each time.
+    """
+    hit = _SOURCES.get(path)
+    if hit is not None and hit[0] is spark:
+        return hit[1]
+    df = spark.read.parquet(path)
+    _SOURCES[path] = (spark, df)
+    return df
+
+
 def complaints_view(
     spark: SparkSession,
     sf_dir: str,
@@ -196,7 +213,7 @@ def complaints_view(
             reads.setdefault(table, set()).update(names)
 
     def load(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return source_table(spark, f"{sf_dir}/{name}.parquet")
 
     # Order-level attributes: orders -> customer -> nation, orders-sized.
     order_side = None
