@@ -148,44 +148,63 @@ def chi_square_statistic(
 
     Matches ``scipy.stats.chi2_contingency``: Yates' correction when
     dof = 1 (unless ``correction=False``); dof = 0 gives chi2 0.
+
+    The observed cells (at most R x C, aggregated) are gathered into one
+    array sorted by key and summed in that order, so the statistic is the
+    same double on every run and partitioning; integer parts (n, the sum of
+    r_i * c_j) are exact.
     """
     cells = contingency_cells(c, row, col, weight)
     m = _with_margins(cells, row, col)
-    o = F.col("observed").cast("double")
-    e = F.col("_r").cast("double") * F.col("_c") / F.col("_n")
     exact = "decimal(38,0)"
-    stats = (
-        m.agg(
-            F.first("_n").cast("double").alias("n"),
-            F.first("_n").cast(exact).alias("_n_exact"),
-            F.sum((o - e) * (o - e) / e).alias("_obs_term"),
-            # sum of r_i * c_j over observed cells, exactly (integers)
-            F.sum(F.col("_r").cast(exact) * F.col("_c").cast(exact)).alias("_obs_rc"),
-            F.sum(1.0 / (F.col("_r") * F.col("_kr"))).alias("_inv_r"),
-            F.sum(1.0 / (F.col("_c") * F.col("_kc"))).alias("_inv_c"),
-            F.count_distinct(row).alias("n_rows"),
-            F.count_distinct(col).alias("n_cols"),
-        )
+    packed = m.agg(
+        F.array_sort(
+            F.collect_list(
+                F.struct(
+                    F.col(row).alias("k1"),
+                    F.col(col).alias("k2"),
+                    F.col("observed").cast("double").alias("o"),
+                    F.col("_r").cast("double").alias("r"),
+                    F.col("_c").cast("double").alias("c"),
+                )
+            )
+        ).alias("_cells"),
+        F.first("_n").alias("_n"),
+        F.sum(F.col("_r").cast(exact) * F.col("_c").cast(exact)).alias("_obs_rc"),
+        F.count_distinct(row).alias("n_rows"),
+        F.count_distinct(col).alias("n_cols"),
     )
-    dof = (F.col("n_rows") - 1) * (F.col("n_cols") - 1)
+    n = F.col("_n").cast("double")
+
+    def fold(array, term):
+        return F.aggregate(array, F.lit(0.0), lambda acc, x: acc + term(x))
+
+    def chi_term(x):
+        e = x["r"] * x["c"] / n
+        return (x["o"] - e) * (x["o"] - e) / e
+
+    def margin_inverses(key: str, total: str):
+        distinct = F.array_sort(
+            F.array_distinct(F.transform("_cells", lambda x: F.struct(x[key].alias("k"), x[total].alias("t"))))
+        )
+        return fold(distinct, lambda y: 1.0 / y["t"])
+
     # Expected counts of the unobserved cells: (n^2 - sum_observed r*c) / n,
     # exactly 0 when every cell occurs.
-    unobserved_e = (
-        (F.col("_n_exact") * F.col("_n_exact") - F.col("_obs_rc")).cast("double") / F.col("n")
-    )
-    plain = F.col("_obs_term") + unobserved_e
-    inv_e = F.col("n") * F.col("_inv_r") * F.col("_inv_c")
+    n_exact = F.col("_n").cast(exact)
+    unobserved_e = (n_exact * n_exact - F.col("_obs_rc")).cast("double") / n
+    plain = fold("_cells", chi_term) + unobserved_e
+    inv_e = n * margin_inverses("k1", "r") * margin_inverses("k2", "c")
     gap = F.sqrt(F.greatest(plain, F.lit(0.0)) / inv_e)
     yates = F.pow(gap - F.least(F.lit(0.5), gap), 2) * inv_e
-    chi2 = (
-        F.when(F.col("dof") == 0, F.lit(0.0))
-        .when((F.col("dof") == 1) & F.lit(correction), yates)
-        .otherwise(plain)
-    )
-    return (
-        stats.withColumn("dof", dof.cast("long"))
-        .withColumn("chi2", chi2)
-        .select("chi2", "dof", "n_rows", "n_cols", F.col("n").cast("long").alias("n"))
+    dof = ((F.col("n_rows") - 1) * (F.col("n_cols") - 1)).cast("long")
+    chi2 = F.when(dof == 0, F.lit(0.0)).when((dof == 1) & F.lit(correction), yates).otherwise(plain)
+    return packed.select(
+        chi2.alias("chi2"),
+        dof.alias("dof"),
+        "n_rows",
+        "n_cols",
+        F.col("_n").cast("long").alias("n"),
     )
 
 

@@ -361,33 +361,46 @@ smoothed AS (
 
 
 def _chi_square_sql(row: str, col: str, weight: str) -> str:
+    """The statistic in SQL: observed cells summed in key order, unobserved
+    cells through their exact expected total, Yates for a 2x2 table."""
     observed = "COUNT(*)" if weight == "count" else "1"
     return f"""
 WITH complaints AS ({VIEW_SQL}),
 cells AS (
-  SELECT {row} AS r, {col} AS c, CAST({observed} AS DOUBLE) AS o FROM complaints
+  SELECT {row} AS k1, {col} AS k2, CAST({observed} AS BIGINT) AS o FROM complaints
   WHERE {row} IS NOT NULL AND {col} IS NOT NULL GROUP BY {row}, {col}
 ),
-rm AS (SELECT r, SUM(o) AS rt FROM cells GROUP BY r),
-cm AS (SELECT c, SUM(o) AS ct FROM cells GROUP BY c),
-tot AS (SELECT SUM(o) AS n, (SELECT COUNT(*) FROM rm) AS nr, (SELECT COUNT(*) FROM cm) AS nc
-        FROM cells),
-grid AS (
-  SELECT rm.r, cm.c, COALESCE(cells.o, 0) AS o, rm.rt * cm.ct / tot.n AS e, tot.nr, tot.nc
-  FROM rm CROSS JOIN cm CROSS JOIN tot
-  LEFT JOIN cells ON cells.r = rm.r AND cells.c = cm.c
+rm AS (SELECT k1, SUM(o) AS rt FROM cells GROUP BY k1),
+cm AS (SELECT k2, SUM(o) AS ct FROM cells GROUP BY k2),
+tot AS (SELECT CAST(SUM(o) AS BIGINT) AS n FROM cells),
+terms AS (
+  SELECT cells.k1, cells.k2,
+         CAST(rm.rt AS DOUBLE) * CAST(cm.ct AS DOUBLE) / CAST(tot.n AS DOUBLE) AS e,
+         CAST(cells.o AS DOUBLE) AS o,
+         CAST(rm.rt AS DECIMAL(38, 0)) * CAST(cm.ct AS DECIMAL(38, 0)) AS rc
+  FROM cells JOIN rm ON rm.k1 = cells.k1 JOIN cm ON cm.k2 = cells.k2, tot
 ),
 stat AS (
-  SELECT CAST((MAX(nr) - 1) * (MAX(nc) - 1) AS BIGINT) AS dof,
-         SUM((o - e) * (o - e) / e) AS plain,
-         SUM(POWER(GREATEST(ABS(o - e) - LEAST(0.5, ABS(o - e)), 0), 2) / e) AS yates,
-         CAST(MAX(nr) AS BIGINT) AS n_rows, CAST(MAX(nc) AS BIGINT) AS n_cols,
-         CAST(SUM(o) AS BIGINT) AS n
-  FROM grid
+  SELECT SUM((o - e) * (o - e) / e ORDER BY k1, k2)
+           + CAST(CAST(MAX(tot.n) AS DECIMAL(38, 0)) * CAST(MAX(tot.n) AS DECIMAL(38, 0)) - SUM(rc)
+                  AS DOUBLE) / CAST(MAX(tot.n) AS DOUBLE) AS plain,
+         CAST(MAX(tot.n) AS DOUBLE)
+           * (SELECT SUM(1.0 / CAST(rt AS DOUBLE) ORDER BY k1) FROM rm)
+           * (SELECT SUM(1.0 / CAST(ct AS DOUBLE) ORDER BY k2) FROM cm) AS inv_e,
+         (SELECT COUNT(*) FROM rm) AS n_rows, (SELECT COUNT(*) FROM cm) AS n_cols,
+         MAX(tot.n) AS n
+  FROM terms, tot
+),
+fin AS (
+  SELECT *, CAST((n_rows - 1) * (n_cols - 1) AS BIGINT) AS dof,
+         SQRT(GREATEST(plain, 0.0) / inv_e) AS gap
+  FROM stat
 )
-SELECT CAST(CASE WHEN dof = 0 THEN 0.0 WHEN dof = 1 THEN yates ELSE plain END AS DOUBLE) AS chi2,
-       dof, n_rows, n_cols, n
-FROM stat"""
+SELECT CAST(CASE WHEN dof = 0 THEN 0.0
+                 WHEN dof = 1 THEN POWER(gap - LEAST(0.5, gap), 2) * inv_e
+                 ELSE plain END AS DOUBLE) AS chi2,
+       dof, CAST(n_rows AS BIGINT) AS n_rows, CAST(n_cols AS BIGINT) AS n_cols, n
+FROM fin"""
 
 
 ORACLE_SQL: dict[str, str] = {
