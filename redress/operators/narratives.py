@@ -6,8 +6,9 @@ A Complement Naive Bayes text classifier as a Spark ML pipeline:
       -> StringIndexer(label) -> NaiveBayes(modelType='complement')
       -> IndexToString(prediction)
 
-Tokens are runs of two or more word characters, lower-cased (the usual
-bag-of-words default); stop words and IDF weighting are options.  Fitting is
+Tokens are maximal runs of two or more letters, digits or underscores in the
+lower-cased text (the common ``\w\w+`` bag-of-words rule, with Unicode
+letters); stop words and IDF weighting are options.  Fitting is
 distributed: a word count for the vocabulary (capped at ``vocab_size`` most
 frequent terms), the distinct labels, and one aggregation of term counts per
 class.  Scoring is a map over rows with the fitted weights broadcast.
@@ -34,7 +35,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN_PATTERN = r"(?U)\b\w\w+\b"
+TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
 def build_pipeline(

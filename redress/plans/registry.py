@@ -226,9 +226,12 @@ def _train_response_model(spark, d):
 
 
 def _score_narratives(spark, d):
+    """Every document scored: id, predicted label and the top probability as
+    two-decimal percent text (the reference's record)."""
     model = _narrative_model(spark, d)
     docs = documents_corpus(spark, d, distinct=False)
-    return narratives.score_narratives(model, docs, "text", "doc_id")
+    scored = narratives.score_narratives(model, docs, "text", "doc_id")
+    return scored.select("doc_id", "prediction", "probability_pct")
 
 
 def _sample_narratives(spark, d):
@@ -403,6 +406,63 @@ SELECT CAST(CASE WHEN dof = 0 THEN 0.0
 FROM fin"""
 
 
+# Complement Naive Bayes in SQL: the same training rows (one per distinct
+# text), tokens (maximal runs of 2+ letters/digits/underscores, lower-cased),
+# smoothing 1, classes in alphabetical order, arg-max with ties to the first
+# class.  Valid while the vocabulary is under the vectoriser's cap (2^18
+# terms), as it is at sf0.01.
+_NB_SQL = r"""
+train AS (
+  SELECT arg_min(lang, doc_id) AS lang, arg_min(text, doc_id) AS text
+  FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL
+  GROUP BY sha256(text), length(text)
+),
+class_term AS (
+  SELECT lang, term, COUNT(*) AS n FROM (
+    SELECT lang, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM train)
+  GROUP BY lang, term
+),
+vocab AS (SELECT term, SUM(n) AS f FROM class_term GROUP BY term),
+classes AS (
+  SELECT t.lang, COALESCE(SUM(ct.n), 0) AS nk
+  FROM (SELECT DISTINCT lang FROM train) t LEFT JOIN class_term ct ON ct.lang = t.lang
+  GROUP BY t.lang
+),
+consts AS (SELECT SUM(f) AS total, COUNT(*) AS v FROM vocab),
+theta AS (
+  SELECT k.lang, vo.term,
+         -(ln(CAST(vo.f - COALESCE(ct.n, 0) + 1 AS DOUBLE))
+           - ln(CAST(c.total - k.nk + c.v AS DOUBLE))) AS w
+  FROM classes k CROSS JOIN vocab vo CROSS JOIN consts c
+  LEFT JOIN class_term ct ON ct.lang = k.lang AND ct.term = vo.term
+),
+scored_docs AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
+doc_tf AS (
+  SELECT doc_id, term, COUNT(*) AS x FROM (
+    SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term
+    FROM scored_docs)
+  GROUP BY doc_id, term
+),
+raw AS (
+  SELECT t.doc_id, th.lang, SUM(t.x * th.w) AS s
+  FROM doc_tf t JOIN theta th ON th.term = t.term GROUP BY t.doc_id, th.lang
+),
+scores AS (
+  SELECT d.doc_id, k.lang, COALESCE(r.s, 0.0) AS s
+  FROM scored_docs d CROSS JOIN classes k
+  LEFT JOIN raw r ON r.doc_id = d.doc_id AND r.lang = k.lang
+),
+best AS (
+  SELECT doc_id, MAX(s) AS smax,
+         first(lang ORDER BY s DESC, lang ASC) AS prediction
+  FROM scores GROUP BY doc_id
+),
+prob AS (
+  SELECT b.doc_id, b.prediction, 1.0 / SUM(exp(sc.s - b.smax)) AS p
+  FROM best b JOIN scores sc ON sc.doc_id = b.doc_id GROUP BY b.doc_id, b.prediction
+)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "sample_rows": _with_view(f"SELECT * FROM complaints ORDER BY {_ALL_ORDER} LIMIT 5"),
     "missing_counts": _with_view(
@@ -538,6 +598,16 @@ SELECT lang AS label,
   CAST(DENSE_RANK() OVER (ORDER BY lang ASC) - 1 AS INTEGER) AS label_index,
   COUNT(*) AS documents
 FROM texts GROUP BY lang""",
+    "score_narratives": f"""WITH {_NB_SQL}
+SELECT doc_id, prediction, printf('%.2f', 100.0 * p) AS probability_pct FROM prob""",
+    "score_sample": f"""WITH {_NB_SQL},
+picked AS (
+  SELECT doc_id, text FROM documents WHERE text IS NOT NULL
+  ORDER BY sha256('42:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 1
+)
+SELECT p.doc_id, k.text AS Narratives, p.prediction AS Prediction,
+       printf('%.2f', 100.0 * p.p) AS Probability
+FROM picked k JOIN prob p ON p.doc_id = k.doc_id""",
     "sample_narratives": """
 SELECT doc_id, lang FROM documents WHERE text IS NOT NULL
 ORDER BY sha256('42:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 5""",
