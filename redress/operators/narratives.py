@@ -7,7 +7,7 @@ A Complement Naive Bayes text classifier as a Spark ML pipeline:
       -> IndexToString(prediction)
 
 Tokens are maximal runs of two or more letters, digits or underscores in the
-lower-cased text (the common ``\w\w+`` bag-of-words rule, with Unicode
+lower-cased text (the common two-word-character bag-of-words rule, with Unicode
 letters); stop words and IDF weighting are options.  Fitting is
 distributed: a word count for the vocabulary (capped at ``vocab_size`` most
 frequent terms), the distinct labels, and one aggregation of term counts per

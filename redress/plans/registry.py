@@ -44,7 +44,10 @@ def _with_view(sql: str) -> str:
 
 
 def _sample_rows(spark, d):
-    return profile.sample_rows(_view(spark, d, *COMPLAINT_COLUMNS), 5)
+    # The order leads with complaint_id, so only rows holding one of the five
+    # smallest ids can be among the first five: restrict before the joins.
+    c = complaints_view(spark, d, list(COMPLAINT_COLUMNS), first_ids=5)
+    return profile.sample_rows(c, 5)
 
 
 def _missing_counts(spark, d):

@@ -191,6 +191,7 @@ def complaints_view(
     sf_dir: str,
     columns: list[str] | None = None,
     prune_joins: bool = True,
+    first_ids: int | None = None,
 ) -> DataFrame:
     """Complaints derived from the tables under ``sf_dir``.
 
@@ -198,6 +199,12 @@ def complaints_view(
     ``prune_joins`` only the tables those columns need are joined; with
     ``prune_joins=False`` every join of ``VIEW_SQL`` is made, which is the
     reference definition used by the tests.
+
+    ``first_ids=n`` keeps only the complaints whose ``complaint_id`` is one
+    of the n smallest values (every row with such an id, ties included).  The
+    restriction is applied to ``lineitem`` before any join, through a
+    broadcast semi join on at most n values, so a top-n by ``complaint_id``
+    never joins the whole table.
     """
     cols = list(columns) if columns else list(COMPLAINT_COLUMNS)
     unknown = [x for x in cols if x not in _NEEDS]
@@ -241,7 +248,17 @@ def complaints_view(
         l_cols.add("l_suppkey")
     if not l_cols:  # a view with no lineitem column still needs one row per lineitem
         l_cols.add("l_orderkey")
-    df = load("lineitem").select(*sorted(l_cols))
+    df = load("lineitem").select(*sorted(l_cols | ({"l_orderkey", "l_linenumber"} if first_ids else set())))
+    if first_ids is not None:
+        cid = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+        smallest = (
+            load("lineitem")
+            .select(cid.alias("_cid"))
+            .orderBy(F.col("_cid").asc_nulls_first())
+            .limit(first_ids)
+            .distinct()
+        )
+        df = df.join(F.broadcast(smallest), cid.eqNullSafe(F.col("_cid")), "left_semi")
 
     if order_side is not None:
         df = df.join(order_side, df.l_orderkey == order_side.o_orderkey, "inner")
