@@ -119,3 +119,31 @@ def write_report(results: dict[str, DataFrame], out_dir: str, mode: str = "overw
     """Store every result as parquet under ``out_dir/<name>``."""
     for name, df in results.items():
         df.write.mode(mode).parquet(os.path.join(out_dir, name))
+
+
+def main(argv: list[str] | None = None) -> None:
+    """``python -m redress.plans.report --source DIR --out DIR [--table DIR]``
+
+    Builds the complaints table from the driver-style tables in ``--source``
+    (or reads an existing one with ``--table``) and stores every result.
+    """
+    import argparse
+
+    from redress.session import get_session
+
+    parser = argparse.ArgumentParser(description=main.__doc__)
+    parser.add_argument("--source", help="folder of lineitem/orders/... parquet tables")
+    parser.add_argument("--table", help="an existing complaints parquet table")
+    parser.add_argument("--out", required=True, help="folder for the results")
+    parser.add_argument("--min-year", type=int, default=2012)
+    parser.add_argument("--master", default=None)
+    args = parser.parse_args(argv)
+    if not (args.source or args.table):
+        parser.error("give --source or --table")
+    spark = get_session(args.master)
+    path = args.table or build_complaints_table(spark, args.source)
+    write_report(run_report(read_table(spark, path), min_year=args.min_year), args.out)
+
+
+if __name__ == "__main__":
+    main()
