@@ -197,14 +197,17 @@ def chi_square_statistic(
     inv_e = n * margin_inverses("k1", "r") * margin_inverses("k2", "c")
     gap = F.sqrt(F.greatest(plain, F.lit(0.0)) / inv_e)
     yates = F.pow(gap - F.least(F.lit(0.5), gap), 2) * inv_e
-    dof = ((F.col("n_rows") - 1) * (F.col("n_cols") - 1)).cast("long")
+    # A table with fewer than two rows or columns (or no cells) has dof 0.
+    dof = (
+        F.greatest(F.col("n_rows") - 1, F.lit(0)) * F.greatest(F.col("n_cols") - 1, F.lit(0))
+    ).cast("long")
     chi2 = F.when(dof == 0, F.lit(0.0)).when((dof == 1) & F.lit(correction), yates).otherwise(plain)
     return packed.select(
         chi2.alias("chi2"),
         dof.alias("dof"),
         "n_rows",
         "n_cols",
-        F.col("_n").cast("long").alias("n"),
+        F.coalesce(F.col("_n").cast("long"), F.lit(0).cast("long")).alias("n"),
     )
 
 

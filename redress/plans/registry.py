@@ -203,6 +203,13 @@ def _dispute_by_response(spark, d):
 _MODELS: dict[tuple[str, str], object] = {}
 
 
+def _app_id(spark) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # sessions without a SparkContext
+        return str(id(spark))
+
+
 def _fit_narrative_model(spark, d):
     """Complement NB trained on whole document texts (one row per distinct
     text), labelled by language: the stand-in for narratives labelled by
@@ -216,7 +223,7 @@ def _narrative_model(spark, d):
     The reference scores with a model it loads once at start-up; likewise the
     scoring queries share one fit (``train_response_model`` always refits).
     """
-    key = (spark.sparkContext.applicationId, d)
+    key = (_app_id(spark), d)
     if key not in _MODELS:
         _MODELS[key] = _fit_narrative_model(spark, d)
     return _MODELS[key]
@@ -224,7 +231,7 @@ def _narrative_model(spark, d):
 
 def _train_response_model(spark, d):
     model = _fit_narrative_model(spark, d)
-    _MODELS[(spark.sparkContext.applicationId, d)] = model
+    _MODELS[(_app_id(spark), d)] = model
     return narratives.model_summary(model, documents_corpus(spark, d), "lang")
 
 

@@ -122,3 +122,11 @@ def test_crosstab_dense_and_expected_margins(frame):
     np.testing.assert_allclose(e.sum(0), obs.sum(0))
     _, _, _, want = _numpy_chi2(obs.values)
     np.testing.assert_allclose(e.values, want)
+
+
+def test_empty_and_single_row_tables(frame):
+    empty = association.chi_square(_table(frame, {(None, "Closed"): 2})).first()
+    assert (empty.chi2, empty.p_value, empty.dof, empty.n) == (0.0, 1.0, 0, 0)
+    one = association.chi_square(_table(frame, {("Web", "Closed"): 2, ("Web", "Relief"): 1})).first()
+    assert (one.chi2, one.p_value, one.dof, one.n) == (0.0, 1.0, 0, 3)
+    assert association.crosstab(_table(frame, {(None, "Closed"): 2})).count() == 0
