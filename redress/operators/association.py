@@ -56,9 +56,17 @@ ACCEPT_TEXT = (
 )
 
 
-def channel_response_counts(c: DataFrame, row: str = CHANNEL, col: str = RESPONSE) -> DataFrame:
-    """``(submitted_via, company_response_to_consumer, Count_Response)``."""
-    return c.groupBy(row, col).agg(F.count(F.lit(1)).alias("Count_Response"))
+def channel_response_counts(
+    c: DataFrame, row: str = CHANNEL, col: str = RESPONSE, with_totals: bool = False
+) -> DataFrame:
+    """``(submitted_via, company_response_to_consumer, Count_Response)``;
+    ``with_totals`` adds ``total``, the stacked bar's height per channel."""
+    counts = c.groupBy(row, col).agg(F.count(F.lit(1)).alias("Count_Response"))
+    if with_totals:
+        counts = counts.withColumn(
+            "total", F.sum("Count_Response").over(Window.partitionBy(row)).cast("long")
+        )
+    return counts
 
 
 def contingency_cells(
@@ -219,13 +227,14 @@ def chi_square(
     alpha: float = 0.05,
     correction: bool = True,
 ) -> DataFrame:
-    """The report: ``(chi2, p_value, dof, n_rows, n_cols, n, interpretation)``;
-    dof = 0 gives p 1."""
+    """The report: ``(chi2, p_value, dof, n_rows, n_cols, n, interpretation,
+    summary)``; dof = 0 gives p 1; ``summary`` is the report's text line."""
     stat = chi_square_statistic(c, row, col, weight, correction)
     p_value = F.when(F.col("dof") == 0, F.lit(1.0)).otherwise(
         chi2_p_value(F.col("chi2"), F.col("dof"))
     )
-    return stat.withColumn("p_value", p_value).select(
+    stat = stat.withColumn("p_value", p_value)
+    return stat.select(
         "chi2",
         "p_value",
         "dof",
@@ -235,4 +244,9 @@ def chi_square(
         F.when(F.col("p_value") < alpha, F.lit(REJECT_TEXT))
         .otherwise(F.lit(ACCEPT_TEXT))
         .alias("interpretation"),
+        F.concat(
+            F.lit("Chi-square statistic: "), F.col("chi2").cast("string"),
+            F.lit(", p-value: "), F.col("p_value").cast("string"),
+            F.lit(", Degrees of freedom: "), F.col("dof").cast("string"),
+        ).alias("summary"),
     )

@@ -10,7 +10,7 @@ Tokens are maximal runs of two or more letters, digits or underscores in the
 lower-cased text (the common two-word-character bag-of-words rule, with Unicode
 letters); stop words and IDF weighting are options.  Fitting is
 distributed: a word count for the vocabulary (capped at ``vocab_size`` most
-frequent terms), the distinct labels, and one aggregation of term counts per
+frequent terms), the distinct labels, and a two-level sum of term counts per
 class.  Scoring is a map over rows with the fitted weights broadcast.
 
 ``score_narratives`` scores a whole DataFrame; ``sample_narratives`` picks a
@@ -20,6 +20,8 @@ repeatable pseudo-random sample (seeded hash order, a per-partition top-k);
 
 from __future__ import annotations
 
+import math
+
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import NaiveBayes
@@ -32,6 +34,7 @@ from pyspark.ml.feature import (
     StringIndexer,
 )
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,18 +89,80 @@ def build_pipeline(
 
 
 def train_response_model(
-    df: DataFrame, text_col: str = "text", label_col: str = "label", **options
+    df: DataFrame,
+    text_col: str = "text",
+    label_col: str = "label",
+    smoothing: float = 1.0,
+    vocab_size: int = 1 << 18,
+    min_df: float = 1.0,
+    stop_words: list[str] | None = None,
+    use_idf: bool = False,
+    groups_per_class: int | None = None,
 ) -> PipelineModel:
     """Fit the pipeline on labelled narratives (rows with a null label or
-    text are left out)."""
+    text are left out); the result transforms raw text like
+    ``build_pipeline(...).fit(df)`` would.
+
+    Complement NB needs only each class's summed term counts (its class
+    priors do not enter the probabilities), and a class can hold a third of
+    all rows.  Summing a class in one task would merge one vocabulary-sized
+    vector per input partition there, so the sums are built as a two-level
+    tree: first per (class, group of input partitions) -- ``groups_per_class``
+    groups, by default about the square root of the partition count -- then
+    the Naive Bayes fit merges those few partial sums per class.  The model is
+    the same: the counts are integers, summed exactly.  Texts are tokenised
+    once; the tokens are kept (memory, then disk) for the fit only.
+    """
     data = df.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
-    # Each stage's fit is a job over the same input: keep it (spilling to disk
-    # when large; lost blocks are recomputed from lineage) for the fit only.
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    tokenizer = RegexTokenizer(
+        inputCol=text_col, outputCol="_tokens", pattern=TOKEN_PATTERN, gaps=False,
+        toLowercase=True,
+    )
+    stages: list = [tokenizer]
+    tokens_col = "_tokens"
+    tokens = tokenizer.transform(data)
+    if stop_words:
+        remover = StopWordsRemover(inputCol=tokens_col, outputCol="_kept", stopWords=stop_words)
+        stages.append(remover)
+        tokens = remover.transform(tokens)
+        tokens_col = "_kept"
+    tokens = tokens.select(label_col, tokens_col).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return build_pipeline(text_col, label_col, **options).fit(data)
+        vectorizer = CountVectorizer(
+            inputCol=tokens_col, outputCol="_tf", vocabSize=vocab_size, minDF=min_df
+        ).fit(tokens)
+        stages.append(vectorizer)
+        features = vectorizer.transform(tokens)
+        features_col = "_tf"
+        if use_idf:
+            idf = IDF(inputCol="_tf", outputCol="_tfidf").fit(features)
+            stages.append(idf)
+            features = idf.transform(features)
+            features_col = "_tfidf"
+        indexer = StringIndexer(
+            inputCol=label_col, outputCol="_label_index", handleInvalid="error",
+            stringOrderType="alphabetAsc",
+        ).fit(tokens)
+        stages.append(indexer)
+        indexed = indexer.transform(features)
+
+        groups = groups_per_class or max(1, math.isqrt(indexed.rdd.getNumPartitions()))
+        partial = indexed.groupBy(
+            F.col("_label_index"), (F.spark_partition_id() % groups).alias("_group")
+        ).agg(Summarizer.sum(F.col(features_col)).alias("_sum"))
+        bayes = NaiveBayes(
+            featuresCol="_sum",
+            labelCol="_label_index",
+            predictionCol="prediction_index",
+            probabilityCol="probability",
+            rawPredictionCol="_raw",
+            modelType="complement",
+            smoothing=smoothing,
+        ).fit(partial)
+        stages.append(bayes.setFeaturesCol(features_col))
+        return PipelineModel(stages=stages)
     finally:
-        data.unpersist()
+        tokens.unpersist()
 
 
 def model_labels(model: PipelineModel) -> list[str]:

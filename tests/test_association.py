@@ -130,3 +130,13 @@ def test_empty_and_single_row_tables(frame):
     one = association.chi_square(_table(frame, {("Web", "Closed"): 2, ("Web", "Relief"): 1})).first()
     assert (one.chi2, one.p_value, one.dof, one.n) == (0.0, 1.0, 0, 3)
     assert association.crosstab(_table(frame, {(None, "Closed"): 2})).count() == 0
+
+
+def test_totals_and_summary_line(frame):
+    cells = {("Web", "Closed"): 4, ("Web", "Relief"): 1, ("Phone", "Closed"): 2}
+    c = _table(frame, cells)
+    got = {(r[CH], r[RESP]): r.total for r in association.channel_response_counts(c, with_totals=True).collect()}
+    assert got == {("Web", "Closed"): 5, ("Web", "Relief"): 5, ("Phone", "Closed"): 2}
+    rep = association.chi_square(c).first()
+    assert rep.summary.startswith(f"Chi-square statistic: {rep.chi2}, p-value: ")
+    assert rep.summary.endswith(f"Degrees of freedom: {rep.dof}")
