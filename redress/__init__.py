@@ -15,6 +15,6 @@ plans      the full report and the registry of named queries
 streaming  the same counts kept current over an append-only complaint folder
 """
 
-from redress.session import checkpoint_dir, get_session
+from redress.session import checkpoint_dir, checkpoint_root, get_session
 
-__all__ = ["checkpoint_dir", "get_session"]
+__all__ = ["checkpoint_dir", "checkpoint_root", "get_session"]

@@ -245,14 +245,12 @@ def issue_subissue_lists(c: DataFrame, as_arrays: bool = False) -> DataFrame:
     Row form ``(issue, issue_position, position, subissue)``; ``as_arrays``
     gives ``(issue, issue_position, subissues ARRAY<STRING>)``.
     """
-    pairs = issue_subissue_counts(c)
-    per_issue = Window.partitionBy("issue")
-    ranked = pairs.withColumn("_total", F.sum("count").over(per_issue))
+    ranked = _rank_issues(issue_subissue_counts(c))
     rows = ranked.select(
         "issue",
-        F.dense_rank().over(Window.orderBy(F.desc("_total"), F.asc("issue"))).alias("issue_position"),
+        F.col("_issue_rank").alias("issue_position"),
         F.row_number()
-        .over(per_issue.orderBy(F.desc("count"), F.asc("subissue")))
+        .over(Window.partitionBy("issue").orderBy(F.desc("count"), F.asc("subissue")))
         .alias("position"),
         "subissue",
     )

@@ -63,3 +63,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="redress-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def checkpoint_root(spark: SparkSession) -> str:
+    """The configured ``spark.checkpoint.dir`` itself, stable across
+    applications (``checkpoint_dir`` returns this run's own subfolder).
+    Streaming checkpoints live here so a restarted application resumes."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
+        "spark.checkpoint.dir", None
+    )
+    return configured or checkpoint_dir(spark)

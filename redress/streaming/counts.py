@@ -15,6 +15,7 @@ from :mod:`redress.operators` applied as is to the stream.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 from collections.abc import Callable
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from redress.operators import association, counts, trends
-from redress.session import checkpoint_dir
+from redress.session import checkpoint_root
 from redress.sources.complaints import COMPLAINT_SCHEMA
 
 RESPONSE = "company_response_to_consumer"
@@ -65,14 +66,18 @@ def running_counts(
     """Start the streaming form of ``STREAMABLE[name]`` and write each
     trigger's complete result to ``sink`` (parquet, overwritten whole).
 
+    The default checkpoint is ``<spark.checkpoint.dir>/streaming/<name>-<hash
+    of source and sink>``, so restarting the same query resumes its state.
+
     ``available_now`` processes what is in ``source`` and stops; otherwise
     the query runs every ``processing_time``.
     """
     aggregate, default_post = STREAMABLE[name]
     step = post or default_post
     if checkpoint is None:
-        base = re.sub(r"^file:", "", checkpoint_dir(spark))
-        checkpoint = os.path.join(base, "streaming", name)
+        base = re.sub(r"^file:", "", checkpoint_root(spark))
+        tag = hashlib.sha256(f"{source}\0{sink}".encode()).hexdigest()[:16]
+        checkpoint = os.path.join(base, "streaming", f"{name}-{tag}")
 
     def write_snapshot(snapshot: DataFrame, epoch_id: int) -> None:
         out = step(snapshot) if step else snapshot
