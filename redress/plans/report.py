@@ -17,7 +17,7 @@ import os
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from redress.operators import association, counts, outcomes, profile, trends
@@ -68,11 +68,15 @@ def report_plans(
     def trend_year(c: DataFrame) -> DataFrame:
         if year is not None:
             return trends.trend_for_year(c, year, window, min_year)
-        first = trends.trend_year_domain(c, min_year, window).where(
-            F.col("year") == F.col("year_min")
+        # The slider's default, the first year of the cut trend, from the
+        # trend's own rows (one per day) rather than a second pass.
+        t = trends.daily_trend(c, window, min_year).where(F.col("date_received").isNotNull())
+        first = F.min(F.year("date_received")).over(Window.partitionBy())
+        return (
+            t.withColumn("_first", first)
+            .where(F.year("date_received") == F.col("_first"))
+            .drop("_first")
         )
-        t = trends.daily_trend(c, window, min_year)
-        return t.join(first.select("year"), F.year(t.date_received) == first.year, "left_semi")
 
     return {
         "sample_rows": lambda c: profile.sample_rows(c, 5),
