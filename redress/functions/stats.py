@@ -11,13 +11,19 @@ their side).
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Ship this module's functions to the Python workers by value, so the UDF runs
+# on executors that do not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _EPS = 1e-16
 _TINY = 1e-300
 _MAX_ITER = 10_000

@@ -1,5 +1,5 @@
 """Structured Streaming form of the start-up counts (see ``counts``)."""
 
-from redress.streaming.counts import STREAMABLE, complaint_stream, running_counts
+from redress.streaming.counts import STREAMABLE, complaint_stream, latest, running_counts
 
-__all__ = ["STREAMABLE", "complaint_stream", "running_counts"]
+__all__ = ["STREAMABLE", "complaint_stream", "latest", "running_counts"]

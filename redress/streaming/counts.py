@@ -64,7 +64,8 @@ def running_counts(
     processing_time: str | None = None,
 ) -> StreamingQuery:
     """Start the streaming form of ``STREAMABLE[name]`` and write each
-    trigger's complete result to ``sink`` (parquet, overwritten whole).
+    trigger's complete result to ``sink/epoch=<n>`` (parquet); read the
+    newest complete one with :func:`latest`.
 
     The default checkpoint is ``<spark.checkpoint.dir>/streaming/<name>-<hash
     of source and sink>``, so restarting the same query resumes its state.
@@ -80,8 +81,10 @@ def running_counts(
         checkpoint = os.path.join(base, "streaming", f"{name}-{tag}")
 
     def write_snapshot(snapshot: DataFrame, epoch_id: int) -> None:
+        # One folder per trigger: a failed or retried epoch rewrites only its
+        # own folder, and readers keep the last complete one (``latest``).
         out = step(snapshot) if step else snapshot
-        out.write.mode("overwrite").parquet(sink)
+        out.write.mode("overwrite").parquet(f"{sink}/epoch={epoch_id}")
 
     writer = (
         aggregate(complaint_stream(spark, source))
@@ -95,3 +98,19 @@ def running_counts(
     elif processing_time:
         writer = writer.trigger(processingTime=processing_time)
     return writer.start()
+
+
+def latest(spark: SparkSession, sink: str) -> DataFrame:
+    """The newest complete snapshot under ``sink`` (the highest ``epoch=<n>``
+    folder that carries the ``_SUCCESS`` marker of a finished write)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(sink)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    epochs = []
+    for status in fs.listStatus(path):
+        name = status.getPath().getName()
+        if name.startswith("epoch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            epochs.append(int(name.split("=", 1)[1]))
+    if not epochs:
+        raise FileNotFoundError(f"no complete snapshot under {sink}")
+    return spark.read.parquet(f"{sink}/epoch={max(epochs)}")
