@@ -3,9 +3,16 @@
 Every Spark query reads the tables under ``sf_dir`` through
 :func:`redress.sources.tpch_view.complaints_view`, asking only for the
 columns it uses (so only the joins those columns need are made).  Every
-oracle SQL text runs the *full* view definition (``VIEW_SQL``, all seven
-joins) and then the operator written out in plain SQL, so a pass also
-checks that pruning the joins loses nothing.
+oracle SQL text over complaints runs the *full* view definition
+(``VIEW_SQL``, all seven joins) and then the operator written out in plain
+SQL, so a pass also checks that pruning the joins loses nothing.  The
+narrative queries read ``documents``; their oracle is Complement Naive Bayes
+written in SQL.  ``chi_square_report`` has no oracle (DuckDB has no
+chi-square distribution); the tests check its p-value.
+
+The scoring queries share one fitted model per application and table folder
+(the reference likewise loads its model once); ``train_response_model``
+always fits anew.
 
 Parameters are the reference's, except where its value selects nothing in
 the test data: the year cut is 1996 (the data spans 1995-2001; the
