@@ -111,21 +111,19 @@ def crosstab_wide(
     return wide.na.fill(0, subset=[x for x in wide.columns if x != row])
 
 
-def _with_margins(cells: DataFrame, row: str, col: str, value: str = "observed") -> DataFrame:
-    """Attach row total ``_r``, column total ``_c``, grand total ``_n`` and
-    the number of cells per row / column (``_kr``, ``_kc``) to each cell.
+def _with_margins(
+    cells: DataFrame, row: str, col: str, value: str = "observed", total: bool = True
+) -> DataFrame:
+    """Attach row total ``_r``, column total ``_c`` and (with ``total``) the
+    grand total ``_n`` to each cell.
 
     Windows over the aggregated cells, so the input is read once (separate
     margin aggregates joined back would each re-run the input).
     """
-    by_row, by_col = Window.partitionBy(row), Window.partitionBy(col)
-    return (
-        cells.withColumn("_r", F.sum(value).over(by_row))
-        .withColumn("_kr", F.count(F.lit(1)).over(by_row))
-        .withColumn("_c", F.sum(value).over(by_col))
-        .withColumn("_kc", F.count(F.lit(1)).over(by_col))
-        .withColumn("_n", F.sum(value).over(Window.partitionBy()))
+    out = cells.withColumn("_r", F.sum(value).over(Window.partitionBy(row))).withColumn(
+        "_c", F.sum(value).over(Window.partitionBy(col))
     )
+    return out.withColumn("_n", F.sum(value).over(Window.partitionBy())) if total else out
 
 
 def expected_counts(
@@ -163,7 +161,7 @@ def chi_square_statistic(
     r_i * c_j) are exact.
     """
     cells = contingency_cells(c, row, col, weight)
-    m = _with_margins(cells, row, col)
+    m = _with_margins(cells, row, col, total=False)
     exact = "decimal(38,0)"
     packed = m.agg(
         F.array_sort(
@@ -177,10 +175,14 @@ def chi_square_statistic(
                 )
             )
         ).alias("_cells"),
-        F.first("_n").alias("_n"),
+        F.sum("observed").alias("_n"),
         F.sum(F.col("_r").cast(exact) * F.col("_c").cast(exact)).alias("_obs_rc"),
-        F.count_distinct(row).alias("n_rows"),
-        F.count_distinct(col).alias("n_cols"),
+    )
+    # Table size from the gathered cells (no distinct aggregation needed).
+    packed = packed.withColumn(
+        "n_rows", F.size(F.array_distinct(F.transform("_cells", lambda x: x["k1"]))).cast("long")
+    ).withColumn(
+        "n_cols", F.size(F.array_distinct(F.transform("_cells", lambda x: x["k2"]))).cast("long")
     )
     n = F.col("_n").cast("double")
 
