@@ -210,7 +210,24 @@ def complaints_view(
     unknown = [x for x in cols if x not in _NEEDS]
     if unknown:
         raise KeyError(f"not a complaint column: {unknown}")
+    # The view over read-only tables is an immutable lazy plan: build it once
+    # per session and column set.
+    key = (sf_dir, tuple(cols), prune_joins, first_ids)
+    hit = _VIEWS.get(key)
+    if hit is not None and hit[0] is spark:
+        return hit[1]
+    view = _build_view(spark, sf_dir, cols, prune_joins, first_ids)
+    _VIEWS[key] = (spark, view)
+    return view
+
 
+_VIEWS: dict[tuple, tuple[SparkSession, DataFrame]] = {}
+
+
+def _build_view(
+    spark: SparkSession, sf_dir: str, cols: list[str], prune_joins: bool, first_ids: int | None
+) -> DataFrame:
+    """Build the view described in :func:`complaints_view`."""
     tables = set().union(*[_NEEDS[x] for x in cols]) if prune_joins else {
         "orders", "customer", "nation", "part", "supplier", "documents"
     }
