@@ -39,3 +39,12 @@ def test_daily_count_reads_two_tables_only(spark):
     assert tables == ["lineitem", "orders"]
     df = complaints_view(spark, SF001, ["date_received"]).where(F.year("date_received") > 1990)
     assert df.count() > 0
+
+
+def test_first_ids_keeps_every_row_of_the_smallest_ids(spark):
+    full = complaints_view(spark, SF001, prune_joins=False)
+    ids = [r.complaint_id for r in full.select("complaint_id").orderBy("complaint_id").limit(5).collect()]
+    want = full.where(F.col("complaint_id").isin(sorted(set(ids))))
+    got = complaints_view(spark, SF001, first_ids=5)
+    assert got.count() == want.count() >= 5
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
