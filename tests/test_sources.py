@@ -48,3 +48,27 @@ def test_first_ids_keeps_every_row_of_the_smallest_ids(spark):
     got = complaints_view(spark, SF001, first_ids=5)
     assert got.count() == want.count() >= 5
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_read_complaints_other_formats_and_catalog(spark):
+    import datetime as dt
+    import json
+    import os
+    import tempfile
+
+    from redress.sources.complaints import read_complaints, read_complaints_table
+
+    folder = tempfile.mkdtemp(prefix="redress-json-")
+    rows = [
+        {"complaint_id": 1, "date_received": "2020-01-02", "product": "Mortgage", "consumer_disputed": True},
+        {"complaint_id": 2, "date_received": None, "issue": "Unknown"},
+    ]
+    with open(os.path.join(folder, "c.json"), "w") as fh:
+        fh.write("\n".join(json.dumps(r) for r in rows))
+    c = read_complaints(spark, folder, fmt="json")
+    assert c.columns == COMPLAINT_COLUMNS
+    got = sorted(c.select("complaint_id", "date_received", "product", "consumer_disputed").collect())
+    assert got[0] == (1, dt.date(2020, 1, 2), "Mortgage", True)
+    assert got[1] == (2, None, None, None)
+    c.createOrReplaceTempView("complaints_fixture")
+    assert read_complaints_table(spark, "complaints_fixture").count() == 2
