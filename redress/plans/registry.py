@@ -150,6 +150,16 @@ def _chi_square_subissue_dispute(spark, d):
     )
 
 
+def _chi_square_public_response_dispute(spark, d):
+    # A 2x2 table on the whole view (dof 1): Yates' correction under the oracle.
+    return association.chi_square_statistic(
+        _view(spark, d, "company_public_response", "consumer_disputed"),
+        row="company_public_response",
+        col="consumer_disputed",
+        weight="count",
+    )
+
+
 def _chi_square_report(spark, d):
     return association.chi_square(
         _view(spark, d, "submitted_via", "company_response_to_consumer"), weight="count"
@@ -284,6 +294,7 @@ QUERIES: dict[str, Query] = {
     "chi_square_channel_response": _chi_square_channel_response,
     "chi_square_presence": _chi_square_presence,
     "chi_square_subissue_dispute": _chi_square_subissue_dispute,
+    "chi_square_public_response_dispute": _chi_square_public_response_dispute,
     "chi_square_report": _chi_square_report,
     "daily_trend": _daily_trend,
     "trend_for_year": _trend_for_year,
@@ -570,6 +581,9 @@ FROM rm CROSS JOIN cm LEFT JOIN cells ON cells.r = rm.r AND cells.c = cm.c"""
         "submitted_via", "company_response_to_consumer", "presence"
     ),
     "chi_square_subissue_dispute": _chi_square_sql("subissue", "consumer_disputed", "count"),
+    "chi_square_public_response_dispute": _chi_square_sql(
+        "company_public_response", "consumer_disputed", "count"
+    ),
     "daily_trend": f"WITH complaints AS ({VIEW_SQL}), {_DAILY}\nSELECT * FROM cut",
     "trend_for_year": f"WITH complaints AS ({VIEW_SQL}), {_DAILY}\n"
     f"SELECT * FROM cut WHERE year(date_received) = {YEAR}",
