@@ -4,7 +4,9 @@ A Complement Naive Bayes text classifier as a Spark ML pipeline:
 
     RegexTokenizer -> [StopWordsRemover] -> CountVectorizer -> [IDF]
       -> StringIndexer(label) -> NaiveBayes(modelType='complement')
-      -> IndexToString(prediction)
+
+and ``IndexToString`` turns the predicted index back into the label when
+scoring.
 
 Tokens are maximal runs of two or more letters, digits or underscores in the
 lower-cased text (the common two-word-character bag-of-words rule, with Unicode
@@ -110,8 +112,9 @@ def train_response_model(
     tree: first per (class, group of input partitions) -- ``groups_per_class``
     groups, by default about the square root of the partition count -- then
     the Naive Bayes fit merges those few partial sums per class.  The model is
-    the same: the counts are integers, summed exactly.  Texts are tokenised
-    once; the tokens are kept (memory, then disk) for the fit only.
+    the same (term counts are integers, summed exactly; with ``use_idf`` the
+    weighted sums agree up to rounding).  Texts are tokenised once; the
+    tokens are kept (memory, then disk) for the fit only.
     """
     data = df.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
     tokenizer = RegexTokenizer(
@@ -146,7 +149,8 @@ def train_response_model(
         stages.append(indexer)
         indexed = indexer.transform(features)
 
-        groups = groups_per_class or max(1, math.isqrt(indexed.rdd.getNumPartitions()))
+        # ``tokens`` is persisted and ``indexed`` is a map over it: same partitions.
+        groups = groups_per_class or max(1, math.isqrt(tokens.rdd.getNumPartitions()))
         partial = indexed.groupBy(
             F.col("_label_index"), (F.spark_partition_id() % groups).alias("_group")
         ).agg(Summarizer.sum(F.col(features_col)).alias("_sum"))
