@@ -140,3 +140,10 @@ def test_totals_and_summary_line(frame):
     rep = association.chi_square(c).first()
     assert rep.summary.startswith(f"Chi-square statistic: {rep.chi2}, p-value: ")
     assert rep.summary.endswith(f"Degrees of freedom: {rep.dof}")
+
+
+def test_crosstab_wide_with_given_columns(frame):
+    cells = {("Web", "Closed"): 4, ("Web", "Relief"): 1, ("Phone", "Closed"): 2}
+    wide = association.crosstab_wide(_table(frame, cells), columns=["Closed", "Relief", "Other"])
+    got = {r[CH]: (r.Closed, r.Relief, r.Other) for r in wide.collect()}
+    assert got == {"Web": (4, 1, 0), "Phone": (2, 0, 0)}

@@ -124,3 +124,16 @@ def test_top_issue_per_year(frame):
     )
     got = sorted((r.year, r.issue, r["count"]) for r in trends.top_issue_per_year(frame(rows)).collect())
     assert got == [(2019, "a", 3), (2020, "Unknown", 5)]
+
+
+def test_wide_with_given_categories_needs_no_discovery(frame):
+    rows, _ = _category_rows(random.Random(9))
+    cat = "company_response_to_consumer"
+    given = ["Closed", "In progress", "Not in data"]
+    wide = trends.category_trend_wide(frame(rows), cat, categories=given)
+    assert wide.columns == ["date_received", *given]
+    found = trends.category_trend_wide(frame(rows), cat).toPandas().set_index("date_received")
+    got = wide.toPandas().set_index("date_received")
+    assert (got["Not in data"] == 0).all()
+    for k in ("Closed", "In progress"):
+        assert list(got.loc[found.index, k]) == list(found[k])
