@@ -20,10 +20,11 @@ and never touches the document texts.
 
 Dimension attributes are attached at the order level first (orders ->
 customer -> nation), so ``lineitem`` is joined once to an orders-sized
-frame.  No join is hinted: the big joins are shuffle joins on their keys,
-and Spark broadcasts ``nation`` (and, at small scale factors, ``part`` and
-``supplier``) only when its size statistics are under the broadcast
-threshold.
+frame.  No join between tables is hinted: the big joins are shuffle joins
+on their keys, and Spark broadcasts ``nation`` (and, at small scale factors,
+``part`` and ``supplier``) only when its size statistics are under the
+broadcast threshold.  The one hint is on the at most ``first_ids`` ids of the
+smallest-id restriction.
 """
 
 from __future__ import annotations
