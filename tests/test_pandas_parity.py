@@ -105,3 +105,26 @@ def test_counts_match_pandas(spark, rows):
     want = {int(y): (grp.iloc[0].issue, int(grp.iloc[0].n)) for y, grp in g.groupby("year")}
     got = {r.year: (r.issue, r["count"]) for r in trends.top_issue_per_year(c).collect()}
     assert got == want
+
+
+cell = st.tuples(st.integers(0, 45), st.sampled_from(["A", "B", "C, d", "É"]), st.integers(1, 5))
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(cell, min_size=1, max_size=80))
+def test_category_trend_matches_pandas_pivot_rolling(spark, cells):
+    rows = []
+    for d, k, n in cells:
+        rows += [complaint(date_received=dt.date(2021, 1, 1) + dt.timedelta(days=d),
+                           company_response_to_consumer=k)] * n
+    c = spark.createDataFrame(rows, COMPLAINT_SCHEMA)
+    pdf = _pdf(rows)[["date_received", RESP]]
+    per_day = pdf.groupby(["date_received", RESP]).size().reset_index(name="count")
+    wide = per_day.pivot(index="date_received", columns=RESP, values="count").fillna(0)
+    mva = wide.rolling(window=30).mean()
+    got = trends.category_trend(c, RESP).collect()
+    assert len(got) == wide.shape[0] * wide.shape[1]
+    for r in got:
+        assert r["count"] == wide.loc[r.date_received, r[RESP]]
+        want = mva.loc[r.date_received, r[RESP]]
+        assert (pd.isna(want) and r.monthly_mva is None) or abs(want - r.monthly_mva) < 1e-12
