@@ -23,5 +23,7 @@ def sample_rows(c: DataFrame, n: int = 5) -> DataFrame:
 
 
 def sample_records(c: DataFrame, n: int = 5) -> DataFrame:
-    """The sample as JSON records (``to_dict('records')``), one string per row."""
-    return sample_rows(c, n).select(F.to_json(F.struct(*c.columns)).alias("record"))
+    """The sample as JSON records (``to_dict('records')``), one string per
+    row; like pandas, every column is a key, nulls included."""
+    record = F.to_json(F.struct(*c.columns), {"ignoreNullFields": "false"})
+    return sample_rows(c, n).select(record.alias("record"))

@@ -63,4 +63,5 @@ def test_sample_rows_is_ordered_and_bounded(frame):
     assert got[0].complaint_id is None  # nulls first
     assert [r.complaint_id for r in got[1:]] == [0, 1, 2, 3]
     recs = profile.sample_records(frame(rows), 2).collect()
-    assert len(recs) == 2 and recs[1].record.startswith('{"complaint_id":0')
+    assert len(recs) == 2 and recs[1].record.startswith('{"complaint_id":0,"date_received":"2020-01-01"')
+    assert recs[0].record.startswith('{"complaint_id":null,') and '"consumer_disputed":null}' in recs[0].record
