@@ -9,6 +9,9 @@ median of $BENCH_REPEAT runs is reported.  Prints one JSON line:
 
 ``report`` times the full report: all queries from one stored complaints
 table (built once from the view) versus each query from the view.
+
+Set ``BENCH_EVENT_LOG_DIR`` to a scratch folder to keep Spark's event log
+(stage and task times) of the run.
 """
 
 from __future__ import annotations
@@ -37,11 +40,12 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     only = [x for x in os.environ.get("BENCH_QUERIES", "").split(",") if x]
+    conf = {"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")}
+    event_log = os.environ.get("BENCH_EVENT_LOG_DIR")  # stage and task times, for analysis
+    if event_log:
+        conf.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": event_log})
     spark = get_session(
-        f"local[{cpus}]",
-        app_name="redress-bench",
-        shuffle_partitions=int(cpus),
-        conf={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")},
+        f"local[{cpus}]", app_name="redress-bench", shuffle_partitions=int(cpus), conf=conf
     )
     spark.sparkContext.setLogLevel("ERROR")
     names = only or list(QUERIES)
