@@ -11,7 +11,7 @@ membership test is an ``IN`` list that reaches the parquet reader.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from redress.functions.labels import CLOSING_RESPONSES, bool_text
@@ -58,3 +58,26 @@ def dispute_by_response(
         "share",
         F.col("Count_response") / F.sum("Count_response").over(Window.partitionBy("Response")),
     )
+
+
+def dispute_by_response_sql(
+    spark: SparkSession, table: str, responses: list[str] | None = None
+) -> DataFrame:
+    """``dispute_by_response`` through the SQL API, the response list bound
+    as an array parameter (the reference's ``IN UNNEST(@required_responses)``)
+    over a table or view named ``table``.  The DataFrame form is preferred:
+    its ``IN`` list reaches the parquet reader, the bound array does not."""
+    if not table.replace("_", "").replace(".", "").isalnum():
+        raise ValueError(f"not a table name: {table!r}")
+    wanted = list(CLOSING_RESPONSES if responses is None else responses)
+    query = f"""
+        SELECT company_response_to_consumer AS Response,
+               CASE WHEN consumer_disputed THEN 'True' ELSE 'False' END AS Dispute,
+               COUNT(*) AS Count_response,
+               COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY company_response_to_consumer) AS share
+        FROM {table}
+        WHERE company_response_to_consumer IS NOT NULL
+          AND array_contains(:responses, company_response_to_consumer)
+          AND consumer_disputed IS NOT NULL
+        GROUP BY company_response_to_consumer, consumer_disputed"""
+    return spark.sql(query, args={"responses": F.array(*[F.lit(x) for x in wanted])})

@@ -65,3 +65,13 @@ def test_sample_rows_is_ordered_and_bounded(frame):
     recs = profile.sample_records(frame(rows), 2).collect()
     assert len(recs) == 2 and recs[1].record.startswith('{"complaint_id":0,"date_received":"2020-01-01"')
     assert recs[0].record.startswith('{"complaint_id":null,') and '"consumer_disputed":null}' in recs[0].record
+
+
+def test_dispute_by_response_sql_binds_the_list(spark, frame):
+    c = _rows(frame)
+    c.createOrReplaceTempView("complaints_outcomes")
+    want = sorted(map(tuple, outcomes.dispute_by_response(c).collect()))
+    got = sorted(map(tuple, outcomes.dispute_by_response_sql(spark, "complaints_outcomes").collect()))
+    assert got == want
+    one = outcomes.dispute_by_response_sql(spark, "complaints_outcomes", ["In progress"]).collect()
+    assert [(r.Response, r.Dispute, r.Count_response) for r in one] == [("In progress", "True", 7)]
