@@ -128,3 +128,37 @@ def test_category_trend_matches_pandas_pivot_rolling(spark, cells):
         assert r["count"] == wide.loc[r.date_received, r[RESP]]
         want = mva.loc[r.date_received, r[RESP]]
         assert (pd.isna(want) and r.monthly_mva is None) or abs(want - r.monthly_mva) < 1e-12
+
+
+table = st.lists(st.lists(st.integers(0, 12), min_size=1, max_size=4), min_size=1, max_size=4).map(
+    lambda rows: [r + [0] * (max(map(len, rows)) - len(r)) for r in rows]
+)
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@given(table)
+def test_chi_square_matches_textbook_on_random_tables(spark, obs):
+    import numpy as np
+
+    from redress.functions.stats import chi2_sf
+
+    rows = []
+    for i, line in enumerate(obs):
+        for j, n in enumerate(line):
+            rows += [complaint(submitted_via=f"r{i}", company_response_to_consumer=f"c{j}")] * n
+    if not rows:
+        return
+    got = association.chi_square(spark.createDataFrame(rows, COMPLAINT_SCHEMA)).first()
+    o = np.array(obs, dtype=float)
+    o = o[o.sum(1) > 0][:, o.sum(0) > 0]  # the table has only observed row / column keys
+    n = o.sum()
+    e = np.outer(o.sum(1), o.sum(0)) / n
+    dof = (o.shape[0] - 1) * (o.shape[1] - 1)
+    assert got.dof == dof and got.n == n
+    if dof == 0:
+        assert (got.chi2, got.p_value) == (0.0, 1.0)
+        return
+    oc = o + (np.minimum(0.5, np.abs(e - o)) * np.sign(e - o) if dof == 1 else 0)
+    want = float(((oc - e) ** 2 / e).sum())
+    assert abs(got.chi2 - want) <= 1e-9 * max(1.0, want)
+    assert abs(got.p_value - chi2_sf(want, dof)) <= 1e-9
