@@ -62,6 +62,17 @@ def test_counts_match_pandas(spark, rows):
     got = {(r.product, r.subproduct, r.state): r.Counts_Complaints for r in counts.product_subproduct_state(c).collect()}
     assert _norm(got) == _norm(want)
 
+    # A13: sub-products per product in first-appearance order over the counts
+    # sorted by count descending (ties pinned: product, sub-product, state).
+    pss = sub.groupby(["product", "subproduct", "state"], dropna=False)["state"].count().reset_index(name="n")
+    pss = pss.assign(_st=pss.state.map(lambda x: "" if pd.isna(x) else "~" + x))
+    pss = pss.sort_values(["n", "product", "subproduct", "_st"], ascending=[False, True, True, True], na_position="first")
+    want = pss[pss["product"].notna()].groupby("product", sort=False)["subproduct"].unique().apply(list).to_dict()
+    got = {}
+    for r in sorted(counts.product_subproduct_lists(c).collect(), key=lambda r: (r.product, r.position)):
+        got.setdefault(r.product, []).append(r.subproduct)
+    assert got == want
+
     # A4: labels, grouped by label, COUNT(issue)
     lab = pdf.assign(li=pdf.issue.fillna("Unknown"), ls=pdf.subissue.fillna("Unknown"))
     want = lab.groupby(["li", "ls"])["issue"].count().to_dict()
