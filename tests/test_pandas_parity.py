@@ -84,6 +84,19 @@ def test_counts_match_pandas(spark, rows):
     got12 = {r.issue: r["count"] for r in counts.issue_totals(c).collect()}
     assert _norm(got3) == _norm(want3) == _norm(got12)
 
+    # A13 + J4: sub-issues per issue in first-appearance order over the pairs
+    # sorted by count descending, issues reindexed by their totals.
+    pairs = lab.groupby(["li", "ls"])["issue"].count().reset_index(name="n")
+    pairs = pairs.sort_values(["n", "li", "ls"], ascending=[False, True, True])
+    totals = pairs.groupby("li")["n"].sum().reset_index().sort_values(["n", "li"], ascending=[False, True])
+    issues = list(totals.li)
+    want = pairs.groupby("li", sort=False)["ls"].unique().apply(list).reindex(issues).to_dict()
+    rows = sorted(counts.issue_subissue_lists(c).collect(), key=lambda r: (r.issue_position, r.position))
+    got = {}
+    for r in rows:
+        got.setdefault(r.issue, []).append(r.subissue)
+    assert list(got) == issues and got == want
+
     # A5: COUNT(*) per (channel, response), nulls as groups
     want = pdf.groupby(["submitted_via", RESP], dropna=False).size().to_dict()
     got = {(r.submitted_via, r[RESP]): r.Count_Response for r in association.channel_response_counts(c).collect()}
