@@ -97,6 +97,12 @@ def test_counts_match_pandas(spark, rows):
         got.setdefault(r.issue, []).append(r.subissue)
     assert list(got) == issues and got == want
 
+    # T5 + T6 + P5: the 3 largest pairs among the 2 largest issues (ties pinned)
+    top = set(totals.li.head(2))
+    want = [tuple(x) for x in pairs[pairs.li.isin(top)].head(3)[["li", "ls", "n"]].itertuples(index=False)]
+    got = [(r.issue, r.subissue, r["count"]) for r in counts.top_issue_subissue(c, 2, 3).collect()]
+    assert sorted(got) == sorted(want)
+
     # A5: COUNT(*) per (channel, response), nulls as groups
     want = pdf.groupby(["submitted_via", RESP], dropna=False).size().to_dict()
     got = {(r.submitted_via, r[RESP]): r.Count_Response for r in association.channel_response_counts(c).collect()}
