@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redress.llm.common import stored
+from redress.llm.common import ship, stored
 
 FEATURES = [
     "log_words", "log_bytes", "word_length", "distinct_words", "upper", "digits", "symbols", "high_bytes",
@@ -78,6 +78,7 @@ def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             rows = np.array([features(t) for t in b.column(1).to_pylist()], dtype=float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, rows.T)], names=["id", *FEATURES])
 
+    ship(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     return src.mapInArrow(run, ", ".join([f"id {kind}", *(f"{c} double" for c in FEATURES)]))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redress.llm.common import stored
+from redress.llm.common import ship, stored
 
 #: Permitted sequence lengths, and the cost of a bin beside its length.
 CAPACITIES, OVERHEAD = (512, 1024, 2048, 4096), 64
@@ -105,6 +105,7 @@ def pack_rows(
 
 
 def _packed(pieces: DataFrame, id_col: str, capacities: tuple, overhead: int, shard_rows: int) -> DataFrame:
+    ship(pieces.sparkSession)
     kept = stored(pieces, "pieces")
     filled = kept.where("size > 0")
     shards = max(1, -(-filled.count() // shard_rows))

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from redress.llm.common import ship
+
 MARK = "▁"  # stands for a space inside pieces
 #: Segments that a task remembers, and symbols from which a segment is merged with a heap.
 CACHE, LONG = 500_000, 512
@@ -371,6 +373,7 @@ def decode_rows(ids: DataFrame, model_file: str, id_col: str = "doc_id", ids_col
             texts = [codec(model_file).decode(x.as_py() or []) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
+    ship(ids.sparkSession)
     src = ids.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
     kind = src.schema["id"].dataType.simpleString()
     return src.mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
@@ -403,6 +406,7 @@ def _mapped(docs: DataFrame, id_col: str, text_col: str, schema: str, work) -> D
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), *arrays], names=names)
                 at = end
 
+    ship(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     return src.mapInArrow(run, f"id {kind}, {schema}").withColumnRenamed("id", id_col)

@@ -9,8 +9,9 @@ and verified by its cosine in double precision.
 
 Lists are cut into blocks of at most ``block`` vectors and one group holds
 two blocks, so no task sees a whole hot list; inside a group the shared-pivot
-counts and cosines are matrix products.  Groups return sums per vector and at
-most one edge per vector and block row, never pairs.  Equal vectors are one
+counts and cosines are matrix products.  Groups return, per
+vector, a sum and the smallest vector it reaches inside the group, never
+pairs.  Equal vectors are one
 class (with its number of rows) from the start.
 """
 
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redress.llm.common import attach, stored
+from redress.llm.common import attach, ship, stored
 from redress.llm.components import connected_components
 
 #: Bounds of the broadcast reference points: their number, and their floats (16 MB).
@@ -74,6 +75,27 @@ def _nearest(pivots: np.ndarray, depth: int, width: int):
     return run
 
 
+def _least_reached(met: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest node that every row and column of ``met`` reaches through
+    it; each row and column is looked at once."""
+    out_l, out_r = left.copy(), right.copy()
+    open_l, open_r = met.any(axis=1), met.any(axis=0)
+    for i in np.flatnonzero(open_l):
+        if not open_l[i]:
+            continue
+        rows, all_rows, all_cols = np.array([i]), [], []
+        while len(rows):
+            open_l[rows] = False
+            all_rows.append(rows)
+            cols = np.flatnonzero(met[rows].any(axis=0) & open_r)
+            open_r[cols] = False
+            all_cols.append(cols)
+            rows = np.flatnonzero(met[:, cols].any(axis=1) & open_l) if len(cols) else cols
+        r, c = np.concatenate(all_rows), np.concatenate(all_cols)
+        out_l[r] = out_r[c] = min(left[r].min(), right[c].min())
+    return out_l, out_r
+
+
 def _group(width: int, cosine: float, min_shared: int, step: int = 1024):
     """One group of a list: block a against block b (a = b: against itself)."""
 
@@ -95,7 +117,7 @@ def _group(width: int, cosine: float, min_shared: int, step: int = 1024):
         wl, wr = (x["n"].to_numpy() for x in (left, right))
         k = len(left)
         links_l, links_r = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
-        least_l, least_r = nl.copy(), nr.copy()
+        met = np.zeros((len(left), len(right)), bool)
         for i in range(0, k, step):
             s = slice(i, min(i + step, k))
             ok = marks[s] @ marks[k:].T >= min_shared
@@ -105,12 +127,11 @@ def _group(width: int, cosine: float, min_shared: int, step: int = 1024):
             ok &= dl[s, None] == dr[None, :]
             if a == b:
                 ok &= nl[s, None] != nr[None, :]
-            links_l[s] += ok @ wr
-            far = np.iinfo(np.int64).max
-            least_l[s] = np.minimum(least_l[s], np.where(ok, nr[None, :], far).min(axis=1))
+            met[s] = ok
+            links_l[s] = ok @ wr
             if a != b:
                 links_r += wl[s] @ ok
-                least_r = np.minimum(least_r, np.where(ok, nl[s, None], far).min(axis=0))
+        least_l, least_r = _least_reached(met, nl, nr)
         parts = [(nl, links_l, least_l)] + ([(nr, links_r, least_r)] if a != b else [])
         out = pd.concat([pd.DataFrame({"node": x, "links": y, "least": z}) for x, y, z in parts])
         return out[out["links"] > 0]
@@ -120,7 +141,7 @@ def _group(width: int, cosine: float, min_shared: int, step: int = 1024):
 
 def near_duplicates(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9,
-    depth: int = 8, min_shared: int = 2, block: int = 2048,
+    depth: int = 12, min_shared: int = 2, block: int = 2048,
 ) -> DataFrame:
     """(id_col, n_links, component_id, kept) for every row of ``vectors``.
 
@@ -163,6 +184,7 @@ def near_duplicates(
 def _links(classes: DataFrame, cosine: float, depth: int, min_shared: int, block: int) -> DataFrame:
     """(node, links, component) of the classes with a link to another class."""
     spark = classes.sparkSession
+    ship(spark)
     n, width = classes.agg(F.count("*"), F.max(F.size("vec"))).first()
     if not n:
         return spark.createDataFrame([], "node long, links long, component long")

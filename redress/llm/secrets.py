@@ -27,10 +27,14 @@ KINDS = ["assign", "access", "hex", "markov"]
 
 #: What the models judge, and the labelled samples they learn from.
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
+_PART = r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}"
+IDENTIFIER = rf"(?<![A-Za-z0-9]){_PART})(?:[_-]?{_PART}|[0-9]{{1,4}}))*(?![A-Za-z0-9])"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Documents whose words are samples of ordinary identifiers, and strings that
 #: are samples of random ones: at most so many, the first by hash.
 SAMPLE_DOCS, SAMPLE_STRINGS = 2000, 20_000
+#: Weight, in transitions, of the characters' overall shares in every row of a model.
+BACKOFF = 20
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -85,40 +89,48 @@ def _transitions(strings: DataFrame, label: int) -> DataFrame:
 
 def train(scanned: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_strings: int = SAMPLE_STRINGS) -> list[float] | None:
     """Log-likelihood ratio (random over ordinary) of every transition of
-    ALPHABET, with one added to every count, from rows (id, text, base).
+    ALPHABET, from rows (id, text, base).
 
-    Random strings: the matched text of access and hexadecimal spans, at most
-    ``sample_strings`` of them.  Ordinary: the words of 4 characters or more
-    that touch no base span, of at most ``sample_docs`` documents.  Both are
-    the first by hash.  None if either sample is empty.
+    Random strings: the last 200 characters of what base spans end in, if 16
+    or more and with a digit, at most ``sample_strings`` of them.  Ordinary: words and
+    names (IDENTIFIER) in at most ``sample_docs`` documents without a base
+    span.  Both are the first by hash.  None if either sample is empty.
     """
     values = (
         scanned.where("size(base) > 0")
-        .select("text", F.explode("base").alias("s")).where("s.kind IN (1, 2)")
-        .select(F.expr("substring(text, s.start + 1, least(s.end - s.start, 200))").alias("s"))
-        .distinct().orderBy(F.xxhash64("s"), "s").limit(sample_strings)
+        .select("text", F.explode("base").alias("s"))
+        .select(F.expr("substring(text, s.start + 1, s.end - s.start)").alias("s"))
+        .select(F.regexp_extract("s", "[A-Za-z0-9+/_=-]{1,200}$", 0).alias("s"))
+        .where("length(s) >= 16 AND s RLIKE '[0-9]'").distinct().orderBy(F.xxhash64("s"), "s").limit(sample_strings)
     )
     words = (
         scanned.where("size(base) = 0 AND text <> ''").select(F.xxhash64("id", "text").alias("h"), "text")
         .orderBy("h").limit(sample_docs)
-        .select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_-]{4,}"), 0)).alias("s"))
+        .select(F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), 0)).alias("s"))
     )
     # at most |ALPHABET| ** 2 rows a label
     rows = _transitions(values, 1).unionByName(_transitions(words, 0)).collect()
     size, at = len(ALPHABET), {c: i for i, c in enumerate(ALPHABET)}
-    counts = [[1.0] * (size * size) for _ in range(2)]
-    seen = [0, 0]
+    counts = [[0.0] * (size * size) for _ in range(2)]
     for r in rows:
         if r["a"] in at and r["b"] in at:
             counts[r["label"]][at[r["a"]] * size + at[r["b"]]] += r["n"]
-            seen[r["label"]] += r["n"]
-    if not all(seen):
+    if not all(map(any, counts)):
         return None
-    logs = []
-    for table in counts:
-        totals = [sum(table[i * size : (i + 1) * size]) for i in range(size)]
-        logs.append([math.log(x / totals[k // size]) for k, x in enumerate(table)])
-    return [round(a - b, 6) for a, b in zip(logs[1], logs[0])]
+    ordinary, random = (_log_probabilities(c, size) for c in counts)
+    return [round(a - b, 6) for a, b in zip(random, ordinary)]
+
+
+def _log_probabilities(counts: list[float], size: int) -> list[float]:
+    """log P(b | a); what follows a rarely seen character is as likely as the
+    characters are on the whole."""
+    whole = [sum(counts[b::size]) + 0.5 for b in range(size)]
+    total = sum(whole)
+    out = []
+    for a in range(size):
+        row = counts[a * size : (a + 1) * size]
+        out += [math.log((n + BACKOFF * w / total) / (sum(row) + BACKOFF)) for n, w in zip(row, whole)]
+    return out
 
 
 def markov_spans(text: Column, model: list[float] | None, base: Column, threshold: float = 0.5) -> Column:
@@ -190,8 +202,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
 
     done = F.aggregate("_spans", zero, add)
     text = F.concat(F.array_join(done["out"], ""), F.substr(own, done["at"] + 1, F.length(own)))
-    hit = F.size("_spans") > 0
-    new = {text_col: F.when(hit, text).otherwise(F.col(text_col))}
+    marked = marked.withColumn("_masked", F.when(F.size("_spans") > 0, text))
+    new = {text_col: F.coalesce("_masked", text_col)}
     if count_col and count_col in docs.columns:
-        new[count_col] = F.when(hit, F.length(text).cast(docs.schema[count_col].dataType)).otherwise(F.col(count_col))
+        new[count_col] = F.coalesce(F.length("_masked").cast(docs.schema[count_col].dataType), count_col)
     return marked.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redress.llm.common import attach, stored
+from redress.llm.common import attach, ship, stored
 
 EOL = "\r\n"
 END = EOL * 2
@@ -205,6 +205,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = False) ->
                 if rows:
                     yield pd.DataFrame(rows, columns=names)
 
+    ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInPandas(run, schema)
 
