@@ -15,6 +15,8 @@ from redress.session import checkpoint_dir
 
 #: Keys that :func:`attach` joins by broadcast: at most this many rows, whatever the input.
 HOT_KEYS = 1000
+#: Groups of up to so many rows are left to the ordinary join.
+HOT_ROWS = 1000
 
 #: The white space that the text operators know: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\x0c\r"
@@ -67,7 +69,7 @@ def attach(left: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame
     never shuffled to one task; the others go through an ordinary join.
     Rows with a null key get nulls.  ``left`` is read twice: give it stored.
     """
-    hot = groups.orderBy(F.desc(size), key).limit(HOT_KEYS).withColumn("_hot", F.lit(True))
+    hot = groups.where(F.col(size) > HOT_ROWS).orderBy(F.desc(size), key).limit(HOT_KEYS).withColumn("_hot", F.lit(True))
     marked = left.join(F.broadcast(hot), key, "left")
     names = [*left.columns, *[c for c in groups.columns if c != key]]
     first = marked.where("_hot").select(*names)
@@ -75,6 +77,12 @@ def attach(left: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame
     return first.unionByName(rest)
 
 
-def row_key(df: DataFrame, columns: list[str]) -> list:
-    """Null-safe join keys of ``columns``: a flag and a value for each."""
-    return [x for c in columns for x in (df[c].isNull(), df[c])]
+def sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """About ``rows`` rows of ``df``, at most twice as many; all if it has no
+    more.  Rows are chosen by the hash of the columns ``by``, where they are:
+    nothing is sorted or gathered."""
+    total = df.count()
+    if total <= rows:
+        return df
+    drawn = F.pmod(F.xxhash64(*by), F.lit(1 << 31)) < int(rows / total * (1 << 31))
+    return df.where(drawn).limit(2 * rows)

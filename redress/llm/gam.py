@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redress.llm.common import ship, stored
+from redress.llm.common import sample, ship, stored
 
 FEATURES = [
     "log_words", "log_bytes", "word_length", "distinct_words", "upper", "digits", "symbols", "high_bytes",
@@ -202,11 +202,12 @@ def held_out(id_col: str = "doc_id"):
 
 def learn(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality",
           max_rows: int = 20_000) -> Gam:
-    """Fit on at most ``max_rows`` labelled rows of the feature table that
-    are not held out: all of them, or those first by the hash of their id."""
+    """Fit on the labelled rows of the feature table that are not held out:
+    all of them, or about ``max_rows`` (at most twice as many) by hash."""
     known = labels.where(~held_out(id_col)).where(F.col(label_col).isin(0, 1)).groupBy(
         F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    rows = table.join(known, "id").orderBy(F.xxhash64("id"), *FEATURES).limit(max_rows).toPandas()
+    rows = sample(stored(table.join(known, "id"), "quality-labelled"), max_rows, "id", *FEATURES).toPandas()
+    rows = rows.sort_values(["id", *FEATURES])  # the same sums on every run
     return fit(rows[FEATURES].to_numpy(float).reshape(-1, len(FEATURES)), rows["label"].to_numpy(float))
 
 

@@ -24,10 +24,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redress.llm.common import attach, ship, stored
+from redress.llm.common import attach, sample, ship, stored
 from redress.llm.components import connected_components
 
-#: Bounds of the broadcast reference points: their number, and their floats (16 MB).
+#: Bounds of the broadcast reference points: their number, and their values.  A
+#: sample has at most twice as many: 32 MB in double precision.
 MAX_PIVOTS = 65_536
 MAX_PIVOT_VALUES = 1 << 21
 
@@ -52,10 +53,10 @@ def valid(vector: str):
 
 def choose_pivots(classes: DataFrame, n: int, width: int) -> np.ndarray:
     """At most min(4 sqrt(n), MAX_PIVOTS, MAX_PIVOT_VALUES / width) class
-    vectors, the first ones by hash: a bounded sample, the same on every run."""
+    vectors, more or less, chosen by hash: a bounded sample, the same on every run."""
     count = max(1, min(math.ceil(4 * math.sqrt(n)), MAX_PIVOTS, MAX_PIVOT_VALUES // max(width, 1)))
-    rows = classes.orderBy(F.xxhash64("node"), "node").limit(count).select("vec").toPandas()
-    return _unit(rows["vec"], width)
+    rows = sample(classes.select("node", "vec"), count, "node").toPandas().sort_values("node")
+    return _unit(rows["vec"] if len(rows) else classes.limit(1).toPandas()["vec"], width)
 
 
 def _nearest(pivots: np.ndarray, depth: int, width: int):

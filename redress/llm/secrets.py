@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redress.llm.common import stored
+from redress.llm.common import sample, stored
 
 # The patterns of the base kinds.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -31,7 +31,7 @@ _PART = r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}"
 IDENTIFIER = rf"(?<![A-Za-z0-9]){_PART})(?:[_-]?{_PART}|[0-9]{{1,4}}))*(?![A-Za-z0-9])"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Documents whose words are samples of ordinary identifiers, and strings that
-#: are samples of random ones: at most so many, the first by hash.
+#: are samples of random ones: about so many, at most twice as many, by hash.
 SAMPLE_DOCS, SAMPLE_STRINGS = 2000, 20_000
 #: Weight, in transitions, of the characters' overall shares in every row of a model.
 BACKOFF = 20
@@ -101,13 +101,11 @@ def train(scanned: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_strings: in
         .select("text", F.explode("base").alias("s"))
         .select(F.expr("substring(text, s.start + 1, s.end - s.start)").alias("s"))
         .select(F.regexp_extract("s", "[A-Za-z0-9+/_=-]{1,200}$", 0).alias("s"))
-        .where("length(s) >= 16 AND s RLIKE '[0-9]'").distinct().orderBy(F.xxhash64("s"), "s").limit(sample_strings)
-    )
-    words = (
-        scanned.where("size(base) = 0 AND text <> ''").select(F.xxhash64("id", "text").alias("h"), "text")
-        .orderBy("h").limit(sample_docs)
-        .select(F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), 0)).alias("s"))
+        .where("length(s) >= 16 AND s RLIKE '[0-9]'").distinct()
     )
+    values = sample(stored(values, "secret-samples"), sample_strings, "s")
+    words = sample(scanned, sample_docs, "id", "text").where("size(base) = 0").select(
+        F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), 0)).alias("s"))
     # at most |ALPHABET| ** 2 rows a label
     rows = _transitions(values, 1).unionByName(_transitions(words, 0)).collect()
     size, at = len(ALPHABET), {c: i for i, c in enumerate(ALPHABET)}
