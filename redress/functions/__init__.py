@@ -6,8 +6,6 @@ from redress.functions.labels import (
     PRODUCT_ABBREVIATIONS,
     UNKNOWN,
     bool_text,
-    label_value,
-    lookup_frame,
     map_labels,
     null_label,
 )
@@ -21,8 +19,6 @@ __all__ = [
     "bool_text",
     "chi2_p_value",
     "chi2_sf",
-    "label_value",
-    "lookup_frame",
     "map_labels",
     "null_label",
 ]

@@ -51,6 +51,8 @@ CLOSING_RESPONSES: list[str] = [
     "Closed with monetary relief",
     "Closed with non-monetary relief",
 ]
+# Every response, in the order of the wide trend's columns.
+RESPONSES: list[str] = [*CLOSING_RESPONSES, "In progress", "Untimely response"]
 # End of fixed values.
 # ---------------------------------------------------------------------------
 
@@ -67,22 +69,6 @@ def bool_text(col: str | Column) -> Column:
     return F.when(c.isNull(), F.lit(None).cast("string")).when(c, "True").otherwise("False")
 
 
-def label_value(col: str | Column) -> Column:
-    """``{'label': x, 'value': x}`` option record of a dropdown."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.struct(c.alias("label"), c.alias("value"))
-
-
-def lookup_frame(
-    spark: SparkSession, mapping: dict[str, str], key: str, value: str
-) -> DataFrame:
-    """A two-column frame of a small, fixed mapping (built from literals)."""
-    schema = T.StructType(
-        [T.StructField(key, T.StringType(), False), T.StructField(value, T.StringType(), False)]
-    )
-    return spark.createDataFrame(list(mapping.items()), schema)
-
-
 def map_labels(df: DataFrame, key: str, mapping: dict[str, str], out: str) -> DataFrame:
     """``Series.map(dict)``: add ``out`` = mapping[key], null on a miss.
 

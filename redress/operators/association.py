@@ -28,7 +28,8 @@ the second term in exact integer (decimal) arithmetic.
 Yates' correction (dof = 1, a 2x2 table) uses that |o - e| is the same in
 all four cells and sum(1/e) = n * sum_i(1/r_i) * sum_j(1/c_j).  Everything
 is one aggregation over the observed cells, their margins attached by
-windows over those cells (the raw rows are read once).  Only
+windows over those cells and n by a scalar subquery over them (the raw rows
+are read once).  Only
 the p-value needs a Python helper (the incomplete gamma function), applied
 to the single result row.
 """
@@ -56,6 +57,11 @@ ACCEPT_TEXT = (
 )
 
 
+def _with_alpha(text: str, alpha: float) -> str:
+    """A verdict text at another level than 0.05."""
+    return text if alpha == 0.05 else text.replace("0.05", f"{alpha:g}")
+
+
 def channel_response_counts(
     c: DataFrame, row: str = CHANNEL, col: str = RESPONSE, with_totals: bool = False
 ) -> DataFrame:
@@ -111,19 +117,20 @@ def crosstab_wide(
     return wide.na.fill(0, subset=[x for x in wide.columns if x != row])
 
 
-def _with_margins(
-    cells: DataFrame, row: str, col: str, value: str = "observed", total: bool = True
-) -> DataFrame:
-    """Attach row total ``_r``, column total ``_c`` and (with ``total``) the
-    grand total ``_n`` to each cell.
-
-    Windows over the aggregated cells, so the input is read once (separate
-    margin aggregates joined back would each re-run the input).
-    """
-    out = cells.withColumn("_r", F.sum(value).over(Window.partitionBy(row))).withColumn(
-        "_c", F.sum(value).over(Window.partitionBy(col))
+def _with_margins(cells: DataFrame, row: str, col: str, value: str = "observed") -> DataFrame:
+    """Attach row total ``_r`` and column total ``_c``, and the numbers of
+    cells ``_kr`` and ``_kc`` of the row and column, to each cell, by windows
+    partitioned by the keys."""
+    by_row, by_col = Window.partitionBy(row), Window.partitionBy(col)
+    return (
+        cells.withColumn("_r", F.sum(value).over(by_row)).withColumn("_kr", F.count(F.lit(1)).over(by_row))
+        .withColumn("_c", F.sum(value).over(by_col)).withColumn("_kc", F.count(F.lit(1)).over(by_col))
     )
-    return out.withColumn("_n", F.sum(value).over(Window.partitionBy())) if total else out
+
+
+def _total(cells: DataFrame, value: str = "observed"):
+    """The grand total as a scalar subquery over the aggregated cells."""
+    return cells.select(F.sum(value)).scalar()
 
 
 def expected_counts(
@@ -137,7 +144,7 @@ def expected_counts(
         row,
         col,
         F.col("observed").cast("long").alias("observed"),
-        (F.col("_r").cast("double") * F.col("_c").cast("double") / F.col("_n").cast("double")).alias(
+        (F.col("_r").cast("double") * F.col("_c").cast("double") / _total(cells).cast("double")).alias(
             "expected"
         ),
     )
@@ -153,66 +160,43 @@ def chi_square_statistic(
     """One row ``(chi2, dof, n_rows, n_cols, n)``.
 
     Matches ``scipy.stats.chi2_contingency``: Yates' correction when
-    dof = 1 (unless ``correction=False``); dof = 0 gives chi2 0.
-
-    The observed cells (at most R x C, aggregated) are gathered into one
-    array sorted by key and summed in that order, so the statistic is the
-    same double on every run and partitioning; integer parts (n, the sum of
-    r_i * c_j) are exact.
+    dof = 1 (unless ``correction=False``); dof = 0 gives chi2 0.  Plain sums
+    over the observed cells, so the last digits of ``chi2`` depend on the
+    order in which partial sums meet; integer parts are exact.
     """
     cells = contingency_cells(c, row, col, weight)
-    m = _with_margins(cells, row, col, total=False)
+    n = F.coalesce(_total(cells).cast("double"), F.lit(0.0))
+    o, r, k = (F.col(x).cast("double") for x in ("observed", "_r", "_c"))
+    e = r * k / n
     exact = "decimal(38,0)"
-    packed = m.agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    F.col(row).alias("k1"),
-                    F.col(col).alias("k2"),
-                    F.col("observed").cast("double").alias("o"),
-                    F.col("_r").cast("double").alias("r"),
-                    F.col("_c").cast("double").alias("c"),
-                )
-            )
-        ).alias("_cells"),
+    sums = _with_margins(cells, row, col).agg(
+        F.sum((o - e) * (o - e) / e).alias("_terms"),
         F.sum("observed").alias("_n"),
         F.sum(F.col("_r").cast(exact) * F.col("_c").cast(exact)).alias("_obs_rc"),
+        # each row and column once: its share of a cell, over its cells
+        F.sum(1.0 / F.col("_kr")).alias("_rows"),
+        F.sum(1.0 / F.col("_kc")).alias("_cols"),
+        F.sum(1.0 / (r * F.col("_kr"))).alias("_inv_r"),
+        F.sum(1.0 / (k * F.col("_kc"))).alias("_inv_c"),
     )
-    # Table size from the gathered cells (no distinct aggregation needed).
-    packed = packed.withColumn(
-        "n_rows", F.size(F.array_distinct(F.transform("_cells", lambda x: x["k1"]))).cast("long")
-    ).withColumn(
-        "n_cols", F.size(F.array_distinct(F.transform("_cells", lambda x: x["k2"]))).cast("long")
-    )
-    n = F.col("_n").cast("double")
-
-    def fold(array, term):
-        return F.aggregate(array, F.lit(0.0), lambda acc, x: acc + term(x))
-
-    def chi_term(x):
-        e = x["r"] * x["c"] / n
-        return (x["o"] - e) * (x["o"] - e) / e
-
-    def margin_inverses(key: str, total: str):
-        distinct = F.array_sort(
-            F.array_distinct(F.transform("_cells", lambda x: F.struct(x[key].alias("k"), x[total].alias("t"))))
-        )
-        return fold(distinct, lambda y: 1.0 / y["t"])
-
+    total = F.col("_n").cast("double")
     # Expected counts of the unobserved cells: (n^2 - sum_observed r*c) / n,
     # exactly 0 when every cell occurs.
     n_exact = F.col("_n").cast(exact)
-    unobserved_e = (n_exact * n_exact - F.col("_obs_rc")).cast("double") / n
-    plain = fold("_cells", chi_term) + unobserved_e
-    inv_e = n * margin_inverses("k1", "r") * margin_inverses("k2", "c")
+    unobserved_e = (n_exact * n_exact - F.col("_obs_rc")).cast("double") / total
+    plain = F.col("_terms") + unobserved_e
+    inv_e = total * F.col("_inv_r") * F.col("_inv_c")
     gap = F.sqrt(F.greatest(plain, F.lit(0.0)) / inv_e)
     yates = F.pow(gap - F.least(F.lit(0.5), gap), 2) * inv_e
+    sums = sums.withColumn("n_rows", F.coalesce(F.round("_rows").cast("long"), F.lit(0).cast("long"))).withColumn(
+        "n_cols", F.coalesce(F.round("_cols").cast("long"), F.lit(0).cast("long"))
+    )
     # A table with fewer than two rows or columns (or no cells) has dof 0.
     dof = (
         F.greatest(F.col("n_rows") - 1, F.lit(0)) * F.greatest(F.col("n_cols") - 1, F.lit(0))
     ).cast("long")
     chi2 = F.when(dof == 0, F.lit(0.0)).when((dof == 1) & F.lit(correction), yates).otherwise(plain)
-    return packed.select(
+    return sums.select(
         chi2.alias("chi2"),
         dof.alias("dof"),
         "n_rows",
@@ -243,9 +227,10 @@ def chi_square(
         "n_rows",
         "n_cols",
         "n",
-        F.when(F.col("p_value") < alpha, F.lit(REJECT_TEXT))
-        .otherwise(F.lit(ACCEPT_TEXT))
+        F.when(F.col("p_value") < alpha, F.lit(_with_alpha(REJECT_TEXT, alpha)))
+        .otherwise(F.lit(_with_alpha(ACCEPT_TEXT, alpha)))
         .alias("interpretation"),
+        # The labels of the reference's report line.
         F.concat(
             F.lit("Chi-square statistic: "), F.col("chi2").cast("string"),
             F.lit(", p-value: "), F.col("p_value").cast("string"),

@@ -17,10 +17,9 @@ Operators do not sort; top-n operators do, through ``orderBy().limit()``.
 
 Scale: every grouping key is a low-cardinality categorical; the only shuffles
 carry partially aggregated groups.  Windows without a partition key run on
-aggregated rows (one per distinct product, issue or (issue, sub-issue) pair).
-Default selections (``None`` arguments) are resolved inside the plan by
-ranking windows over the aggregated groups, never on the driver, and without
-a second pass over the input.
+totals (one per distinct product or issue).  Default selections (``None``
+arguments) are scalar subqueries over the aggregated groups, whose exchange
+Spark reuses.
 """
 
 from __future__ import annotations
@@ -67,33 +66,28 @@ def product_subproduct_state(c: DataFrame) -> DataFrame:
     )
 
 
-def _ranked_pairs(c: DataFrame) -> DataFrame:
-    """(product, subproduct) pairs of non-null products with the rank of the
-    product among products (``_product_rank``, by ``COUNT(product)``) and of
-    the sub-product within its product (``position``, by its largest
-    single-state count) -- one aggregation, then windows over the pairs."""
-    triples = (
+def _largest_product(triples: DataFrame):
+    """The product with most rows (ties: the smaller), a scalar subquery over
+    the (product, sub-product, state) groups with their ``_rows``."""
+    totals = triples.groupBy("product").agg(F.sum("_rows").alias("_total"))
+    return totals.orderBy(F.desc("_total"), F.asc("product")).limit(1).select("product").scalar()
+
+
+def _triples(c: DataFrame) -> DataFrame:
+    """Groups of non-null products: (product, subproduct, state,
+    Counts_Complaints, _rows)."""
+    return (
         c.where(F.col("subproduct").isNotNull() & F.col("product").isNotNull())
         .groupBy("product", "subproduct", "state")
-        .agg(F.count("state").alias("_per_state"), F.count(F.lit(1)).alias("_rows"))
-    )
-    pairs = triples.groupBy("product", "subproduct").agg(
-        F.max("_per_state").alias("_best"), F.sum("_rows").alias("_rows")
-    )
-    by_product = Window.partitionBy("product")
-    return (
-        pairs.withColumn("_total", F.sum("_rows").over(by_product))
-        .withColumn(
-            "position",
-            F.row_number().over(by_product.orderBy(F.desc("_best"), F.asc("subproduct"))),
-        )
-        .withColumn(
-            "_product_rank",
-            F.dense_rank().over(Window.orderBy(F.desc("_total"), F.asc("product"))),
-        )
+        .agg(F.count("state").alias("Counts_Complaints"), F.count(F.lit(1)).alias("_rows"))
     )
 
 
+def _positions(best: DataFrame) -> DataFrame:
+    w = Window.partitionBy("product").orderBy(F.desc("_best"), F.asc("subproduct"))
+    return best.select("product", F.row_number().over(w).alias("position"), "subproduct")
+
+
 def product_subproduct_lists(c: DataFrame, as_arrays: bool = False) -> DataFrame:
     """Sub-products of each product in first-appearance order.
 
@@ -109,8 +103,7 @@ def product_subproduct_lists(c: DataFrame, as_arrays: bool = False) -> DataFrame
         .groupBy("product", "subproduct")
         .agg(F.max("Counts_Complaints").alias("_best"))
     )
-    w = Window.partitionBy("product").orderBy(F.desc("_best"), F.asc("subproduct"))
-    rows = best.select("product", F.row_number().over(w).alias("position"), "subproduct")
+    rows = _positions(best)
     return _as_arrays(rows, "product", "subproduct", "subproducts") if as_arrays else rows
 
 
@@ -118,11 +111,9 @@ def subproducts_for(c: DataFrame, product: str | None = None) -> DataFrame:
     """``(product, position, subproduct)`` of one product (default: the largest)."""
     if product is not None:
         return product_subproduct_lists(c).where(F.col("product") == product)
-    return (
-        _ranked_pairs(c)
-        .where(F.col("_product_rank") == 1)
-        .select("product", "position", "subproduct")
-    )
+    triples = _triples(c)
+    mine = triples.where(F.col("product") == _largest_product(triples))
+    return _positions(mine.groupBy("product", "subproduct").agg(F.max("Counts_Complaints").alias("_best")))
 
 
 def state_counts_for(
@@ -137,31 +128,15 @@ def state_counts_for(
     if product is not None and subproduct is not None:
         picked = counts.where((F.col("product") == product) & (F.col("subproduct") == subproduct))
         return picked.select("state", "Counts_Complaints")
-    # One pass: rank inside the (product, sub-product, state) groups.
-    triples = (
-        c.where(F.col("subproduct").isNotNull() & F.col("product").isNotNull())
-        .groupBy("product", "subproduct", "state")
-        .agg(F.count("state").alias("Counts_Complaints"), F.count(F.lit(1)).alias("_rows"))
-    )
-    if product is not None:
-        triples = triples.where(F.col("product") == product)
-    by_pair = Window.partitionBy("product", "subproduct")
-    ranked = (
-        triples.withColumn("_best", F.max("Counts_Complaints").over(by_pair))
-        .withColumn("_total", F.sum("_rows").over(Window.partitionBy("product")))
-        .withColumn(
-            "_product_rank",
-            F.dense_rank().over(Window.orderBy(F.desc("_total"), F.asc("product"))),
-        )
-    )
-    ranked = ranked.where(F.col("_product_rank") == 1)
-    if subproduct is not None:
-        return ranked.where(F.col("subproduct") == subproduct).select("state", "Counts_Complaints")
-    ranked = ranked.withColumn(
-        "_sub_rank",
-        F.dense_rank().over(Window.partitionBy("product").orderBy(F.desc("_best"), F.asc("subproduct"))),
-    )
-    return ranked.where(F.col("_sub_rank") == 1).select("state", "Counts_Complaints")
+    triples = _triples(c)
+    chosen = F.lit(product) if product is not None else _largest_product(triples)
+    mine = triples.where(F.col("product") == chosen)
+    if subproduct is None:
+        best = mine.groupBy("subproduct").agg(F.max("Counts_Complaints").alias("_best"))
+        first = best.orderBy(F.desc("_best"), F.asc("subproduct")).limit(1).select("subproduct").scalar()
+    else:
+        first = F.lit(subproduct)
+    return mine.where(F.col("subproduct") == first).select("state", "Counts_Complaints")
 
 
 # ----------------------------------------------------------------------------
@@ -214,12 +189,12 @@ def top_issue_subissue(
 
     ``(issue, subissue, count, issue_abbrev, issue_total)``: ``issue_total``
     is the sum over the kept rows of the same abbreviation, the bar order of
-    the chart.  The issue ranking is a window over the aggregated pairs, so
-    the input is read once.
+    the chart.
     """
-    ranked = _rank_issues(issue_subissue_counts(c))
+    pairs = issue_subissue_counts(c)
+    top = top_issues(c, n_issues, pairs).select("issue")
     kept = (
-        ranked.where(F.col("_issue_rank") <= n_issues)
+        pairs.join(top, "issue", "left_semi")
         .select("issue", "subissue", "count")
         .orderBy(F.desc("count"), F.asc("issue"), F.asc("subissue"))
         .limit(n_pairs)
@@ -231,24 +206,17 @@ def top_issue_subissue(
     )
 
 
-def _rank_issues(pairs: DataFrame) -> DataFrame:
-    """Add ``_total`` (per-issue sum) and ``_issue_rank`` (1 = largest total,
-    ties to the smaller issue) to the (issue, sub-issue) counts."""
-    return pairs.withColumn("_total", F.sum("count").over(Window.partitionBy("issue"))).withColumn(
-        "_issue_rank", F.dense_rank().over(Window.orderBy(F.desc("_total"), F.asc("issue")))
-    )
-
-
 def issue_subissue_lists(c: DataFrame, as_arrays: bool = False) -> DataFrame:
     """Sub-issues of each issue, issues ordered by total, sub-issues by count.
 
     Row form ``(issue, issue_position, position, subissue)``; ``as_arrays``
     gives ``(issue, issue_position, subissues ARRAY<STRING>)``.
     """
-    ranked = _rank_issues(issue_subissue_counts(c))
-    rows = ranked.select(
+    pairs = issue_subissue_counts(c)
+    order = issue_totals(c, pairs).select("issue", F.col("position").alias("issue_position"))
+    rows = pairs.join(order, "issue").select(
         "issue",
-        F.col("_issue_rank").alias("issue_position"),
+        "issue_position",
         F.row_number()
         .over(Window.partitionBy("issue").orderBy(F.desc("count"), F.asc("subissue")))
         .alias("position"),
@@ -264,7 +232,8 @@ def subissues_for(c: DataFrame, issue: str | None = None) -> DataFrame:
     pairs = issue_subissue_counts(c)
     if issue is not None:
         return pairs.where(F.col("issue") == issue).select("subissue", "count")
-    return _rank_issues(pairs).where(F.col("_issue_rank") == 1).select("subissue", "count")
+    first = top_issues(c, 1, pairs).select("issue").scalar()
+    return pairs.where(F.col("issue") == first).select("subissue", "count")
 
 
 def _as_arrays(rows: DataFrame, keys, item: str, out: str) -> DataFrame:

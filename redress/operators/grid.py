@@ -2,48 +2,30 @@
 
 pandas' ``pivot(...).fillna(0)`` and ``crosstab`` both produce the full
 grid of the observed row keys by the observed column keys.  The grid is the
-result itself, so its size is the output size; it is built here without a
-cartesian product and from a single pass over the input:
-
-1. every observed cell learns the sorted domain of column keys through one
-   window over the cells (``collect_set`` over an unpartitioned frame);
-2. the cells are grouped per row key into a map ``column key -> value``;
-3. each row key's domain array is exploded into its C cells, and the map
-   supplies the observed values.
-
-The only single-partition step is (1), over the observed cells: aggregated
-(row key, column key) pairs of low-cardinality keys (days x responses, days x
-products, channels x responses), never raw rows.  Everything else is keyed.
+result itself, so its size is the output size.  The column keys are one
+scalar subquery over the aggregated cells; every row key explodes them, and
+the observed cells are joined to that on both keys.  All branches start from
+the same aggregated cells, so Spark reuses their exchange and the input is
+read once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def dense_grid(
-    cells: DataFrame, row: str, col: str, value: str, fill=0, keep_domain: bool = False
-) -> DataFrame:
+def dense_grid(cells: DataFrame, row: str, col: str, value: str, fill=0) -> DataFrame:
     """``cells`` holds at most one row per (row, col) with both keys non-null.
 
     Returns ``(row, col, value)`` for every observed row key by every observed
-    column key, with ``fill`` where the pair was not observed; with
-    ``keep_domain`` also ``_domain``, the sorted array of column keys.
+    column key, with ``fill`` where the pair was not observed.  A null row key
+    is a key like any other.
     """
-    tagged = cells.withColumn(
-        "_domain", F.array_sort(F.collect_set(col).over(Window.partitionBy()))
-    )
-    per_row = tagged.groupBy(row).agg(
-        F.first("_domain").alias("_domain"),
-        F.map_from_entries(F.collect_list(F.struct(F.col(col), F.col(value)))).alias("_obs"),
+    domain = cells.select(F.array_sort(F.collect_set(col))).scalar()
+    axis = cells.select(F.col(row).alias("_row")).distinct()
+    grid = axis.select("_row", F.explode(domain).alias("_col"))
+    same = grid["_row"].eqNullSafe(cells[row]) & (grid["_col"] == cells[col])
+    return grid.join(cells, same, "left").select(
+        F.col("_row").alias(row), F.col("_col").alias(col), F.coalesce(F.col(value), F.lit(fill)).alias(value)
     )
-    grid = per_row.select(row, F.explode("_domain").alias(col), "_obs", "_domain")
-    out = [
-        row,
-        col,
-        F.coalesce(F.try_element_at("_obs", F.col(col)), F.lit(fill)).alias(value),
-    ]
-    if keep_domain:
-        out.append("_domain")
-    return grid.select(*out)

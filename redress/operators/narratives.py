@@ -1,228 +1,145 @@
 """Q6: which response a complaint narrative is likely to receive.
 
-A Complement Naive Bayes text classifier as a Spark ML pipeline:
+A Complement Naive Bayes text classifier held as two tables:
 
-    RegexTokenizer -> [StopWordsRemover] -> CountVectorizer -> [IDF]
-      -> StringIndexer(label) -> NaiveBayes(modelType='complement')
-
-and ``IndexToString`` turns the predicted index back into the label when
-scoring.
+``weights``  (term, label, weight): weight = -(ln(f - n + s) - ln(T - N + s V))
+             with f and n the occurrences of the term in all texts and in the
+             label's, T and N the tokens of all texts and of the label's, V
+             the number of terms and s the smoothing;
+``classes``  (label, documents, tokens).
 
 Tokens are maximal runs of two or more letters, digits or underscores in the
-lower-cased text (the common two-word-character bag-of-words rule, with Unicode
-letters); stop words and IDF weighting are options.  Fitting is
-distributed: a word count for the vocabulary (capped at ``vocab_size`` most
-frequent terms), the distinct labels, and a two-level sum of term counts per
-class.  Scoring is a map over rows with the fitted weights broadcast.
-
-``score_narratives`` scores a whole DataFrame; ``sample_narratives`` picks a
-repeatable pseudo-random sample (seeded hash order, a per-partition top-k);
-``score_sample`` is the two together (the reference's one-click prediction).
+lower-cased text.  Every labelled row trains, every term counts.  Fitting is
+one aggregation of (term, label) counts with a map-side stage; scoring joins
+a text's term counts to the weights on the term.  A term has one row per text
+at most, a small share of all rows even for the commonest word, and both
+sides of the join come straight from shuffles, so AQE can split such a term.
+The vocabulary is never on the driver; only the list of classes is.
+
+``save_model`` / ``load_model`` keep a model as parquet.
+``sample_narratives`` picks a repeatable pseudo-random sample (seeded hash
+order, a per-partition top-k); ``score_sample`` is a prediction of it (the
+reference's one-click prediction).
 """
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.feature import (
-    IDF,
-    CountVectorizer,
-    IndexToString,
-    RegexTokenizer,
-    StopWordsRemover,
-    StringIndexer,
-)
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
-def build_pipeline(
-    text_col: str = "text",
-    label_col: str = "label",
-    smoothing: float = 1.0,
-    vocab_size: int = 1 << 18,
-    min_df: float = 1.0,
-    stop_words: list[str] | None = None,
-    use_idf: bool = False,
-) -> Pipeline:
-    """The unfitted pipeline; output columns ``prediction_index``,
-    ``probability`` and ``prediction`` (the label text)."""
-    stages = [
-        RegexTokenizer(
-            inputCol=text_col, outputCol="_tokens", pattern=TOKEN_PATTERN, gaps=False,
-            toLowercase=True,
-        )
-    ]
-    tokens = "_tokens"
-    if stop_words:
-        stages.append(StopWordsRemover(inputCol=tokens, outputCol="_kept", stopWords=stop_words))
-        tokens = "_kept"
-    stages.append(
-        CountVectorizer(inputCol=tokens, outputCol="_tf", vocabSize=vocab_size, minDF=min_df)
-    )
-    features = "_tf"
-    if use_idf:
-        stages.append(IDF(inputCol="_tf", outputCol="_tfidf"))
-        features = "_tfidf"
-    indexer = StringIndexer(
-        inputCol=label_col, outputCol="_label_index", handleInvalid="error",
-        stringOrderType="alphabetAsc",
-    )
-    stages.append(indexer)
-    stages.append(
-        NaiveBayes(
-            featuresCol=features,
-            labelCol="_label_index",
-            predictionCol="prediction_index",
-            probabilityCol="probability",
-            rawPredictionCol="_raw",
-            modelType="complement",
-            smoothing=smoothing,
-        )
-    )
-    return Pipeline(stages=stages)
-
+@dataclass(frozen=True)
+class NarrativeModel:
+    """``weights`` (term, label, weight) and ``classes`` (label, documents,
+    tokens)."""
 
-def train_response_model(
-    df: DataFrame,
-    text_col: str = "text",
-    label_col: str = "label",
-    smoothing: float = 1.0,
-    vocab_size: int = 1 << 18,
-    min_df: float = 1.0,
-    stop_words: list[str] | None = None,
-    use_idf: bool = False,
-    groups_per_class: int | None = None,
-) -> PipelineModel:
-    """Fit the pipeline on labelled narratives (rows with a null label or
-    text are left out); the result transforms raw text like
-    ``build_pipeline(...).fit(df)`` would.
-
-    Complement NB needs only each class's summed term counts (its class
-    priors do not enter the probabilities), and a class can hold a third of
-    all rows.  Summing a class in one task would merge one vocabulary-sized
-    vector per input partition there, so the sums are built as a two-level
-    tree: first per (class, group of input partitions) -- ``groups_per_class``
-    groups, by default about the square root of the partition count -- then
-    the Naive Bayes fit merges those few partial sums per class.  The model is
-    the same (term counts are integers, summed exactly; with ``use_idf`` the
-    weighted sums agree up to rounding).  Texts are tokenised once; the
-    tokens are kept (memory, then disk) for the fit only.
-    """
-    data = df.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
-    tokenizer = RegexTokenizer(
-        inputCol=text_col, outputCol="_tokens", pattern=TOKEN_PATTERN, gaps=False,
-        toLowercase=True,
-    )
-    stages: list = [tokenizer]
-    tokens_col = "_tokens"
-    tokens = tokenizer.transform(data)
-    if stop_words:
-        remover = StopWordsRemover(inputCol=tokens_col, outputCol="_kept", stopWords=stop_words)
-        stages.append(remover)
-        tokens = remover.transform(tokens)
-        tokens_col = "_kept"
-    tokens = tokens.select(label_col, tokens_col).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        vectorizer = CountVectorizer(
-            inputCol=tokens_col, outputCol="_tf", vocabSize=vocab_size, minDF=min_df
-        ).fit(tokens)
-        stages.append(vectorizer)
-        features = vectorizer.transform(tokens)
-        features_col = "_tf"
-        if use_idf:
-            idf = IDF(inputCol="_tf", outputCol="_tfidf").fit(features)
-            stages.append(idf)
-            features = idf.transform(features)
-            features_col = "_tfidf"
-        indexer = StringIndexer(
-            inputCol=label_col, outputCol="_label_index", handleInvalid="error",
-            stringOrderType="alphabetAsc",
-        ).fit(tokens)
-        stages.append(indexer)
-        indexed = indexer.transform(features)
+    weights: DataFrame
+    classes: DataFrame
 
-        # ``tokens`` is persisted and ``indexed`` is a map over it: same partitions.
-        groups = groups_per_class or max(1, math.isqrt(tokens.rdd.getNumPartitions()))
-        partial = indexed.groupBy(
-            F.col("_label_index"), (F.spark_partition_id() % groups).alias("_group")
-        ).agg(Summarizer.sum(F.col(features_col)).alias("_sum"))
-        bayes = NaiveBayes(
-            featuresCol="_sum",
-            labelCol="_label_index",
-            predictionCol="prediction_index",
-            probabilityCol="probability",
-            rawPredictionCol="_raw",
-            modelType="complement",
-            smoothing=smoothing,
-        ).fit(partial)
-        stages.append(bayes.setFeaturesCol(features_col))
-        return PipelineModel(stages=stages)
-    finally:
-        tokens.unpersist()
 
+def tokens(text: str | Column) -> Column:
+    """The tokens of a text, an array."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.regexp_extract_all(F.lower(c), F.lit(TOKEN_PATTERN), 0)
 
-def model_labels(model: PipelineModel) -> list[str]:
-    """Class labels in index order (the fitted ``StringIndexer``'s labels)."""
-    for stage in model.stages:
-        if hasattr(stage, "labelsArray"):
-            return list(stage.labelsArray[0])
-    raise ValueError("pipeline has no fitted StringIndexer")
 
-
-def model_summary(model: PipelineModel, labelled: DataFrame, label_col: str = "label") -> DataFrame:
-    """``(label, label_index, documents)``: the fitted classes in index order
-    and the training documents per class."""
-    labels = F.array(*[F.lit(x) for x in model_labels(model)])
-    return (
-        labelled.where(F.col(label_col).isNotNull())
-        .groupBy(F.col(label_col).alias("label"))
-        .agg(F.count(F.lit(1)).alias("documents"))
-        .select(
-            "label",
-            (F.array_position(labels, F.col("label")) - 1).cast("int").alias("label_index"),
-            "documents",
-        )
+def train_response_model(
+    df: DataFrame, text_col: str = "text", label_col: str = "label", smoothing: float = 1.0
+) -> NarrativeModel:
+    """Fit on labelled narratives (rows with a null label or text are left
+    out).  The classes are collected (their number is that of the labels);
+    ``weights`` is a lazy plan: save the model before using it twice."""
+    data = df.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(
+        F.col(label_col).alias("label"), tokens(text_col).alias("_tokens")
+    )
+    totals = data.groupBy("label").agg(
+        F.count(F.lit(1)).alias("documents"), F.sum(F.size("_tokens")).cast("long").alias("tokens")
+    )
+    rows = [tuple(r) for r in totals.orderBy("label").collect()]
+    spark = df.sparkSession
+    classes = spark.createDataFrame(rows, "label string, documents long, tokens long")
+    all_tokens = sum(r[2] for r in rows)
+    counts = data.select("label", F.explode("_tokens").alias("term")).groupBy("term", "label").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    # one row per term: its total, and its count in each class that has it
+    terms = counts.groupBy("term").agg(
+        F.sum("n").alias("f"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("by_label")
+    )
+    size = counts.select("term").distinct().count()
+    every = F.array(*[
+        F.struct(F.lit(k).alias("label"), F.lit(float(all_tokens - t) + smoothing * size).alias("rest")) for k, _, t in rows
+    ]) if rows else F.array().cast("array<struct<label:string,rest:double>>")
+    exploded = terms.select("term", "f", "by_label", F.explode(every).alias("k"))
+    n = F.coalesce(F.try_element_at("by_label", F.col("k.label")), F.lit(0))
+    weight = -(F.log((F.col("f") - n).cast("double") + smoothing) - F.log(F.col("k.rest")))
+    return NarrativeModel(exploded.select("term", F.col("k.label").alias("label"), weight.alias("weight")), classes)
+
+
+def save_model(model: NarrativeModel, path: str) -> None:
+    """Store a model as parquet under ``path``."""
+    model.weights.write.mode("overwrite").parquet(f"{path}/weights")
+    model.classes.write.mode("overwrite").parquet(f"{path}/classes")
+
+
+def load_model(spark: SparkSession, path: str) -> NarrativeModel:
+    """The model stored under ``path``."""
+    weights = spark.read.schema("term string, label string, weight double").parquet(f"{path}/weights")
+    classes = spark.read.schema("label string, documents long, tokens long").parquet(f"{path}/classes")
+    return NarrativeModel(weights, classes)
+
+
+def model_labels(model: NarrativeModel) -> list[str]:
+    """The class labels in alphabetical order."""
+    return [r["label"] for r in model.classes.select("label").orderBy("label").collect()]
+
+
+def model_summary(model: NarrativeModel) -> DataFrame:
+    """``(label, label_index, documents, tokens, weight_sum)``: the fitted
+    classes, with the sum of their weights to three decimals."""
+    sums = model.weights.groupBy("label").agg(F.round(F.sum("weight"), 3).alias("weight_sum"))
+    index = F.array(*[F.lit(x) for x in model_labels(model)]).cast("array<string>")
+    return model.classes.join(sums, "label", "left").select(
+        "label", (F.array_position(index, F.col("label")) - 1).cast("int").alias("label_index"),
+        "documents", "tokens", F.coalesce("weight_sum", F.lit(0.0)).alias("weight_sum"),
     )
-
-
-def vocabulary_size(model: PipelineModel) -> int:
-    """Number of terms the fitted vectoriser kept."""
-    return next(len(s.vocabulary) for s in model.stages if hasattr(s, "vocabulary"))
 
 
 def score_narratives(
-    model: PipelineModel,
-    df: DataFrame,
-    text_col: str = "text",
-    id_col: str | None = None,
-    keep_text: bool = False,
+    model: NarrativeModel, df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 ) -> DataFrame:
-    """``(id, [text,] prediction, probability, probability_pct)``.
+    """``(id, prediction, probability, probability_pct)`` per id (rows that
+    share an id are scored as one text).
 
     ``probability`` is the largest class probability (a double in [0, 1]);
-    ``probability_pct`` is it times 100 as text with two decimals.
+    ``probability_pct`` is it times 100 as text with two decimals.  Ties go to
+    the first label; a text without any known term has equal probabilities.
     """
     labels = model_labels(model)
-    to_label = IndexToString(inputCol="prediction_index", outputCol="prediction", labels=labels)
-    scored = to_label.transform(model.transform(df))
-    top = F.array_max(vector_to_array(F.col("probability")))
-    cols = [] if id_col is None else [F.col(id_col)]
-    if keep_text:
-        cols.append(F.col(text_col))
-    return scored.select(
-        *cols,
-        F.col("prediction"),
-        top.alias("probability"),
-        F.format_string("%.2f", top * F.lit(100.0)).alias("probability_pct"),
+    docs = df.select(F.col(id_col).alias("_id"), tokens(text_col).alias("_tokens"))
+    seen = docs.select("_id", F.explode("_tokens").alias("term")).groupBy("_id", "term").agg(
+        F.count(F.lit(1)).alias("x")
+    )
+    sums = (
+        seen.join(model.weights, "term")
+        .groupBy("_id", "label").agg(F.sum(F.col("x") * F.col("weight")).alias("s"))
+        .groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "s"))).alias("by_label"))
+    )
+    sums = df.select(F.col(id_col).alias("_id")).distinct().join(sums, "_id", "left")
+    known = F.array(*[F.lit(x) for x in labels]).cast("array<string>")
+    scores = F.transform(known, lambda k: F.coalesce(F.try_element_at(F.col("by_label"), k), F.lit(0.0)))
+    scored = sums.select("_id", scores.alias("_s")).withColumn("_top", F.array_max("_s"))
+    total = F.aggregate("_s", F.lit(0.0), lambda acc, s: acc + F.exp(s - F.col("_top")))
+    out = scored.select(
+        F.col("_id").alias(id_col),
+        F.get(known, (F.array_position("_s", F.col("_top")) - 1).cast("int")).alias("prediction"),
+        (F.lit(1.0) / total).alias("probability"),
     )
+    return out.withColumn("probability_pct", F.format_string("%.2f", F.col("probability") * F.lit(100.0)))
 
 
 def sample_narratives(
@@ -238,7 +155,7 @@ def sample_narratives(
 
 
 def score_sample(
-    model: PipelineModel,
+    model: NarrativeModel,
     df: DataFrame,
     text_col: str = "text",
     id_col: str = "doc_id",
@@ -248,8 +165,8 @@ def score_sample(
     """One-click prediction: ``(Narratives, Prediction, Probability)`` of
     ``k`` sampled narratives, probability as two-decimal percent text."""
     picked = sample_narratives(df, id_col, k, seed)
-    scored = score_narratives(model, picked, text_col, id_col, keep_text=True)
-    return scored.select(
+    scored = score_narratives(model, picked, text_col, id_col)
+    return picked.join(scored, id_col).select(
         F.col(id_col),
         F.col(text_col).alias("Narratives"),
         F.col("prediction").alias("Prediction"),

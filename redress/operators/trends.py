@@ -138,12 +138,12 @@ def category_trend_for(
 
     The grid still needs every category, since the date axis is the union of
     their days; the choice is applied to the grid before the per-category
-    window, using the grid's own sorted category domain (no second pass).
+    window.
     """
     counts = category_daily_counts(c, category, date_col)
-    grid = dense_grid(counts, date_col, category, "count", fill=0, keep_domain=True)
-    chosen = F.lit(value) if value is not None else F.element_at("_domain", 1)
-    grid = grid.where(F.col(category) == chosen).drop("_domain")
+    grid = dense_grid(counts, date_col, category, "count", fill=0)
+    chosen = F.lit(value) if value is not None else counts.select(F.min(category)).scalar()
+    grid = grid.where(F.col(category) == chosen)
     return rolling_mean(grid, "count", date_col, window, partition_cols=[category])
 
 

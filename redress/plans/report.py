@@ -2,7 +2,7 @@
 
 The reference runs its twelve start-up queries against one warehouse table.
 Here the table is stored once as parquet (``build_complaints_table``), in
-a folder on shared storage, by default under ``spark.checkpoint.dir``.  Every
+a folder on shared storage.  Every
 result is then a separate lazy plan over that table: each scans only its one
 to three columns, with its filters pushed into the reader.  Writing the table
 also cuts the lineage back to the source joins, so a lost executor re-reads
@@ -14,35 +14,23 @@ Results are returned lazily; ``write_report`` stores each one.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from redress.functions.labels import RESPONSES
 from redress.operators import association, counts, outcomes, profile, trends
-from redress.session import checkpoint_dir
 from redress.sources.complaints import read_complaints
 from redress.sources.tpch_view import complaints_view
 
 
 def build_complaints_table(
-    spark: SparkSession, sf_dir: str, path: str | None = None, mode: str = "overwrite"
+    spark: SparkSession, sf_dir: str, path: str, mode: str = "overwrite"
 ) -> str:
-    """Store the complaints view over the tables in ``sf_dir`` as parquet.
-
-    Rows are sorted by date within each file, so the parquet row groups carry
-    tight date ranges for date filters.  Returns the path written.
-    """
-    if path is None:
-        base = re.sub(r"^file:", "", checkpoint_dir(spark))
-        path = os.path.join(base, "complaints")
-    (
-        complaints_view(spark, sf_dir)
-        .sortWithinPartitions("date_received")
-        .write.mode(mode)
-        .parquet(path)
-    )
+    """Store the complaints view over the tables in ``sf_dir`` as parquet
+    under ``path`` (shared storage on a cluster).  Returns the path."""
+    complaints_view(spark, sf_dir).write.mode(mode).parquet(path)
     return path
 
 
@@ -57,11 +45,13 @@ def report_plans(
     top_n: int = 10,
     top_pairs: int = 15,
     alpha: float = 0.05,
+    responses: list[str] = RESPONSES,
 ) -> dict[str, Callable[[DataFrame], DataFrame]]:
     """Every result of the dashboard as ``name -> (complaints -> DataFrame)``.
 
     Defaults are the reference's (cut at 2012, top 10 issues, top 15 pairs,
-    alpha 0.05); ``year`` defaults to the first year of the cut trend.
+    alpha 0.05); ``year`` defaults to the first year of the cut trend;
+    ``responses`` are the columns of the wide response trend.
     """
     R = "company_response_to_consumer"
 
@@ -103,7 +93,7 @@ def report_plans(
         "trend_for_year": trend_year,
         "trend_year_domain": lambda c: trends.trend_year_domain(c, min_year, window),
         "response_trend": lambda c: trends.category_trend(c, R, window),
-        "response_trend_wide": lambda c: trends.category_trend_wide(c, R),
+        "response_trend_wide": lambda c: trends.category_trend_wide(c, R, responses),
         "product_trend": lambda c: trends.category_trend(c, "product", window),
         "product_trend_for": lambda c: trends.category_trend_for(c, "product", None, window),
         "top_issue_per_year": trends.top_issue_per_year,
@@ -126,10 +116,10 @@ def write_report(results: dict[str, DataFrame], out_dir: str, mode: str = "overw
 
 
 def main(argv: list[str] | None = None) -> None:
-    """``python -m redress.plans.report --source DIR --out DIR [--table DIR]``
+    """``python -m redress.plans.report [--source DIR] --table DIR --out DIR``
 
-    Builds the complaints table from the driver-style tables in ``--source``
-    (or reads an existing one with ``--table``) and stores every result.
+    Builds the complaints table at ``--table`` from the driver-style tables in
+    ``--source`` (or reads the one that is there) and stores every result.
     """
     import argparse
 
@@ -137,16 +127,15 @@ def main(argv: list[str] | None = None) -> None:
 
     parser = argparse.ArgumentParser(description=main.__doc__)
     parser.add_argument("--source", help="folder of lineitem/orders/... parquet tables")
-    parser.add_argument("--table", help="an existing complaints parquet table")
+    parser.add_argument("--table", required=True, help="the complaints parquet table")
     parser.add_argument("--out", required=True, help="folder for the results")
     parser.add_argument("--min-year", type=int, default=2012)
     parser.add_argument("--master", default=None)
     args = parser.parse_args(argv)
-    if not (args.source or args.table):
-        parser.error("give --source or --table")
     spark = get_session(args.master)
-    path = args.table or build_complaints_table(spark, args.source)
-    write_report(run_report(read_table(spark, path), min_year=args.min_year), args.out)
+    if args.source:
+        build_complaints_table(spark, args.source, args.table)
+    write_report(run_report(read_table(spark, args.table), min_year=args.min_year), args.out)
 
 
 if __name__ == "__main__":

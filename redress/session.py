@@ -40,17 +40,16 @@ def get_session(
     settings.update(conf or {})
     for key, value in settings.items():
         builder = builder.config(key, value)
-    spark = builder.getOrCreate()
-    checkpoint_dir(spark)
-    return spark
+    return builder.getOrCreate()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting points at shared storage and is used as is.
-    Only when it is unset (a bare local test session) is a fresh local folder
-    created and registered.
+    Only when it is unset in a local session (tests) is a fresh local folder
+    created and registered; on a cluster that is an error, since executors
+    would write to disks that nobody else sees.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -60,16 +59,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="redress-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """The configured ``spark.checkpoint.dir`` itself, stable across
-    applications (``checkpoint_dir`` returns this run's own subfolder).
-    Streaming checkpoints live here so a restarted application resumes."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
-    return configured or checkpoint_dir(spark)

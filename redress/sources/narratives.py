@@ -6,8 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redress.sources.tpch_view import source_table
-
 
 def read_narratives_csv(
     spark: SparkSession, path: str, text_index: int = 0, text_col: str = "narrative"
@@ -51,9 +49,9 @@ def distinct_texts(
     return grouped.select(*[F.col(f"_best.{x}").alias(x) for x in carry])
 
 
-def documents_corpus(spark: SparkSession, sf_dir: str, distinct: bool = True) -> DataFrame:
+def documents_corpus(spark: SparkSession, sf_dir: str, distinct: bool = False) -> DataFrame:
     """``(doc_id, text, lang)`` of the ``documents`` table, whole texts;
     with ``distinct`` one row per distinct text."""
-    docs = source_table(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     docs = docs.where(F.col("text").isNotNull())
     return distinct_texts(docs, keep=["lang"]) if distinct else docs

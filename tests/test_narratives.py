@@ -1,11 +1,10 @@
 import os
+import re
 import tempfile
 
 import numpy as np
 import pytest
 from conftest import SF01
-from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from redress.operators import narratives
@@ -14,22 +13,17 @@ from redress.sources.narratives import distinct_texts, documents_corpus, read_na
 
 @pytest.fixture(scope="module")
 def split(spark):
-    corpus = documents_corpus(spark, SF01)
+    corpus = documents_corpus(spark, SF01, distinct=True)
     held_out = F.abs(F.xxhash64("doc_id")) % 5 == 0  # evaluation split, tests only
     return corpus.where(~held_out), corpus.where(held_out)
 
 
 @pytest.fixture(scope="module")
-def model(split):
+def model(spark, split):
     train, _ = split
-    return narratives.train_response_model(train, "text", "lang")
-
-
-@pytest.fixture(scope="module")
-def small_model(split):
-    """Same pipeline with a 500-term vocabulary, for dense formula checks."""
-    train, _ = split
-    return narratives.train_response_model(train, "text", "lang", vocab_size=500)
+    path = os.path.join(tempfile.mkdtemp(prefix="redress-model-"), "nb")
+    narratives.save_model(narratives.train_response_model(train, "text", "lang"), path)
+    return narratives.load_model(spark, path)
 
 
 def test_more_than_one_class_and_beats_majority(model, split):
@@ -45,49 +39,52 @@ def test_more_than_one_class_and_beats_majority(model, split):
                for p, v in zip(pdf["probability_pct"], pdf["probability"]))
 
 
-def test_probabilities_follow_complement_nb_formula(small_model, split):
-    _, test = split
-    model = small_model
-    nb = model.stages[-1]
-    counts_stage = model.stages[1]
-    feats = counts_stage.transform(model.stages[0].transform(test.limit(20)))
-    out = nb.transform(feats).select(vector_to_array("_tf").alias("x"), vector_to_array("probability").alias("p"))
-    rows = out.collect()
-    theta = np.array(nb.theta.toArray())  # per-class weights, see the next test
-    for r in rows:
-        x = np.array(r.x)
-        raw = theta @ x
+def _words(text):
+    return re.findall(r"\w{2,}", text.lower())
+
+
+def test_model_and_scores_follow_the_formula(spark):
+    rows = [(1, "red red blue", "a"), (2, "blue green", "a"), (3, "green green_1 x", "b"), (4, "red", "c"), (5, None, "a"), (6, "z z", None), (7, "!", "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = narratives.train_response_model(df, "text", "lang")
+    train = [(t, k) for _, t, k in rows if t is not None and k is not None]
+    labels = sorted({k for _, k in train})
+    vocabulary = sorted({w for t, _ in train for w in _words(t)})
+    counts = np.array([[sum(_words(t).count(w) for t, k in train if k == lab) for w in vocabulary] for lab in labels])
+    rest = counts.sum(0) - counts + 1.0
+    weights = -np.log(rest / rest.sum(1, keepdims=True))
+    got = {(r.label, r.term): r.weight for r in m.weights.collect()}
+    assert set(got) == {(k, w) for k in labels for w in vocabulary}
+    for i, k in enumerate(labels):
+        for j, w in enumerate(vocabulary):
+            assert abs(got[k, w] - weights[i, j]) < 1e-12
+    summary = {r.label: r for r in narratives.model_summary(m).collect()}
+    assert [summary[k].label_index for k in labels] == [0, 1, 2, 3]
+    assert [summary[k].tokens for k in labels] == counts.sum(1).tolist() and summary["a"].documents == 2
+    texts = {10: "red green green", 11: "", 12: "unseen words", 13: None, 14: "blue Blue"}
+    scored = narratives.score_narratives(m, spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    for r in scored.collect():
+        x = np.array([_words(texts[r.doc_id] or "").count(w) for w in vocabulary])
+        raw = weights @ x
         p = np.exp(raw - raw.max())
         p /= p.sum()
-        np.testing.assert_allclose(p, np.array(r.p), rtol=1e-9, atol=1e-12)
+        assert r.prediction == labels[int(np.argmax(raw))]
+        assert abs(r.probability - p.max()) < 1e-9 and r.probability_pct == f"{100 * r.probability:.2f}"
 
 
-def test_theta_is_normalised_complement_counts(small_model, split):
-    train, _ = split
-    model = small_model
-    nb = model.stages[-1]
-    tf = model.stages[1].transform(model.stages[0].transform(train))
-    labels = narratives.model_labels(model)
-    pdf = tf.select(vector_to_array("_tf").alias("x"), "lang").toPandas()
-    X = np.vstack(pdf["x"].values)
-    per_class = np.vstack([X[pdf["lang"].values == lab].sum(0) for lab in labels])
-    complement = per_class.sum(0)[None, :] - per_class + 1.0  # smoothing 1
-    logp = np.log(complement / complement.sum(1, keepdims=True))
-    np.testing.assert_allclose(np.array(nb.theta.toArray()), -logp, rtol=1e-9, atol=1e-9)
-
-
-def test_save_load_gives_identical_output(spark, model, split):
-    _, test = split
+def test_save_load_gives_identical_output(spark, split):
+    train, test = split
+    fitted = narratives.train_response_model(train, "text", "lang")
     path = os.path.join(tempfile.mkdtemp(prefix="redress-model-"), "nb")
-    model.write().overwrite().save(path)
-    again = PipelineModel.load(path)
-    a = narratives.score_narratives(model, test, "text", "doc_id").orderBy("doc_id").collect()
-    b = narratives.score_narratives(again, test, "text", "doc_id").orderBy("doc_id").collect()
-    assert a == b
+    narratives.save_model(fitted, path)
+    again = narratives.load_model(spark, path)
+    key = lambda r: (r.label, r.term)
+    assert sorted(fitted.weights.collect(), key=key) == sorted(again.weights.collect(), key=key)
+    assert sorted(fitted.classes.collect()) == sorted(again.classes.collect())
 
 
 def test_sample_is_repeatable(spark):
-    docs = documents_corpus(spark, SF01, distinct=False)
+    docs = documents_corpus(spark, SF01)
     a = [r.doc_id for r in narratives.sample_narratives(docs, "doc_id", 3, seed=1).collect()]
     b = [r.doc_id for r in narratives.sample_narratives(docs, "doc_id", 3, seed=1).collect()]
     c = [r.doc_id for r in narratives.sample_narratives(docs, "doc_id", 3, seed=2).collect()]
@@ -95,7 +92,7 @@ def test_sample_is_repeatable(spark):
 
 
 def test_score_sample_record(model, spark):
-    docs = documents_corpus(spark, SF01, distinct=False)
+    docs = documents_corpus(spark, SF01)
     rec = narratives.score_sample(model, docs, "text", "doc_id").collect()
     assert len(rec) == 1
     assert set(rec[0].asDict()) == {"doc_id", "Narratives", "Prediction", "Probability"}

@@ -67,7 +67,10 @@ def test_counts_match_pandas(spark, rows):
     pss = sub.groupby(["product", "subproduct", "state"], dropna=False)["state"].count().reset_index(name="n")
     pss = pss.assign(_st=pss.state.map(lambda x: "" if pd.isna(x) else "~" + x))
     pss = pss.sort_values(["n", "product", "subproduct", "_st"], ascending=[False, True, True, True], na_position="first")
-    want = pss[pss["product"].notna()].groupby("product", sort=False)["subproduct"].unique().apply(list).to_dict()
+    want = {}
+    for p, sp in zip(pss["product"], pss["subproduct"]):
+        if pd.notna(p) and sp not in want.setdefault(p, []):
+            want[p].append(sp)
     got = {}
     for r in sorted(counts.product_subproduct_lists(c).collect(), key=lambda r: (r.product, r.position)):
         got.setdefault(r.product, []).append(r.subproduct)
@@ -90,7 +93,9 @@ def test_counts_match_pandas(spark, rows):
     pairs = pairs.sort_values(["n", "li", "ls"], ascending=[False, True, True])
     totals = pairs.groupby("li")["n"].sum().reset_index().sort_values(["n", "li"], ascending=[False, True])
     issues = list(totals.li)
-    want = pairs.groupby("li", sort=False)["ls"].unique().apply(list).reindex(issues).to_dict()
+    want = {i: [] for i in issues}
+    for i, x in zip(pairs.li, pairs.ls):
+        want[i].append(x)
     rows = sorted(counts.issue_subissue_lists(c).collect(), key=lambda r: (r.issue_position, r.position))
     got = {}
     for r in rows:

@@ -1,3 +1,5 @@
+import os
+
 from conftest import SF001
 from pyspark.sql import functions as F
 
@@ -72,3 +74,28 @@ def test_read_complaints_other_formats_and_catalog(spark):
     assert got[1] == (2, None, None, None)
     c.createOrReplaceTempView("complaints_fixture")
     assert read_complaints_table(spark, "complaints_fixture").count() == 2
+
+
+def test_new_files_are_seen(spark):
+    import shutil
+    import tempfile
+
+    folder = tempfile.mkdtemp(prefix="redress-new-")
+    shutil.copytree(SF001, folder, dirs_exist_ok=True)
+    path = f"{folder}/lineitem.parquet"
+    rows = spark.read.parquet(f"{SF001}/lineitem.parquet")
+    os.chmod(path, 0o644)
+    rows.limit(5).write.mode("overwrite").parquet(f"{folder}/x")
+    view = lambda: complaints_view(spark, folder, ["subissue"]).count()
+    os.rename(path, f"{folder}/old")
+    os.rename(f"{folder}/x", path)
+    assert view() == 5
+    rows.limit(7).write.mode("append").parquet(path)
+    assert view() == 12
+
+
+def test_narrative_flag_counts_like_the_text(spark):
+    text = complaints_view(spark, SF001, ["consumer_complaint_narrative"])
+    flag = complaints_view(spark, SF001, ["consumer_complaint_narrative"], narrative_flag=True)
+    nulls = lambda df: df.where("consumer_complaint_narrative IS NULL").count()
+    assert nulls(text) == nulls(flag) > 0
