@@ -6,9 +6,9 @@ tables are learned by cyclic boosting: in each round every term in turn adds
 a shallow tree fitted to the log-loss residuals.  A score is the sum of the
 looked-up numbers, computed for whole batches by array additions.
 
-Features are computed from the whole text on the executors, once, and
-stored; the fit sees the feature rows of a bounded labelled sample only
-(``max_rows``), and every row is scored by its executor.
+Features are computed from the whole text where it is read.  The fit sees the
+feature rows of a bounded labelled sample only (``max_rows``); every row is
+scored by its executor, so no text is ever shuffled.
 """
 
 from __future__ import annotations
@@ -200,13 +200,21 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality",
-          max_rows: int = 20_000) -> Gam:
-    """Fit on the labelled rows of the feature table that are not held out:
-    all of them, or about ``max_rows`` (at most twice as many) by hash."""
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          label_col: str = "quality", max_rows: int = 20_000) -> Gam:
+    """Fit on the labelled rows of ``docs`` that are not held out: about
+    ``max_rows`` labels (at most twice as many) chosen by the hash of their
+    id, or all if there are no more.
+
+    The chosen ids are so few, whatever the input, that they are broadcast:
+    only the texts that they name become features, and no text is shuffled.
+    """
     known = labels.where(~held_out(id_col)).where(F.col(label_col).isin(0, 1)).groupBy(
         F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    rows = sample(stored(table.join(known, "id"), "quality-labelled"), max_rows, "id", *FEATURES).toPandas()
+    chosen = stored(sample(stored(known, "quality-labels"), max_rows, "id"), "quality-sample")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    taught = feature_table(texts.join(F.broadcast(chosen.select("id")), "id", "left_semi"), "id", "text")
+    rows = taught.join(F.broadcast(chosen), "id").limit(2 * max_rows).toPandas()
     rows = rows.sort_values(["id", *FEATURES])  # the same sums on every run
     return fit(rows[FEATURES].to_numpy(float).reshape(-1, len(FEATURES)), rows["label"].to_numpy(float))
 
@@ -220,16 +228,15 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     than 0 and 1, and labels of unknown ids, are not learned; an id labelled
     both ways counts as 1; a null id is scored and not held out.
     """
-    table = stored(feature_table(docs, id_col, text_col), "quality-features")
-    model = learn(table, labels, id_col, label_col, max_rows)
+    model = learn(docs, labels, id_col, text_col, label_col, max_rows)
 
     def run(batches):
         for b in batches:
-            x = np.column_stack([b.column(c).to_numpy() for c in FEATURES])
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(model.score(x))], names=["id", "score"])
+            x = np.array([features(t) for t in b.column(1).to_pylist()], dtype=float).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x))], names=["id", "score"])
 
-    kind = table.schema["id"].dataType.simpleString()
-    scored = table.mapInArrow(run, f"id {kind}, score double")
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    scored = src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, score double")
     return scored.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -241,9 +248,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     The model is that of :func:`classify`; every text is scored where it is
     read, so no text is shuffled.
     """
-    known = labels.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct()
-    taught = docs.join(known, docs[id_col] == known["_id"], "left_semi")
-    model = learn(stored(feature_table(taught, id_col, text_col), "quality-features"), labels, id_col, label_col, max_rows)
+    model = learn(docs, labels, id_col, text_col, label_col, max_rows)
 
     @F.pandas_udf("boolean")
     def good(text: pd.Series) -> pd.Series:
