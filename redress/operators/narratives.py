@@ -164,7 +164,9 @@ def score_sample(
 ) -> DataFrame:
     """One-click prediction: ``(Narratives, Prediction, Probability)`` of
     ``k`` sampled narratives, probability as two-decimal percent text."""
-    picked = sample_narratives(df, id_col, k, seed)
+    picked = sample_narratives(df.select(id_col, text_col), id_col, k, seed)
+    # k rows: fetched once, so that the table is read once
+    picked = df.sparkSession.createDataFrame(picked.collect(), picked.schema)
     scored = score_narratives(model, picked, text_col, id_col)
     return picked.join(scored, id_col).select(
         F.col(id_col),
