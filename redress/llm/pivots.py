@@ -152,7 +152,8 @@ def near_duplicates(
     and non-finite vectors, and vectors with null components, link with
     nothing; vectors of different lengths do not link.  Rows with a null id
     have no links, a null component and are not kept.  Of repeated ids with
-    the same vector each counts as a row of its own.
+    the same vector each counts as a row of its own; different vectors whose
+    smallest id is the same are one node and share links and component.
     """
     rows = stored(
         vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vec")).select(
@@ -165,7 +166,6 @@ def near_duplicates(
             F.min("id").alias("node"), F.count("*").alias("n"), F.first("vec").alias("vec")
         ), "vector-classes",
     )
-    # one id on several vectors: each keeps its own node number through the hash
     found = _links(classes, cosine, depth, min_shared, block)
     named = stored(
         classes.select("h", "node", "n").join(found, "node", "left").select(

@@ -103,8 +103,10 @@ def filter_urls(
     # decisions of the rules on every url that has aliases
     host, path = host_path(F.col("node"))
     votes = found.select("component", judged(rules, host, path).getField("verdict").alias("verdict"))
-    decided = votes.where("verdict IS NOT NULL").groupBy("component").agg(F.min("verdict").alias("inherited"))
-    aliases = found.join(decided, "component").select(F.col("node").alias("url"), "inherited")
+    decided = votes.groupBy("component").agg(F.min("verdict").alias("inherited"), F.count("*").alias("_n"))
+    decided = stored(decided.where("inherited IS NOT NULL"), "decisions")
+    aliases = attach(found, decided, "component", "_n").where("inherited IS NOT NULL")
+    aliases = aliases.select(F.col("node").alias("url"), "inherited")
 
     rows = stored(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")), "urls")
     sizes = rows.groupBy("url").agg(F.count("*").alias("_n"))
