@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from redress.functions.stats import chi2_p_value
+from redress.operators.counts import with_totals as stacked_totals
 from redress.operators.grid import dense_grid
 
 CHANNEL = "submitted_via"
@@ -68,11 +69,7 @@ def channel_response_counts(
     """``(submitted_via, company_response_to_consumer, Count_Response)``;
     ``with_totals`` adds ``total``, the stacked bar's height per channel."""
     counts = c.groupBy(row, col).agg(F.count(F.lit(1)).alias("Count_Response"))
-    if with_totals:
-        counts = counts.withColumn(
-            "total", F.sum("Count_Response").over(Window.partitionBy(row)).cast("long")
-        )
-    return counts
+    return stacked_totals(counts, row, "Count_Response") if with_totals else counts
 
 
 def contingency_cells(
@@ -212,9 +209,15 @@ def chi_square(
     weight: str = "count",
     alpha: float = 0.05,
     correction: bool = True,
+    digits: int | None = None,
 ) -> DataFrame:
     """The report: ``(chi2, p_value, dof, n_rows, n_cols, n, interpretation,
-    summary)``; dof = 0 gives p 1; ``summary`` is the report's text line."""
+    summary)``; dof = 0 gives p 1; ``summary`` is the report's text line, its
+    numbers in full or with ``digits`` decimals."""
+
+    def text(x: str):
+        return F.col(x).cast("string") if digits is None else F.format_string(f"%.{digits}f", F.col(x))
+
     stat = chi_square_statistic(c, row, col, weight, correction)
     p_value = F.when(F.col("dof") == 0, F.lit(1.0)).otherwise(
         chi2_p_value(F.col("chi2"), F.col("dof"))
@@ -232,8 +235,8 @@ def chi_square(
         .alias("interpretation"),
         # The labels of the reference's report line.
         F.concat(
-            F.lit("Chi-square statistic: "), F.col("chi2").cast("string"),
-            F.lit(", p-value: "), F.col("p_value").cast("string"),
+            F.lit("Chi-square statistic: "), text("chi2"),
+            F.lit(", p-value: "), text("p_value"),
             F.lit(", Degrees of freedom: "), F.col("dof").cast("string"),
         ).alias("summary"),
     )

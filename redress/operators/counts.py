@@ -13,7 +13,8 @@ Null rules (kept from the reference's SQL):
 
 Order: where the order of a result carries meaning it is a column
 (``position``), with ties broken by count descending then key ascending.
-Operators do not sort; top-n operators do, through ``orderBy().limit()``.
+Operators do not sort; :func:`largest_first` sorts a grouped result for
+display, and top-n operators sort through ``orderBy().limit()``.
 
 Scale: every grouping key is a low-cardinality categorical; the only shuffles
 carry partially aggregated groups.  Windows without a partition key run on
@@ -34,20 +35,42 @@ from redress.functions.labels import (
     null_label,
 )
 
+# ----------------------------------------------------------------------------
+# Order and totals of grouped results
+
+
+def largest_first(counts: DataFrame, value: str, *first: str) -> DataFrame:
+    """A grouped result in display order: the columns ``first`` ascending,
+    then ``value`` descending, ties by the other columns ascending."""
+    rest = [x for x in counts.columns if x != value and x not in first]
+    return counts.orderBy(*[F.asc(x) for x in first], F.desc(value), *[F.asc(x) for x in rest])
+
+
+def with_totals(counts: DataFrame, bar: str, value: str, out: str = "total") -> DataFrame:
+    """A grouped result with the height of its stacked bar: the sum of
+    ``value`` over the rows of the same ``bar``."""
+    return counts.withColumn(out, F.sum(value).over(Window.partitionBy(bar)).cast("long"))
+
+
 # ----------------------------------------------------------------------------
 # Q1: products, sub-products, states
 
 
 def product_counts(
-    c: DataFrame, abbreviations: dict[str, str] | None = PRODUCT_ABBREVIATIONS
+    c: DataFrame,
+    abbreviations: dict[str, str] | None = PRODUCT_ABBREVIATIONS,
+    totals: bool = False,
 ) -> DataFrame:
-    """``(product, Counts_Complaints, product_abbr)`` over rows with a sub-product."""
+    """``(product, Counts_Complaints, product_abbr)`` over rows with a
+    sub-product; ``totals`` adds ``total``, the bar height per abbreviation
+    (products without one share a bar)."""
     counts = (
         c.where(F.col("subproduct").isNotNull())
         .groupBy("product")
         .agg(F.count("product").alias("Counts_Complaints"))
     )
-    return map_labels(counts, "product", abbreviations or {}, "product_abbr")
+    labelled = map_labels(counts, "product", abbreviations or {}, "product_abbr")
+    return with_totals(labelled, "product_abbr", "Counts_Complaints") if totals else labelled
 
 
 def products(c: DataFrame) -> DataFrame:
@@ -57,6 +80,11 @@ def products(c: DataFrame) -> DataFrame:
     return counts.select(F.row_number().over(w).alias("position"), "product")
 
 
+def product_options(c: DataFrame) -> DataFrame:
+    """``(position, label, value)``: the product dropdown, its first the default."""
+    return products(c).select("position", F.col("product").alias("label"), F.col("product").alias("value"))
+
+
 def product_subproduct_state(c: DataFrame) -> DataFrame:
     """``(product, subproduct, state, Counts_Complaints)``; ``COUNT(state)``."""
     return (

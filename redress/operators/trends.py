@@ -74,10 +74,15 @@ def daily_trend(
 
 
 def trend_for_year(
-    c: DataFrame, year: int, window: int = 30, min_year: int | None = None, date_col: str = DATE
+    c: DataFrame, year: int | None = None, window: int = 30, min_year: int | None = None, date_col: str = DATE
 ) -> DataFrame:
-    """The daily trend restricted to one year (after smoothing and the cut)."""
-    return daily_trend(c, window, min_year, date_col).where(F.year(date_col) == year)
+    """The daily trend restricted to one year (after smoothing and the cut);
+    ``None`` is the slider's default, the first year of the cut trend."""
+    trend = daily_trend(c, window, min_year, date_col)
+    if year is not None:
+        return trend.where(F.year(date_col) == year)
+    first = F.min(F.year(date_col)).over(Window.partitionBy())  # one row per day
+    return trend.withColumn("_first", first).where(F.year(date_col) == F.col("_first")).drop("_first")
 
 
 def trend_year_domain(
@@ -103,6 +108,15 @@ def trend_year_domain(
     )
 
 
+def year_marks(
+    c: DataFrame, min_year: int | None = None, window: int = 30, date_col: str = DATE
+) -> DataFrame:
+    """``(marks MAP<STRING, STRING>)``: one row, the slider's marks by year."""
+    years = trend_year_domain(c, min_year, window, date_col)
+    entries = F.array_sort(F.collect_list(F.struct(F.col("mark").alias("key"), F.col("mark").alias("value"))))
+    return years.agg(F.map_from_entries(entries).alias("marks"))
+
+
 def category_daily_counts(c: DataFrame, category: str, date_col: str = DATE) -> DataFrame:
     """``COUNT(*)`` per (day, category) where the category is present."""
     return (

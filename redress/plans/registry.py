@@ -68,6 +68,15 @@ def _product_counts(spark, d):
     return counts.product_counts(_view(spark, d, "product", "subproduct"), PRODUCT_LABELS)
 
 
+def _product_totals(spark, d):
+    # products that PRODUCT_LABELS misses share one bar
+    return counts.product_counts(_view(spark, d, "product", "subproduct"), PRODUCT_LABELS, totals=True)
+
+
+def _product_options(spark, d):
+    return counts.product_options(_view(spark, d, "product", "subproduct"))
+
+
 def _products(spark, d):
     return counts.products(_view(spark, d, "product", "subproduct"))
 
@@ -122,6 +131,12 @@ def _channel_response_counts(spark, d):
     )
 
 
+def _channel_response_totals(spark, d):
+    return association.channel_response_counts(
+        _view(spark, d, "submitted_via", "company_response_to_consumer"), with_totals=True
+    )
+
+
 def _channel_response_crosstab(spark, d):
     return association.crosstab(_view(spark, d, "submitted_via", "company_response_to_consumer"))
 
@@ -157,9 +172,8 @@ def _subissue_dispute_expected(spark, d):
 
 def _report(row: str, col: str) -> Query:
     def query(spark, d):
-        # the summary repeats the unrounded numbers as text
-        report = association.chi_square(_view(spark, d, row, col), row, col, weight="count")
-        return _rounded(report.drop("summary"), "chi2", "p_value")
+        report = association.chi_square(_view(spark, d, row, col), row, col, weight="count", digits=6)
+        return _rounded(report, "chi2", "p_value")
 
     return query
 
@@ -192,6 +206,10 @@ def _trend_for_year(spark, d):
     return trends.trend_for_year(_view(spark, d, "date_received"), YEAR, WINDOW, MIN_YEAR)
 
 
+def _trend_for_first_year(spark, d):
+    return trends.trend_for_year(_view(spark, d, "date_received"), None, WINDOW, MIN_YEAR)
+
+
 def _trend_year_domain(spark, d):
     return trends.trend_year_domain(_view(spark, d, "date_received"), MIN_YEAR, WINDOW)
 
@@ -268,6 +286,18 @@ def _score_narratives(spark, d):
     return scored.select("doc_id", "prediction", "probability_pct")
 
 
+def _score_complaints(spark, d):
+    """Every complaint id's narrative scored by the model of the complaint
+    columns.  Some ids of the test data stand on several rows: one text each."""
+    c = _view(spark, d, "complaint_id", "consumer_complaint_narrative", "company_response_to_consumer")
+    c = c.where(F.col("consumer_complaint_narrative").isNotNull())
+    model = narratives.train_response_model(c, "consumer_complaint_narrative", "company_response_to_consumer")
+    scored = narratives.score_narratives(
+        _stored_model(spark, model), c, "consumer_complaint_narrative", "complaint_id"
+    )
+    return scored.select("complaint_id", "prediction", "probability_pct")
+
+
 def _sample_narratives(spark, d):
     docs = documents_corpus(spark, d)
     return narratives.sample_narratives(docs, "doc_id", k=5, seed=42).select("doc_id", "lang")
@@ -282,6 +312,8 @@ QUERIES: dict[str, Query] = {
     "sample_rows": _sample_rows,
     "missing_counts": _missing_counts,
     "product_counts": _product_counts,
+    "product_totals": _product_totals,
+    "product_options": _product_options,
     "products": _products,
     "product_subproduct_state": _product_subproduct_state,
     "product_subproduct_lists": _product_subproduct_lists,
@@ -295,6 +327,7 @@ QUERIES: dict[str, Query] = {
     "issue_subissue_lists": _issue_subissue_lists,
     "subissues_for": _subissues_for,
     "channel_response_counts": _channel_response_counts,
+    "channel_response_totals": _channel_response_totals,
     "channel_response_crosstab": _channel_response_crosstab,
     "expected_counts": _expected_counts,
     "subissue_dispute_crosstab": _subissue_dispute_crosstab,
@@ -312,8 +345,10 @@ QUERIES: dict[str, Query] = {
     "subissues_of_unknown": _subissues_of("Unknown"),
     "product_trend_of_standard": _product_trend_of("STANDARD"),
     "train_complaint_model": _train_complaint_model,
+    "score_complaints": _score_complaints,
     "daily_trend": _daily_trend,
     "trend_for_year": _trend_for_year,
+    "trend_for_first_year": _trend_for_first_year,
     "trend_year_domain": _trend_year_domain,
     "response_trend": _response_trend,
     "response_trend_wide": _response_trend_wide,
@@ -485,7 +520,9 @@ p AS (
 )
 SELECT chi2, ROUND(CAST(q AS DOUBLE), 10) AS p_value, dof, n_rows, n_cols, n,
   CASE WHEN q < 0.05 THEN {_quote(association.REJECT_TEXT)} ELSE {_quote(association.ACCEPT_TEXT)} END
-    AS interpretation
+    AS interpretation,
+  'Chi-square statistic: ' || printf('%.6f', chi2) || ', p-value: ' || printf('%.6f', CAST(q AS DOUBLE))
+    || ', Degrees of freedom: ' || CAST(dof AS VARCHAR) AS summary
 FROM p"""
 
 
@@ -518,8 +555,7 @@ SELECT k.lang AS label, CAST(DENSE_RANK() OVER (ORDER BY k.lang ASC) - 1 AS INTE
   CAST((SELECT COUNT(*) FROM train t WHERE t.lang = k.lang) AS BIGINT) AS documents, CAST(k.nk AS BIGINT) AS tokens,
   ROUND((SELECT SUM(w) FROM theta th WHERE th.lang = k.lang), 3) AS weight_sum
 FROM classes k"""
-_NB_SQL = _NB_TRAIN + _NB_FIT + r""",
-scored_docs AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
+_NB_SCORE = r""",
 doc_tf AS (
   SELECT doc_id, term, COUNT(*) AS x FROM (
     SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term
@@ -532,7 +568,7 @@ raw AS (
 ),
 scores AS (
   SELECT d.doc_id, k.lang, COALESCE(r.s, 0.0) AS s
-  FROM scored_docs d CROSS JOIN classes k
+  FROM (SELECT DISTINCT doc_id FROM scored_docs) d CROSS JOIN classes k
   LEFT JOIN raw r ON r.doc_id = d.doc_id AND r.lang = k.lang
 ),
 best AS (
@@ -546,6 +582,14 @@ prob AS (
 )"""
 
 
+_NB_SQL = (
+    _NB_TRAIN + _NB_FIT + ", scored_docs AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL)" + _NB_SCORE
+)
+_NB_COMPLAINTS = f"""WITH complaints AS ({VIEW_SQL}),
+train AS (SELECT company_response_to_consumer AS lang, consumer_complaint_narrative AS text FROM complaints
+  WHERE company_response_to_consumer IS NOT NULL AND consumer_complaint_narrative IS NOT NULL),
+{_NB_FIT}"""
+
 ORACLE_SQL: dict[str, str] = {
     "sample_rows": _with_view(f"SELECT * FROM complaints ORDER BY {_ALL_ORDER} LIMIT 5"),
     "missing_counts": _with_view(
@@ -557,6 +601,16 @@ ORACLE_SQL: dict[str, str] = {
         f"""SELECT product, COUNT(product) AS Counts_Complaints,
   {_case_map("product", PRODUCT_LABELS)} AS product_abbr
 FROM complaints WHERE subproduct IS NOT NULL GROUP BY product"""
+    ),
+    "product_totals": _with_view(
+        f"""SELECT *, CAST(SUM(Counts_Complaints) OVER (PARTITION BY product_abbr) AS BIGINT) AS total FROM (
+  SELECT product, COUNT(product) AS Counts_Complaints, {_case_map("product", PRODUCT_LABELS)} AS product_abbr
+  FROM complaints WHERE subproduct IS NOT NULL GROUP BY product)"""
+    ),
+    "product_options": _with_view(
+        """SELECT CAST(ROW_NUMBER() OVER (ORDER BY COUNT(product) DESC, product ASC) AS INTEGER)
+         AS position, product AS label, product AS value
+FROM complaints WHERE subproduct IS NOT NULL AND product IS NOT NULL GROUP BY product"""
     ),
     "products": _with_view(
         """SELECT CAST(ROW_NUMBER() OVER (ORDER BY COUNT(product) DESC, product ASC) AS INTEGER)
@@ -608,6 +662,11 @@ FROM complaints GROUP BY COALESCE(issue, 'Unknown')"""
     "channel_response_counts": _with_view(
         """SELECT submitted_via, company_response_to_consumer, COUNT(*) AS Count_Response
 FROM complaints GROUP BY submitted_via, company_response_to_consumer"""
+    ),
+    "channel_response_totals": _with_view(
+        """SELECT *, CAST(SUM(Count_Response) OVER (PARTITION BY submitted_via) AS BIGINT) AS total FROM (
+  SELECT submitted_via, company_response_to_consumer, COUNT(*) AS Count_Response
+  FROM complaints GROUP BY submitted_via, company_response_to_consumer)"""
     ),
     "channel_response_crosstab": _crosstab_sql("submitted_via", "company_response_to_consumer"),
     "expected_counts": _expected_sql("submitted_via", "company_response_to_consumer"),
@@ -635,6 +694,8 @@ FROM complaints GROUP BY submitted_via, company_response_to_consumer"""
     "daily_trend": f"WITH complaints AS ({VIEW_SQL}), {_DAILY}\nSELECT * FROM cut",
     "trend_for_year": f"WITH complaints AS ({VIEW_SQL}), {_DAILY}\n"
     f"SELECT * FROM cut WHERE year(date_received) = {YEAR}",
+    "trend_for_first_year": f"WITH complaints AS ({VIEW_SQL}), {_DAILY}\n"
+    "SELECT * FROM cut WHERE year(date_received) = (SELECT MIN(year(date_received)) FROM cut)",
     "trend_year_domain": f"WITH complaints AS ({VIEW_SQL}), {_DAILY},\n"
     "years AS (SELECT DISTINCT CAST(year(date_received) AS INTEGER) AS year FROM cut\n"
     "          WHERE date_received IS NOT NULL)\n"
@@ -670,10 +731,11 @@ FROM complaints WHERE company_response_to_consumer IS NOT NULL
 GROUP BY company_response_to_consumer"""
     ),
     "train_response_model": f"WITH {_NB_TRAIN}{_NB_FIT}{_NB_SUMMARY}",
-    "train_complaint_model": f"""WITH complaints AS ({VIEW_SQL}),
-train AS (SELECT company_response_to_consumer AS lang, consumer_complaint_narrative AS text FROM complaints
-  WHERE company_response_to_consumer IS NOT NULL AND consumer_complaint_narrative IS NOT NULL),
-{_NB_FIT}{_NB_SUMMARY}""",
+    "train_complaint_model": f"{_NB_COMPLAINTS}{_NB_SUMMARY}",
+    "score_complaints": f"""{_NB_COMPLAINTS}, scored_docs AS (
+  SELECT complaint_id AS doc_id, consumer_complaint_narrative AS text FROM complaints
+  WHERE consumer_complaint_narrative IS NOT NULL){_NB_SCORE}
+SELECT doc_id AS complaint_id, prediction, printf('%.2f', 100.0 * p) AS probability_pct FROM prob""",
     "score_narratives": f"""WITH {_NB_SQL}
 SELECT doc_id, prediction, printf('%.2f', 100.0 * p) AS probability_pct FROM prob""",
     "score_sample": f"""WITH {_NB_SQL},

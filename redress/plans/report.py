@@ -16,10 +16,9 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from redress.functions.labels import RESPONSES
+from redress.functions.labels import ISSUE_ABBREVIATIONS, PRODUCT_ABBREVIATIONS, RESPONSES
 from redress.operators import association, counts, outcomes, profile, trends
 from redress.sources.complaints import read_complaints
 from redress.sources.tpch_view import complaints_view
@@ -46,32 +45,24 @@ def report_plans(
     top_pairs: int = 15,
     alpha: float = 0.05,
     responses: list[str] = RESPONSES,
+    product_labels: dict[str, str] = PRODUCT_ABBREVIATIONS,
+    issue_labels: dict[str, str] = ISSUE_ABBREVIATIONS,
 ) -> dict[str, Callable[[DataFrame], DataFrame]]:
     """Every result of the dashboard as ``name -> (complaints -> DataFrame)``.
 
     Defaults are the reference's (cut at 2012, top 10 issues, top 15 pairs,
     alpha 0.05); ``year`` defaults to the first year of the cut trend;
-    ``responses`` are the columns of the wide response trend.
+    ``responses`` are the columns of the wide response trend, and the labels
+    are the abbreviations of products and issues.
     """
     R = "company_response_to_consumer"
 
-    def trend_year(c: DataFrame) -> DataFrame:
-        if year is not None:
-            return trends.trend_for_year(c, year, window, min_year)
-        # The slider's default, the first year of the cut trend, from the
-        # trend's own rows (one per day) rather than a second pass.
-        t = trends.daily_trend(c, window, min_year).where(F.col("date_received").isNotNull())
-        first = F.min(F.year("date_received")).over(Window.partitionBy())
-        return (
-            t.withColumn("_first", first)
-            .where(F.year("date_received") == F.col("_first"))
-            .drop("_first")
-        )
-
     return {
         "sample_rows": lambda c: profile.sample_rows(c, 5),
         "missing_counts": profile.missing_counts,
-        "product_counts": counts.product_counts,
+        "product_counts": lambda c: counts.product_counts(c, product_labels),
+        "product_totals": lambda c: counts.product_counts(c, product_labels, totals=True),
+        "product_options": counts.product_options,
         "products": counts.products,
         "product_subproduct_state": counts.product_subproduct_state,
         "product_subproduct_lists": counts.product_subproduct_lists,
@@ -81,17 +72,19 @@ def report_plans(
         "issue_subissue_counts": counts.issue_subissue_counts,
         "issue_totals": counts.issue_totals,
         "top_issues": lambda c: counts.top_issues(c, top_n),
-        "top_issue_subissue": lambda c: counts.top_issue_subissue(c, top_n, top_pairs),
+        "top_issue_subissue": lambda c: counts.top_issue_subissue(c, top_n, top_pairs, issue_labels),
         "issue_subissue_lists": counts.issue_subissue_lists,
         "subissues_for": counts.subissues_for,
         "channel_response_counts": association.channel_response_counts,
+        "channel_response_totals": lambda c: association.channel_response_counts(c, with_totals=True),
         "channel_response_crosstab": association.crosstab,
         "expected_counts": association.expected_counts,
         "chi_square_report": lambda c: association.chi_square(c, alpha=alpha),
         "chi_square_presence": lambda c: association.chi_square(c, weight="presence", alpha=alpha),
         "daily_trend": lambda c: trends.daily_trend(c, window, min_year),
-        "trend_for_year": trend_year,
+        "trend_for_year": lambda c: trends.trend_for_year(c, year, window, min_year),
         "trend_year_domain": lambda c: trends.trend_year_domain(c, min_year, window),
+        "year_marks": lambda c: trends.year_marks(c, min_year, window),
         "response_trend": lambda c: trends.category_trend(c, R, window),
         "response_trend_wide": lambda c: trends.category_trend_wide(c, R, responses),
         "product_trend": lambda c: trends.category_trend(c, "product", window),

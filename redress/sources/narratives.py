@@ -3,33 +3,52 @@ made from the driver's ``documents`` table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def read_narratives_csv(
-    spark: SparkSession, path: str, text_index: int = 0, text_col: str = "narrative"
+    spark: SparkSession,
+    path: str,
+    text_index: int = 0,
+    text_col: str = "narrative",
+    schema: str | StructType | None = None,
 ) -> DataFrame:
-    """``(narrative_id, narrative)`` from a CSV with a header whose column
+    """``(narrative_id, narrative)`` from CSV files with a header whose column
     ``text_index`` holds the narrative.
 
-    Narratives span lines and hold quotes, so the reader runs with
-    ``multiLine`` (one task per file: convert large inputs to parquet once).
-    The id is the row's position within its file partition, which is fixed
-    for a given file.
+    With a ``schema`` the files are not looked at to plan the read, and a
+    header that names other columns is an error.  Narratives span lines and
+    hold quotes, so the reader runs with ``multiLine``: one task per file.
+    Store large inputs once (:func:`store_narratives`) and work on that.
+    The id is ``<file name>:<row in the file>``, whatever files lie beside it
+    and however Spark groups them.
     """
-    raw = (
+    reader = (
         spark.read.option("header", True)
         .option("multiLine", True)
         .option("quote", '"')
         .option("escape", '"')
         .option("inferSchema", False)
-        .csv(path)
     )
-    name = raw.columns[text_index]
-    return raw.select(
-        F.monotonically_increasing_id().alias("narrative_id"), F.col(name).alias(text_col)
+    if schema is not None:
+        reader = reader.schema(schema).option("enforceSchema", False)
+    raw = reader.csv(path)
+    rows = raw.select(
+        F.col("_metadata.file_name").alias("_file"),
+        F.monotonically_increasing_id().alias("_at"),  # grows along a file
+        F.col(raw.columns[text_index]).alias(text_col),
     )
+    n = F.row_number().over(Window.partitionBy("_file").orderBy("_at"))
+    return rows.select(F.concat_ws(":", "_file", n - 1).alias("narrative_id"), text_col)
+
+
+def store_narratives(spark: SparkSession, path: str, table: str, **options) -> DataFrame:
+    """The CSV files under ``path`` written once as parquet at ``table``, and
+    that table read; ``options`` as in :func:`read_narratives_csv`."""
+    read_narratives_csv(spark, path, **options).write.parquet(table)
+    return spark.read.parquet(table)
 
 
 def distinct_texts(

@@ -151,3 +151,24 @@ def test_issue_subissue_lists_and_subissues_for(frame):
     assert got == {"s1": 4, "Unknown": 2}
     got = {r.subissue: r["count"] for r in counts.subissues_for(c, "Unknown").collect()}
     assert got == {"x": 0, "Unknown": 1}
+
+
+def test_largest_first_orders_groups_with_ties_by_key(frame):
+    got = counts.largest_first(counts.product_counts(_products(frame)), "Counts_Complaints").collect()
+    assert [r["product"] for r in got] == [MORTGAGE, DEBT, "Car, boat's loan", None]
+    triples = counts.largest_first(counts.product_subproduct_state(_products(frame)), "Counts_Complaints").collect()
+    assert [r.Counts_Complaints for r in triples] == sorted((r.Counts_Complaints for r in triples), reverse=True)
+    ones = [(r["product"], r.subproduct, r.state) for r in triples if r.Counts_Complaints == 1]
+    assert ones == [("Car, boat's loan", "Z", "WA"), (DEBT, "Auto", "CA"), (DEBT, "Auto", "NV")]
+    by_product = counts.largest_first(counts.product_subproduct_state(_products(frame)), "Counts_Complaints", "product")
+    assert [r["product"] for r in by_product.collect()][:2] == [None, "Car, boat's loan"]
+
+
+def test_totals_per_bar(frame):
+    got = counts.product_counts(_products(frame), {MORTGAGE: "Loans", "Car, boat's loan": "Loans"}, totals=True)
+    assert {r["product"]: r.total for r in got.collect()} == {MORTGAGE: 7, "Car, boat's loan": 7, DEBT: 4, None: 4}
+
+
+def test_options_are_labels_and_values_largest_first(frame):
+    got = counts.product_options(_products(frame)).orderBy("position").collect()
+    assert [(r.label, r.value) for r in got] == [(x, x) for x in (MORTGAGE, DEBT, "Car, boat's loan")]

@@ -8,7 +8,7 @@ from conftest import SF01
 from pyspark.sql import functions as F
 
 from redress.operators import narratives
-from redress.sources.narratives import distinct_texts, documents_corpus, read_narratives_csv
+from redress.sources.narratives import distinct_texts, documents_corpus, read_narratives_csv, store_narratives
 
 
 @pytest.fixture(scope="module")
@@ -122,6 +122,27 @@ def test_csv_reader_multiline_quotes(spark):
     assert len({r.narrative_id for r in got}) == 3
 
 
+def test_csv_ids_do_not_depend_on_other_files_and_schema_is_checked(spark):
+    folder = tempfile.mkdtemp(prefix="redress-csv-")
+
+    def write(name, rows):
+        with open(os.path.join(folder, name), "w", encoding="utf-8") as fh:
+            fh.write("narrative,response\n" + "".join(f'"{r}",Closed\n' for r in rows))
+
+    ids = lambda: {r.narrative_id: r.narrative for r in read_narratives_csv(spark, folder, schema=schema).collect()}
+    schema = "narrative string, response string"
+    write("b.csv", ["one", "two\nlines", "one"])
+    before = ids()
+    assert before == {"b.csv:0": "one", "b.csv:1": "two\nlines", "b.csv:2": "one"}
+    write("a.csv", ["a longer narrative " * 50, "x"])
+    after = ids()
+    assert before.items() <= after.items() and after["a.csv:1"] == "x" and len(after) == 5
+    stored = store_narratives(spark, folder, os.path.join(tempfile.mkdtemp(prefix="redress-csv-"), "t"), schema=schema)
+    assert {r.narrative_id: r.narrative for r in stored.collect()} == after
+    with pytest.raises(Exception, match="(?i)header"):
+        read_narratives_csv(spark, folder, schema="text string, response string").collect()
+
+
 def test_labels_are_alphabetical(model):
     labels = narratives.model_labels(model)
     assert labels == sorted(labels) and len(labels) == 4

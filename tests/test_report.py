@@ -4,7 +4,7 @@ import tempfile
 from conftest import SF001
 
 from redress.plans import report
-from redress.plans.registry import MIN_YEAR, QUERIES
+from redress.plans.registry import ISSUE_LABELS, MIN_YEAR, PRODUCT_LABELS, QUERIES
 
 
 def _rows(df):
@@ -15,9 +15,14 @@ def _rows(df):
 def test_report_from_stored_table_equals_view_queries(spark):
     folder = tempfile.mkdtemp(prefix="redress-report-")
     path = report.build_complaints_table(spark, SF001, os.path.join(folder, "complaints"))
-    results = report.run_report(report.read_table(spark, path), min_year=MIN_YEAR)
+    # the parameters of the registered queries
+    results = report.run_report(
+        report.read_table(spark, path), min_year=MIN_YEAR, top_n=3, top_pairs=10,
+        product_labels=PRODUCT_LABELS, issue_labels=ISSUE_LABELS,
+    )
     same = [
-        "sample_rows", "missing_counts", "product_counts", "products", "state_counts_for",
+        "sample_rows", "missing_counts", "product_counts", "product_totals", "product_options", "products",
+        "top_issues", "channel_response_totals", "state_counts_for",
         "issue_subissue_lists", "top_issue_subissue", "channel_response_crosstab",
         "expected_counts", "daily_trend", "response_trend", "product_trend_for",
         "top_issue_per_year", "response_composition", "dispute_by_response",

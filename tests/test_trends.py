@@ -137,3 +137,12 @@ def test_wide_with_given_categories_needs_no_discovery(frame):
     assert (got["Not in data"] == 0).all()
     for k in ("Closed", "In progress"):
         assert list(got.loc[found.index, k]) == list(found[k])
+
+
+def test_default_year_and_marks(frame):
+    rows = [complaint(date_received=dt.date(y, 3, d)) for y in (2011, 2012, 2014) for d in (1, 2)]
+    c = frame([*rows, complaint(date_received=None)])
+    years = {r.date_received.year for r in trends.trend_for_year(c, min_year=2012).collect()}
+    assert years == {2012}
+    assert trends.year_marks(c, 2012).first().marks == {"2012": "2012", "2014": "2014"}
+    assert trends.year_marks(c, 2020).first().marks == {}
