@@ -44,12 +44,14 @@ def merge(run: DataFrame, fan_in: int = 8) -> DataFrame:
     leaves = (run.agg(F.max("leaf")).first()[0] or 0) + 1
     best = F.struct((-F.col("points")).alias("less"), F.col("id").isNull().alias("none"), F.col("id").alias("id"))
     now = run.select(F.col("leaf").alias("part"), *VERIFIED, best.alias("best"), F.lit(1).cast("long").alias("n"))
-    while True:
+    merged = [F.min("best").alias("best"), F.sum("n").alias("n")]
+    while leaves > fan_in:
         parent = F.floor(F.col("part") / fan_in).cast("int")
-        now = now.groupBy(parent.alias("part"), *VERIFIED).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+        now = now.groupBy(parent.alias("part"), *VERIFIED).agg(*merged)
         leaves = -(-leaves // fan_in)
-        if leaves <= 1:
-            return now.drop("part")
+    # the root takes whatever runs are left: leaves may be cut otherwise when
+    # they are read again, after executors came or went
+    return now.groupBy(*VERIFIED).agg(*merged)
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8) -> DataFrame:
