@@ -3,7 +3,7 @@
 A transaction is a request, a response (or revisit) and a metadata record
 that name each other through ``WARC-Concurrent-To``.  Archives are written
 by Spark's text writer, whose line separator is the blank lines that end a
-record, as gzip files of a bounded number of transactions, and read by
+record, as gzip files of a bounded number of transactions and bytes, and read by
 Spark's binary file reader: tasks only decompress and cut records by their
 ``Content-Length``, one record in memory at a time.
 """
@@ -22,8 +22,9 @@ from redress.llm.common import attach, ship, stored
 
 EOL = "\r\n"
 END = EOL * 2
-#: Transactions in one archive file at most.
-PER_FILE = 5000
+#: Transactions in one archive file at most, and bytes of payload in one, about:
+#: a file is one value in its reader's memory.
+PER_FILE, FILE_BYTES = 5000, 1 << 26
 _DATE = "2024-01-01T00:00:00Z"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -102,8 +103,10 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
          ("WARC-Concurrent-To", ref(name, "request")), ("Content-Type", F.lit("application/warc-fields"))],
         F.coalesce(F.concat(F.lit("page-id: "), F.col("id"), F.lit(EOL)), F.lit("")),
     )
+    rows, held = slim.agg(F.count("*"), F.sum("size")).first()
+    per_file = max(1, min(PER_FILE, FILE_BYTES * rows // max(held or 0, 1)))
     src.select(F.concat_ws(END, request, response, metadata).alias("value")).write.option("lineSep", END).option(
-        "compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
+        "compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 class _Stream:
