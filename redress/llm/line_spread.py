@@ -50,8 +50,9 @@ def spread(lines: DataFrame, min_sites: int, near: float = NEAR) -> DataFrame:
     )
     sure = sketched.where(F.col("sites") > min_sites * (1 + near))
     close = sketched.where(F.col("sites") <= min_sites * (1 + near))
-    exact = lines.join(close.select("line"), "line", "left_semi").select("line", "site").distinct()
-    exact = exact.groupBy("line").count().where(F.col("count") >= min_sites).select("line")
+    # a line on few sites may still hold a third of all rows
+    exact = attach(lines.select("line", "site"), close.select("line", "n"), "line", "n").where("n IS NOT NULL")
+    exact = exact.select("line", "site").distinct().groupBy("line").count().where(F.col("count") >= min_sites).select("line")
     return sure.select("line", "first", "n").unionByName(close.join(exact, "line", "left_semi").select("line", "first", "n"))
 
 
