@@ -82,6 +82,16 @@ def test_near_threshold_lines_are_counted_exactly(spark):
     assert got == {k for k in range(380, 421, 5) if k >= 400}
 
 
+def test_hot_lines_near_the_threshold(spark):
+    # more rows than an ordinary join gets, on exactly 5 and on 4 sites
+    rows = [(i, f"five\nfour\nown {i}", f"s{i % 5}") for i in range(1200)]
+    rows = [(i, t if i % 5 < 4 else f"five\nown {i}", s) for i, t, s in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in line_spread.drop_boilerplate(df).collect()}
+    assert got == plain_lines(rows, 5)
+    assert got[0].startswith("five\n") and got[6] == "four\nown 6" and got[4] == "own 4"
+
+
 def test_line_spread_odd_rows(odd_docs, no_docs):
     got = line_spread.drop_boilerplate(odd_docs, min_sites=2)
     assert got.columns == odd_docs.columns and got.count() == odd_docs.count()
