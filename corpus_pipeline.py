@@ -33,12 +33,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that SimHash links (3-word shingles, 3
-    bits): the one with the smallest id.  Rows with a null id are kept, and
-    of rows that repeat an id all are if one is."""
-    found = simhash.near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """One row of each group that SimHash links (3-word shingles, 3 bits):
+    one with the smallest id, or with a null id if no row of the group has
+    another.  Rows that repeat an id are judged by their own texts."""
+    return simhash.keep_first(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

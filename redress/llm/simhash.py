@@ -27,7 +27,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redress.llm.common import attach, ship, stored
@@ -64,19 +64,23 @@ def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(id, fp): the fingerprint of every row's whole text as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
+                 key: Column | None = None) -> DataFrame:
+    """(id, fp): the fingerprint of every row's whole text as a signed long,
+    and ``key`` as ``_k`` if it is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).cast(pa.large_binary())
             fp = np.fromiter((fingerprint(t.as_py(), words) for t in texts), dtype=np.uint64, count=len(texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], names=names)
 
     ship(docs.sparkSession)
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    keys = [] if key is None else [key.alias("_k")]
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *keys)
     kind = src.schema["id"].dataType.simpleString()
-    return src.mapInArrow(run, f"id {kind}, fp long")
+    names = ["id", "fp", "_k"][: 2 + len(keys)]
+    return src.mapInArrow(run, f"id {kind}, fp long" + ", _k string" * len(keys))
 
 
 def _possible(classes: DataFrame) -> DataFrame:
@@ -144,3 +148,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return attach(prints, stored(named, "simhash-named"), "fp", "_n").select(
         F.col("id").alias(id_col), "fp", "component_id"
     )
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+    """``docs`` with one row of each group of fingerprints that links of at
+    most 3 differing bits connect; all columns.
+
+    Rows are judged one by one, so an id on several texts can stay on one and
+    go on another, and links nothing by itself.  The row that stays has the
+    smallest id (a null id only if no other row has one); rows that share it
+    are told apart by hashes of their text and of all their columns but maps,
+    and of rows equal in all that any one stays.  Null, empty and blank texts
+    have the fingerprint 0 and link like any other.  ``docs`` is read several
+    times: give it stored.  A column ``_k`` or ``_c`` or ``_first`` is not
+    allowed.
+    """
+    whole = F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind])
+    size = F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(-1))
+    key = F.concat_ws(":", F.hex(F.xxhash64(text_col)), size, F.hex(whole))
+    prints = fingerprints(docs, id_col, text_col, words, key)
+    rows = stored(prints.groupBy("fp", "id", "_k").agg(F.count("*").alias("_c")), "simhash-rows")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_k")).alias("first")
+    classes = stored(rows.groupBy("fp").agg(first), "simhash-classes")
+    found = connected_components(links(classes.select("fp", F.col("fp").alias("node"))))
+    named = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left")
+    heads = named.groupBy(F.coalesce("component", "fp").alias("group")).agg(F.min("first").alias("first"))
+    heads = heads.select(F.col("first._k").alias("_k"), F.lit(True).alias("_first"))
+    # what the rows of docs have to know: those that go, and those that stay but are repeated
+    marks = rows.select("_k", "_c").join(heads, "_k", "left").where("_first IS NULL OR _c > 1")
+    told = attach(docs.withColumn("_k", key), stored(marks, "simhash-marks"), "_k", "_c")
+    lone, repeated = told.where("_c IS NULL"), told.where("_first").dropDuplicates(["_k"])
+    return lone.select(*docs.columns).unionByName(repeated.select(*docs.columns))
