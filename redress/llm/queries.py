@@ -33,7 +33,7 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     path = scratch_path(spark, "warc")
-    warc.write_archives(pages, path)
+    warc.write_archives(pages, path, every_row=True)
     found = warc.captures(warc.read_records(spark, path))
     return found.select(
         F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",

@@ -50,10 +50,32 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
     return F.concat(*lines, F.lit(EOL), block)
 
 
+def _numbered(src: DataFrame, slim: DataFrame) -> DataFrame:
+    """``src`` with a ``mark`` on all but one of the rows of a ``name``: the
+    number of the row in ``slim``, which has the same rows without bodies.  A
+    name stands for one body, so repeated ones are taken once and dealt to
+    the rows of ``slim``."""
+    seen = slim.groupBy("name").agg(F.min("n").alias("least"), F.count("*").alias("_n")).where("_n > 1")
+    seen = stored(seen, "repeated-names")
+    if seen.isEmpty():
+        return src
+    told = attach(src, seen, "name", "_n")
+    bodies = stored(told.where("_n IS NOT NULL").select("name", "body", "_n").dropDuplicates(["name"]), "repeated-bodies")
+    rows = attach(slim, seen.withColumnRenamed("_n", "_m"), "name", "_m").where("_m IS NOT NULL")
+    mark = F.when(F.col("n") == F.col("least"), "").otherwise(F.concat(F.lit(":"), F.col("n").cast("string")))
+    rows = attach(stored(rows.select("name", "order", "id", "url", "digest", mark.alias("mark")), "repeated-rows"), bodies, "name", "_n")
+    return told.where("_n IS NULL").select(*src.columns).unionByName(rows.select(*src.columns))
+
+
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url",
-                   payload_col: str = "html", min_revisit_bytes: int = 0) -> None:
+                   payload_col: str = "html", min_revisit_bytes: int = 0, every_row: bool = False) -> None:
     """Write one transaction per row of ``pages`` under ``path``.
 
+    Record ids are made of the row's id and payload digest; rows that share
+    both get the same ids and are read back as one capture.  With
+    ``every_row`` all but one of such rows have a number in theirs, and every
+    row is read back as a capture of its own.
+
     Of rows with equal payloads (SHA-1 and length) of at least
     ``min_revisit_bytes`` bytes, those with the smallest id are written as
     response, the others as revisit that refers to it; smaller payloads are
@@ -64,7 +86,10 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     body = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     src = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).alias("url"), body.alias("body"),
                        F.col(id_col).alias("order"))
-    slim = stored(src.select("order", base32_sha1(F.col("body")).alias("digest"), F.octet_length("body").alias("size")), "payloads")
+    digest = base32_sha1(F.col("body"))
+    sums = src.select("order", digest.alias("digest"), F.octet_length("body").alias("size"),
+                      *(["id", "url", F.monotonically_increasing_id().alias("n")] if every_row else []))
+    slim = stored(sums, "payloads")
     groups = stored(
         slim.where(F.col("size") >= min_revisit_bytes).groupBy("digest", "size").agg(
             F.min("order").alias("first"), F.count("*").alias("_n")
@@ -72,11 +97,13 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     )
     marked = attach(slim, groups, "digest", "_n").where("first IS NOT NULL AND NOT (order <=> first)")
     revisits = marked.select(F.col("order").alias("_o"), F.col("digest").alias("_d"), "first").distinct()
-    digest = base32_sha1(F.col("body"))
-    src = src.withColumn("digest", digest)
+    src = src.withColumn("digest", digest).withColumn("mark", F.lit(""))
+    name = F.concat(F.coalesce("id", F.lit("null")), F.lit(":"), F.col("digest"))
+    if every_row:
+        src = _numbered(src.withColumn("name", name), slim.withColumn("name", name)).drop("name")
     src = src.join(revisits, src["order"].eqNullSafe(revisits["_o"]) & (src["digest"] == revisits["_d"]), "left")
 
-    name = F.concat(F.coalesce("id", F.lit("null")), F.lit(":"), F.col("digest"))
+    name = F.concat(name, F.col("mark"))
     ref = lambda who, kind: F.concat(F.lit("<urn:x-page:"), who, F.lit(f":{kind}>"))
     capture = ref(name, "capture")
     first = F.concat(F.col("first").cast("string"), F.lit(":"), F.col("digest"))
