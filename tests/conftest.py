@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import datetime as dt
 import os
 import sys
 
@@ -11,9 +10,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from redress.session import get_session  # noqa: E402
 from redress.sources.complaints import COMPLAINT_SCHEMA  # noqa: E402
 
-SF001 = "/root/testdata/sf0.001"
-SF01 = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -27,14 +23,6 @@ def spark():
     yield session
 
 
-def complaint(**values):
-    """A complaint row as a tuple in schema order; unnamed columns are null."""
-    names = [f.name for f in COMPLAINT_SCHEMA.fields]
-    unknown = set(values) - set(names)
-    assert not unknown, unknown
-    return tuple(values.get(n) for n in names)
-
-
 @pytest.fixture
 def frame(spark):
     """Build a complaints DataFrame from ``complaint(...)`` rows."""
@@ -43,7 +31,3 @@ def frame(spark):
         return spark.createDataFrame(rows, COMPLAINT_SCHEMA)
 
     return build
-
-
-def day(i: int) -> dt.date:
-    return dt.date(2020, 1, 1) + dt.timedelta(days=i)

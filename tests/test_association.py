@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import complaint
+from helpers import complaint
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.stat import ChiSquareTest
 

@@ -1,4 +1,4 @@
-from conftest import complaint
+from helpers import complaint
 
 from redress.operators import counts
 

@@ -4,7 +4,7 @@ import tempfile
 
 import numpy as np
 import pytest
-from conftest import SF01
+from helpers import SF01
 from pyspark.sql import functions as F
 
 from redress.operators import narratives

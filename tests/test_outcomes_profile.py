@@ -1,6 +1,6 @@
 import datetime as dt
 
-from conftest import complaint
+from helpers import complaint
 
 from redress.operators import outcomes, profile
 from redress.sources.complaints import NULL_PROFILE_COLUMNS

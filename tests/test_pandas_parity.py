@@ -4,7 +4,7 @@ the way the reference computes (SQL COUNT semantics, then pandas)."""
 import datetime as dt
 
 import pandas as pd
-from conftest import complaint
+from helpers import complaint
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 

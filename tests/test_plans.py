@@ -4,7 +4,7 @@ import re
 from collections import Counter
 
 import pytest
-from conftest import SF001
+from helpers import SF001
 
 from redress.plans.registry import QUERIES
 

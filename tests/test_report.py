@@ -1,7 +1,7 @@
 import os
 import tempfile
 
-from conftest import SF001
+from helpers import SF001
 
 from redress.plans import report
 from redress.plans.registry import ISSUE_LABELS, MIN_YEAR, PRODUCT_LABELS, QUERIES

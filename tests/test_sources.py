@@ -1,6 +1,6 @@
 import os
 
-from conftest import SF001
+from helpers import SF001
 from pyspark.sql import functions as F
 
 from redress.sources.complaints import COMPLAINT_COLUMNS, COMPLAINT_SCHEMA, conform

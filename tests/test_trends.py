@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pandas as pd
-from conftest import complaint, day
+from helpers import complaint, day
 
 from redress.operators import trends
 
