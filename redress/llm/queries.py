@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redress.llm import (
-    digest_merge, gam, line_spread, packing, piece_bpe, pivots, redirects, secrets, simhash, warc,
+    digest_merge, gam, line_spread, packing, periodic, piece_bpe, pivots, redirects, secrets, simhash, warc,
 )
 from redress.llm.common import scratch_path
 
@@ -86,9 +86,34 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_rows(_table(spark, sf_dir, "documents"), packing.count_words(F.col("text")))
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of the documents whose id's CRC-32 h is divisible by
+    10, the words from a = g % n on repeat with a period of
+    p = 1 + floor((n - a) / (3 + g % 8)), where g = floor(h / 10) and n is the
+    number of words.  Null ids and all other texts stay as they are."""
+    plain = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    words = plain.withColumn("w", F.expr(r"CASE WHEN h % 10 = 0 THEN regexp_extract_all(text, r'[^\x20\x09-\x0D]+', 0) END"))
+    sized = words.withColumn("n", F.expr("size(w)")).withColumn("a", F.expr("CASE WHEN n > 0 THEN (h div 10) % n END"))
+    period = sized.withColumn("p", F.expr("1 + (n - a) div (3 + (h div 10) % 8)"))
+    again = F.expr("array_join(transform(sequence(0, n - 1), i -> w[CAST(if(i < a, i, a + (i - a) % p) AS INT)]), ' ')")
+    return period.select("doc_id", F.when(F.col("a").isNotNull(), again).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(with_periods(_table(spark, sf_dir, "documents")))
+    best = F.expr("array_min(transform(runs, r -> struct(-r.length AS less, r.start AS start, r.period AS period)))")
+    listed = F.expr("array_join(transform(runs, r -> concat_ws(',', r.start, r.length, r.period) || '\n'), '')")
+    rows = found.withColumn("b", best).withColumn("length", -F.col("b.less"))
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("b.start").alias("start"), "length",
+        F.col("b.period").alias("period"), F.expr("length * 1000 div b.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc, op2_simhash, op3_pivots, op4_redirects, op5_gam, op6_digest_merge, op7_line_spread, op8_secrets,
-    op9_piece_bpe, op10_packing,
+    op9_piece_bpe, op10_packing, op13_periodic,
 )}
 
 _HOST_PATH = """
