@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redress.llm import (
-    digest_merge, gam, line_spread, packing, periodic, piece_bpe, pivots, redirects, secrets, simhash, warc,
+    attention_lm, digest_merge, gam, line_spread, packing, periodic, piece_bpe, pivots, redirects, secrets, simhash,
+    spill_align, warc,
 )
 from redress.llm.common import scratch_path
 
@@ -86,6 +87,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_rows(_table(spark, sf_dir, "documents"), packing.count_words(F.col("text")))
 
 
+def op11_spill_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spill_align.link_counts(
+        _table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path(), digest=True
+    )
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return attention_lm.score_texts(_table(spark, sf_dir, "documents"), tokenizer_path(), held_out)
+
+
 def with_periods(docs: DataFrame) -> DataFrame:
     """(doc_id, text): of the documents whose id's CRC-32 h is divisible by
     10, the words from a = g % n on repeat with a period of
@@ -113,7 +126,7 @@ def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_warc, op2_simhash, op3_pivots, op4_redirects, op5_gam, op6_digest_merge, op7_line_spread, op8_secrets,
-    op9_piece_bpe, op10_packing, op13_periodic,
+    op9_piece_bpe, op10_packing, op11_spill_align, op12_attention_lm, op13_periodic,
 )}
 
 _HOST_PATH = """
