@@ -24,13 +24,14 @@ Counting never holds more than a bounded piece in memory:
 
 Texts are cut where a single space stands between characters that are not
 white space: no token of either side spans such a place, so a piece between
-two of them is encoded once per task and looked up afterwards.
+two of them is encoded once per process and looked up afterwards.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -53,8 +54,8 @@ RADIX = 16
 FRAME = 16_384
 #: Spills that one merge takes.
 SLICE = 16
-#: Pieces a task remembers, and the longest it does.
-REMEMBERED, LONGEST = 200_000, 64
+#: Pieces a process remembers from one group of documents to the next, and how many it keeps when they are more.
+REMEMBERED, KEPT = 300_000, 100_000
 #: Documents are looked up in groups of about so many bytes.
 GROUP_BYTES = 2_000_000
 
@@ -62,7 +63,7 @@ _CUT = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
 
 
 class Sides:
-    """Both tokenizers and the byte length of each of their tokens."""
+    """Both tokenizers, the bytes of their tokens, and the pieces met last."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -76,63 +77,123 @@ class Sides:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(c): c for c in shown}
         byte.update({chr(256 + i): c for i, c in enumerate(sorted(set(range(256)) - set(shown)))})
-        n_a = self.a.get_vocab_size()
+        self.n_a = self.a.get_vocab_size()
         self.bytes_a = [
             bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode()
-            for t in (self.a.id_to_token(i) or "" for i in range(n_a))
+            for t in (self.a.id_to_token(i) or "" for i in range(self.n_a))
         ]
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = []
-        for i in range(self.b.get_piece_size()):
-            t = self.b.id_to_piece(i)
+        for t in pieces:
             raw = re.fullmatch("<0x([0-9A-F]{2})>", t)
             self.bytes_b.append(bytes([int(raw[1], 16)]) if raw else t.replace("▁", " ").encode())
-        self.n_a = n_a
+        self.size_a, self.size_b = (np.array([len(x) for x in side]) for side in (self.bytes_a, self.bytes_b))
+        # ids as text, with what follows them inside and at the end of their side of a group
+        self.shown_a = [np.array([f"{i}{end}" for i in range(self.n_a)], dtype="S11") for end in ",|"]
+        self.shown_b = [np.array([f"{i}{end}" for i in range(len(pieces))], dtype="S11") for end in ",;"]
         # a piece can be looked up by itself if no token goes on after a space that follows other characters
-        self.cuts = not any(re.search("[^▁]▁", self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))
-        self.known: dict[str, tuple | None] = {}
-
-    def aligned(self, text: str, a: list[int], b: list[int]) -> tuple | None:
-        """(n_a, n_b, links, pair codes, groups) of a text, None if the tokens' bytes are others."""
-        ta, tb = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        whole = b" " + text.encode()
-        if b"".join(ta) != whole or b"".join(tb) != whole:
-            return None
-        ends_a = np.cumsum(np.fromiter(map(len, ta), np.int64, len(ta)))
-        ends_b = np.cumsum(np.fromiter(map(len, tb), np.int64, len(tb)))
-        _, ia, ib = np.intersect1d(ends_a, ends_b, return_indices=True)
-        pairs = np.array(b, dtype=np.int64)[ib] * self.n_a + np.array(a, dtype=np.int64)[ia]
-        groups, at, bt = [], 0, 0
-        for i, j in zip(ia.tolist(), ib.tolist()):
-            groups.append(",".join(map(str, a[at : i + 1])) + "|" + ",".join(map(str, b[bt : j + 1])))
-            at, bt = i + 1, j + 1
-        return len(a), len(b), len(ia), pairs.tobytes(), ";".join(groups)
+        self.cuts = not any(re.search("[^▁]▁", t) for t in pieces)
+        self.known: dict[str, int] = {}
+        self.codes: list[bytes] = []
+        self.groups: list[bytes] = []
+        self.sizes, self.uses = np.zeros((0, 3), dtype=np.int64), np.zeros(0, dtype=np.int64)
 
     def encode(self, texts: list[str]) -> list[tuple | None]:
-        found = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
-        return [self.aligned(t, x.ids, y) for t, x, y in zip(texts, found, self.b.encode(texts, num_threads=1))]
+        """(n_a, n_b, links, pair codes, groups each with a ``;`` behind) per
+        text; None if the bytes of its tokens are not a space and the text."""
+        if not texts:
+            return []
+        spaced = [" " + t for t in texts]
+        a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+        b = self.b.encode(texts, num_threads=1)
+        raw = [t.encode() for t in spaced]
+        if self._same(raw, a, b):
+            return self._aligned(a, b)
+        if len(raw) == 1:
+            return [None]
+        good = [self._same([r], [x], [y]) for r, x, y in zip(raw, a, b)]
+        rows = iter(self._aligned([x for x, g in zip(a, good) if g], [y for y, g in zip(b, good) if g]))
+        return [next(rows) if g else None for g in good]
+
+    def _same(self, raw: list[bytes], a: list[list[int]], b: list[list[int]]) -> bool:
+        """Whether the tokens of every text have its bytes, on both sides."""
+        whole, sizes = b"".join(raw), list(map(len, raw))
+        for side, known in ((a, self.bytes_a), (b, self.bytes_b)):
+            parts = [b"".join(map(known.__getitem__, x)) for x in side]
+            if list(map(len, parts)) != sizes or b"".join(parts) != whole:
+                return False
+        return True
+
+    def _aligned(self, a: list[list[int]], b: list[list[int]]) -> list[tuple]:
+        """All texts at once: they have the same bytes on both sides."""
+        ia, ib = (np.fromiter(itertools.chain.from_iterable(x), np.int64, sum(map(len, x))) for x in (a, b))
+        ends_a, ends_b = np.cumsum(self.size_a[ia]), np.cumsum(self.size_b[ib])
+        _, la, lb = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+        pairs = ib[lb] * self.n_a + ia[la]
+        # the groups as one text: all A tokens of a group, then its B tokens
+        last_a, last_b = np.zeros(len(ia), dtype=bool), np.zeros(len(ib), dtype=bool)
+        last_a[la], last_b[lb] = True, True
+        before = np.concatenate([[-1], lb])[np.cumsum(last_a) - last_a] + 1  # B tokens in earlier groups
+        upto = la[np.cumsum(last_b) - last_b] + 1  # A tokens in groups up to this one
+        shown = np.empty(len(ia) + len(ib), dtype="S11")
+        shown[np.arange(len(ia)) + before] = np.where(last_a, self.shown_a[1][ia], self.shown_a[0][ia])
+        shown[np.arange(len(ib)) + upto] = np.where(last_b, self.shown_b[1][ib], self.shown_b[0][ib])
+        sizes = np.concatenate([[0], np.cumsum(np.char.str_len(shown))])
+        text = shown.tobytes().replace(b"\0", b"")
+        ea, eb = (np.concatenate([[0], np.cumsum([len(x) for x in side])]) for side in (a, b))
+        cut = sizes[ea + eb].tolist()
+        links = np.searchsorted(la, ea).tolist()
+        codes = pairs.tobytes()
+        return [
+            (len(a[i]), len(b[i]), links[i + 1] - links[i], codes[8 * links[i] : 8 * links[i + 1]], text[cut[i] : cut[i + 1]])
+            for i in range(len(a))
+        ]
+
+    def _forget(self) -> None:
+        """Keep the ``KEPT`` pieces that were used most."""
+        names, order = list(self.known), np.argsort(-self.uses, kind="stable")[:KEPT]
+        self.known = {names[i]: k for k, i in enumerate(order)}
+        self.codes, self.groups = [self.codes[i] for i in order], [self.groups[i] for i in order]
+        self.sizes, self.uses = self.sizes[order], self.uses[order] // 2
 
     def documents(self, texts: list[str | None]) -> Iterator[tuple]:
         """(n_a, n_b, links, pair codes, groups) of every text; zeros for a
         text that has no tokens."""
-        cut = [(_CUT.split(t) if self.cuts else [t]) if t else [] for t in texts]
-        new = list({p for pieces in cut for p in pieces if p not in self.known})
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list({p for pieces in cut for p in pieces})
-        short = [p for p in new if len(p) <= LONGEST]
-        long = [p for p in new if len(p) > LONGEST]
-        self.known.update(zip(short, self.encode(short)))
-        once = dict(zip(long, self.encode(long)))
-        for text, pieces in zip(texts, cut):
-            known = self.known
-            rows = [known[p] if p in known else once[p] for p in pieces]
-            if None in rows:
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        known, old, places = self.known, len(self.known), []
+        for t in texts:
+            pieces = (_CUT.split(t) if self.cuts else [t]) if t else []
+            places.append([known.setdefault(p, len(known)) for p in pieces])
+        if len(known) > old:
+            found = self.encode(list(itertools.islice(known, old, None)))
+            rows = [r or (-1, 0, 0, b"", b"") for r in found]
+            self.sizes = np.concatenate([self.sizes, np.array([r[:3] for r in rows], dtype=np.int64).reshape(-1, 3)])
+            self.uses = np.concatenate([self.uses, np.zeros(len(rows), dtype=np.int64)])
+            self.codes += [r[3] for r in rows]
+            self.groups += [r[4] for r in rows]
+        codes, groups = self.codes.__getitem__, self.groups.__getitem__
+        for text, at in zip(texts, places):
+            where = np.array(at, dtype=np.int64)
+            sizes = self.sizes[where]
+            np.add.at(self.uses, where, 1)
+            if not at:
+                yield 0, 0, 0, b"", b""
+            elif sizes[:, 0].min() >= 0:
+                yield (*sizes.sum(0).tolist(), b"".join(map(codes, at)), b"".join(map(groups, at))[:-1])
+            else:  # some bytes differ: if not in the whole text, it is aligned as one
                 whole = self.encode([text])[0]
-                rows = [] if whole is None else [whole]
-            yield (
-                sum([r[0] for r in rows]), sum([r[1] for r in rows]), sum([r[2] for r in rows]),
-                b"".join([r[3] for r in rows]), ";".join([r[4] for r in rows]),
-            )
+                yield (*whole[:4], whole[4][:-1]) if whole else (0, 0, 0, b"", b"")
+
+
+_SIDES: dict[tuple[str, str], Sides] = {}
+
+
+def sides_of(path_a: str, path_b: str) -> Sides:
+    """The tokenizers of this process: one task after another uses them."""
+    if (path_a, path_b) not in _SIDES:
+        _SIDES[path_a, path_b] = Sides(path_a, path_b)
+    return _SIDES[path_a, path_b]
 
 
 # ----------------------------------------------------------------------------
@@ -263,7 +324,7 @@ def _spill(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str
     ``uid`` of its first document)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = Sides(path_a, path_b)
+        sides = sides_of(path_a, path_b)
         uid = TaskContext.get().partitionId() << 36
         buffer: list[bytes] = []
         held, since = 0, uid
@@ -284,7 +345,7 @@ def _spill(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str
                 upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + GROUP_BYTES)))
                 part = b.slice(at, upto - at)
                 found = list(sides.documents(part.column(1).to_pylist()))
-                text = [hashlib.sha256(g.encode()).hexdigest() if digest and n else g for n, _, _, _, g in found]
+                text = [hashlib.sha256(f[4]).hexdigest() if digest and f[0] else f[4].decode() for f in found]
                 none = [None] * len(found)
                 cols = [
                     list(range(uid, uid + len(found))), None, [f[0] for f in found], [f[1] for f in found],
