@@ -18,6 +18,10 @@ HOT_KEYS = 1000
 #: Groups of up to so many rows are left to the ordinary join.
 HOT_ROWS = 1000
 
+#: Decisions on so many documents (about 50 MB) go to the tasks that hold the
+#: texts; beyond, the texts are shuffled to the decisions.
+FEW_DECISIONS = 500_000
+
 #: The white space that the text operators know: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -60,7 +64,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def attach(left: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+def fresh(taken: DataFrame | list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as it takes to be
+    no column of ``taken``, whatever the case of its letters."""
+    used = {c.lower() for c in (taken if isinstance(taken, list) else taken.columns)}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def attach(left: DataFrame, groups: DataFrame, key: str, size: str, few: int = 0) -> DataFrame:
     """``left`` left-joined to ``groups`` (one row per ``key``) on ``key``.
 
     ``size`` is the column of ``groups`` that says how many rows of ``left``
@@ -68,12 +85,18 @@ def attach(left: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame
     rows) are joined by broadcast, so a key that holds a third of the rows is
     never shuffled to one task; the others go through an ordinary join.
     Rows with a null key get nulls.  ``left`` is read twice: give it stored.
+    Where ``groups`` (stored: it is counted) has at most ``few`` rows, all of
+    them are broadcast and ``left`` is not shuffled at all.  Columns of
+    ``groups`` have other names than those of ``left``.
     """
-    hot = groups.where(F.col(size) > HOT_ROWS).orderBy(F.desc(size), key).limit(HOT_KEYS).withColumn("_hot", F.lit(True))
-    marked = left.join(F.broadcast(hot), key, "left")
     names = [*left.columns, *[c for c in groups.columns if c != key]]
-    first = marked.where("_hot").select(*names)
-    rest = marked.where(F.col("_hot").isNull()).select(*left.columns).join(groups, key, "left").select(*names)
+    if few and groups.count() <= few:
+        return left.join(F.broadcast(groups), key, "left").select(*names)
+    (mark,) = fresh(names, "_hot")
+    hot = groups.where(F.col(size) > HOT_ROWS).orderBy(F.desc(size), key).limit(HOT_KEYS).withColumn(mark, F.lit(True))
+    marked = left.join(F.broadcast(hot), key, "left")
+    first = marked.where(F.col(mark)).select(*names)
+    rest = marked.where(F.col(mark).isNull()).select(*left.columns).join(groups, key, "left").select(*names)
     return first.unionByName(rest)
 
 

@@ -1,15 +1,17 @@
 """Exact duplicates: a tree merge of sorted digest runs.
 
-Every partition holds a run: its digests in order, each with the row that
-would stay and the number of rows.  In each round the runs of ``fan_in``
-neighbours are merged into one run per parent: Spark sorts each side by
-(parent, digest), combines equal digests before the shuffle and merges the
-sorted pieces after it.  The run of a parent is dealt over tasks by digest,
-also in the last round, so the root is never one task.  A row is
+Every partition of the input writes a sorted run: its digests in order, each
+with the row that would stay.  Where the input has fewer than ``LEAST_RUNS`` partitions,
+each of them makes several runs, so that the tree has levels at any size.  In
+binomial rounds neighbouring runs (2i and 2i + 1) are merged: Spark sorts the
+rows of both by (pair, digest), combines equal digests before the shuffle
+and merges the sorted pieces after it.  A merged run is dealt over
+tasks by digest, the last one too, so the root is never one task.  A row is
 (digest, length, second hash): equal digests are trusted only if the length
-and an independent hash agree at every level.
+and an independent hash agree, at every level, and each level retains the
+smallest candidate.
 
-Texts are read once; what is shuffled is about 100 bytes a row.
+Texts are read once; what is shuffled is about 100 bytes a row and round.
 """
 
 from __future__ import annotations
@@ -25,36 +27,43 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text.cast("string"), F.lit("")), WHITE, "")
 
 
+#: A table of fewer partitions is cut into so many runs at least.
+LEAST_RUNS = 8
+
+
 def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, digest, length, second, points, leaf), one row per input row."""
+    """(id, digest, length, second, points, run), one row per input row; the
+    rows of a run are stored in the order of their digests."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     short = docs.select(F.col(id_col).alias("id"), F.length(text).alias("points"), normalised(F.col(text_col)).alias("t"))
     slim = short.select("id", F.sha2("t", 256).alias("digest"), F.octet_length("t").cast("long").alias("length"),
-                        F.xxhash64("t").alias("second"), "points")
-    return stored(slim, "digests").withColumn("leaf", F.spark_partition_id())
+                        F.xxhash64("t").alias("second"), "points", F.monotonically_increasing_id().alias("row"))
+    slim = stored(slim.sortWithinPartitions("digest"), "digests")
+    part = F.shiftright("row", 33)  # the number of the partition that wrote it
+    many = (slim.agg(F.max(part)).first()[0] or 0) + 1
+    each = -(-LEAST_RUNS // many)
+    return slim.select(*[c for c in slim.columns if c != "row"], (part * each + F.col("row") % each).cast("int").alias("run"))
 
 
 #: What must agree for two texts to be equal.
 VERIFIED = ["digest", "length", "second"]
 
 
-def merge(run: DataFrame, fan_in: int = 8) -> DataFrame:
+def merge(run: DataFrame) -> DataFrame:
     """(digest, length, second, best, n): the root of the merge tree over the
     runs.  ``best`` is (-points, id is null, id) of the row that stays."""
-    leaves = (run.agg(F.max("leaf")).first()[0] or 0) + 1
+    many = (run.agg(F.max("run")).first()[0] or 0) + 1
     best = F.struct((-F.col("points")).alias("less"), F.col("id").isNull().alias("none"), F.col("id").alias("id"))
-    now = run.select(F.col("leaf").alias("part"), *VERIFIED, best.alias("best"), F.lit(1).cast("long").alias("n"))
-    merged = [F.min("best").alias("best"), F.sum("n").alias("n")]
-    while leaves > fan_in:
-        parent = F.floor(F.col("part") / fan_in).cast("int")
-        now = now.groupBy(parent.alias("part"), *VERIFIED).agg(*merged)
-        leaves = -(-leaves // fan_in)
-    # the root takes whatever runs are left: leaves may be cut otherwise when
-    # they are read again, after executors came or went
-    return now.groupBy(*VERIFIED).agg(*merged)
-
-
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8) -> DataFrame:
+    now = run.select("run", *VERIFIED, best.alias("best"), F.lit(1).cast("long").alias("n"))
+    while True:
+        pair = F.shiftright("run", 1).alias("run")
+        now = now.groupBy(pair, *VERIFIED).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+        many = -(-many // 2)
+        if many == 1:
+            return now.drop("run")
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, keep_id, group_size, kept, text_sha256) for every row.
 
     Texts are equal if they are after removal of white space; of equal texts
@@ -65,7 +74,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows are kept.  Other columns are not read.
     """
     run = runs(docs, id_col, text_col)
-    root = merge(run, fan_in).where("n > 1")
+    root = merge(run).where("n > 1")
     root = stored(root.select(F.concat_ws(":", *VERIFIED).alias("key"), F.col("best.id").alias("keep"),
                               F.lit(True).alias("many"), "n"), "digest-root")
     rows = run.select("id", F.col("digest"), F.concat_ws(":", *VERIFIED).alias("key"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redress.llm.common import WHITE, attach, stored
+from redress.llm.common import FEW_DECISIONS, WHITE, attach, fresh, stored
 
 #: log2 of the registers of a sketch: a standard error of about 1.6 %.
 LOG_REGISTERS = 12
@@ -66,23 +66,29 @@ def drop_boilerplate(
     the length of the new text of changed rows.  ``text`` and the other
     columns of unchanged rows stay as they are, null texts included.  A text
     whose every line goes is empty.  Rows that repeat an id and a text all
-    keep a first occurrence that is theirs.  Columns may have any names but
-    those that start with an underscore and are used here (_id, _h, _n, _drop).
+    keep a first occurrence that is theirs.  Columns may have any names.  Texts
+    stay in their tasks while the lists of lines to drop are as small as
+    :data:`common.FEW_DECISIONS` rows.
     """
     lines = stored(occurrences(docs, id_col, text_col, site_col), "lines")
     known = stored(spread(lines, min_sites), "boilerplate")
     hit = attach(lines, known, "line", "n").where("first IS NOT NULL")
     stays = " AND ".join(f"{c} <=> first.{c}" for c in ("_id", "_h", "_n", "pos"))
     drops = hit.where(f"NOT ({stays})").groupBy("_id", "_h", "_n").agg(F.collect_set("pos").alias("_drop"))
-    drops = drops.select(F.col("_id").alias("_did"), F.col("_h").alias("_dh"), F.col("_n").alias("_dn"), "_drop")
-    keyed = docs.select("*", *_key(id_col, text_col))
-    same = keyed["_id"].eqNullSafe(drops["_did"]) & (keyed["_h"] == drops["_dh"]) & (keyed["_n"] == drops["_dn"])
-    joined = keyed.join(drops, same, "left")
+    names = fresh(docs, "_did", "_dh", "_dn", "_drop")
+    drops = stored(drops.toDF(*names), "line-drops")
+    own = fresh([*docs.columns, *names], "_id", "_h", "_n")
+    keyed = docs.select("*", *[c.alias(n) for c, n in zip(_key(id_col, text_col), own)])
+    same = keyed[own[0]].eqNullSafe(drops[names[0]]) & (keyed[own[1]] == drops[names[1]]) & (keyed[own[2]] == drops[names[2]])
+    rows, places = drops.agg(F.count("*"), F.coalesce(F.sum(F.size(names[3])), F.lit(0))).first()
+    few = rows + places // 8 <= FEW_DECISIONS
+    joined = keyed.join(F.broadcast(drops) if few else drops, same, "left")
+    drop = F.col(names[3])
     parts = F.split(F.col(text_col).cast("string"), "\n")
-    places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_drop"))
+    places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), drop)
     rest = F.array_join(F.transform(places, lambda i: F.get(parts, i)), "\n")
-    new = {text_col: F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(rest)}
+    new = {text_col: F.when(drop.isNull(), F.col(text_col)).otherwise(rest)}
     if count_col and count_col in docs.columns:
         size = F.length(rest).cast(docs.schema[count_col].dataType)
-        new[count_col] = F.when(F.col("_drop").isNull(), F.col(count_col)).otherwise(size)
+        new[count_col] = F.when(drop.isNull(), F.col(count_col)).otherwise(size)
     return joined.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])

@@ -3,9 +3,10 @@
 The patterns find assignments, access keys and hexadecimal runs.  The models
 find the secrets that no pattern knows: one first-order Markov model of the
 characters of random strings and one of ordinary identifiers, both trained
-from labelled samples of the corpus itself (what the patterns matched, and
-words), compare every other token by its mean log-likelihood ratio per
-transition.  Everything is Spark SQL: positions come from splitting a text at
+from labelled samples of the corpus itself (what the patterns matched; words
+and numbers), compare every other token by its mean log-likelihood ratio per
+transition.  A part of the samples is kept from the models and sets the
+threshold.  Everything is Spark SQL: positions come from splitting a text at
 the matches, a score is a sum over a token's transitions looked up in one
 constant array, and the training is two aggregations.
 """
@@ -13,11 +14,12 @@ constant array, and the training is two aggregations.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redress.llm.common import sample, stored
+from redress.llm.common import fresh, stored
 
 # The patterns of the base kinds.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -25,16 +27,24 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"  # AKIA[A-Z0-9]+ of 20 characters or more: runs, s
 HEX = r"[0-9a-f]{24,}"
 KINDS = ["assign", "access", "hex", "markov"]
 
-#: What the models judge, and the labelled samples they learn from.
+#: What the models judge: tokens of 16 characters or more.  Shorter ones are never judged.
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
+#: Labelled samples of ordinary strings: words and names, and numbers, dates, versions and the like.
 _PART = r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}"
 IDENTIFIER = rf"(?<![A-Za-z0-9]){_PART})(?:[_-]?{_PART}|[0-9]{{1,4}}))*(?![A-Za-z0-9])"
+NUMBER = r"(?<![A-Za-z0-9+/_=-])[0-9]{2,}(?:[-/_][0-9]+)*(?![A-Za-z0-9+/_=-])"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Documents whose words are samples of ordinary identifiers, and strings that
-#: are samples of random ones: about so many, at most twice as many, by hash.
-SAMPLE_DOCS, SAMPLE_STRINGS = 2000, 20_000
+#: Share of the documents without a base span whose words and numbers are
+#: samples, and of the strings that the patterns found; about so many of
+#: either where the share is less.  Drawn by hash: samples grow with the input.
+SHARE, LEAST_DOCS, LEAST_STRINGS = 1 / 32, 2000, 20_000
 #: Weight, in transitions, of the characters' overall shares in every row of a model.
 BACKOFF = 20
+#: One in so many samples is kept from the models and sets the threshold; an
+#: ordinary string over it costs as much as so many random ones below it.
+HELD_OUT, FALSE_COST = 5, 20
+#: Threshold without samples that were kept, and the least one.
+THRESHOLD, LEAST_THRESHOLD = 0.5, 0.25
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -76,26 +86,39 @@ def _code(character: Column) -> Column:
 
 
 def _transitions(strings: DataFrame, label: int) -> DataFrame:
-    """(label, a, b, n): counted transitions of the column ``s``."""
+    """(label, a, b, n): counted transitions of the column ``s``, ``n`` times each."""
     places = F.sequence(F.lit(1), F.length("s") - 1)
     return (
         strings.where("length(s) >= 2")
-        .select("s", F.explode(places).alias("i"))
-        .select(F.expr("substring(s, i, 1)").alias("a"), F.expr("substring(s, i + 1, 1)").alias("b"))
-        .groupBy("a", "b").agg(F.count("*").alias("n"))
+        .select("s", "n", F.explode(places).alias("i"))
+        .select(F.expr("substring(s, i, 1)").alias("a"), F.expr("substring(s, i + 1, 1)").alias("b"), "n")
+        .groupBy("a", "b").agg(F.sum("n").alias("n"))
         .select(F.lit(label).alias("label"), "a", "b", "n")
     )
 
 
-def train(scanned: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_strings: int = SAMPLE_STRINGS) -> list[float] | None:
+@dataclass(frozen=True)
+class Model:
     """Log-likelihood ratio (random over ordinary) of every transition of
-    ALPHABET, from rows (id, text, base).
+    ALPHABET, and the mean ratio over which a token is a secret."""
+
+    ratios: list[float]
+    threshold: float
+
+
+def _drawn(df: DataFrame, share: float, least: int, *by: str) -> DataFrame:
+    """About ``share`` of the rows by hash, or about ``least`` if that is more."""
+    part = min(1.0, max(share, least / max(df.count(), 1)))
+    return df.where(F.pmod(F.xxhash64(*by), F.lit(1 << 31)) < int(part * (1 << 31)))
+
+
+def train(scanned: DataFrame, share: float = SHARE, least_docs: int = LEAST_DOCS, least_strings: int = LEAST_STRINGS) -> Model | None:
+    """The models of rows (id, text, base).
 
     Random strings: the last 200 characters of what base spans end in, if 16
-    or more and with a digit, at most ``sample_strings`` of them.  Ordinary: words and
-    names (IDENTIFIER) in at most ``sample_docs`` documents without a base
-    span.  Both are the first by hash.  None if either sample is empty.
-    """
+    or more and with a digit.  Ordinary ones: words, names (IDENTIFIER) and
+    numbers (NUMBER) in documents without a base span.  None if either sample
+    is empty."""
     values = (
         scanned.where("size(base) > 0")
         .select("text", F.explode("base").alias("s"))
@@ -103,11 +126,14 @@ def train(scanned: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_strings: in
         .select(F.regexp_extract("s", "[A-Za-z0-9+/_=-]{1,200}$", 0).alias("s"))
         .where("length(s) >= 16 AND s RLIKE '[0-9]'").distinct()
     )
-    values = sample(stored(values, "secret-samples"), sample_strings, "s")
-    words = sample(scanned, sample_docs, "id", "text").where("size(base) = 0").select(
-        F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), 0)).alias("s"))
+    values = _drawn(stored(values, "secret-samples"), share, least_strings, "s")
+    words = _drawn(scanned, share, least_docs, "id", "text").where("size(base) = 0").select(
+        F.explode(F.regexp_extract_all("text", F.lit(f"(?:{IDENTIFIER})|(?:{NUMBER})"), 0)).alias("s"))
+    words = stored(words.groupBy("s").agg(F.count("*").alias("n")), "ordinary-samples")
+    values = values.withColumn("n", F.lit(1).cast("long"))
+    held = F.pmod(F.xxhash64("s"), F.lit(HELD_OUT)) == 0
     # at most |ALPHABET| ** 2 rows a label
-    rows = _transitions(values, 1).unionByName(_transitions(words, 0)).collect()
+    rows = _transitions(values.where(~held), 1).unionByName(_transitions(words.where(~held), 0)).collect()
     size, at = len(ALPHABET), {c: i for i, c in enumerate(ALPHABET)}
     counts = [[0.0] * (size * size) for _ in range(2)]
     for r in rows:
@@ -116,7 +142,33 @@ def train(scanned: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_strings: in
     if not all(map(any, counts)):
         return None
     ordinary, random = (_log_probabilities(c, size) for c in counts)
-    return [round(a - b, 6) for a, b in zip(random, ordinary)]
+    ratios = [round(a - b, 6) for a, b in zip(random, ordinary)]
+
+    # held-out strings of about a token's length by twentieths of their ratio: a few hundred rows
+    score = _ratio(F.col("s"), F.from_json(F.lit(str(ratios)), "array<double>"))
+    tests = [
+        x.where(held & F.expr("length(s) >= 12")).select(F.lit(k).alias("label"), F.floor(score * 20).alias("step"), "n")
+        for k, x in enumerate((words, values))
+    ]
+    steps = tests[0].unionByName(tests[1]).groupBy("label", "step").agg(F.sum("n").alias("n")).collect()
+    return Model(ratios, _threshold([(r["label"], r["step"], r["n"]) for r in steps if r["step"] is not None]))
+
+
+def _threshold(steps: list[tuple[int, int, int]]) -> float:
+    """The twentieth that loses least: the share of random strings at or
+    below it, and FALSE_COST times the share of ordinary ones above it.  Of
+    equal ones the middle."""
+    totals = [sum(n for k, _, n in steps if k == label) for label in (0, 1)]
+    if not all(totals):
+        return THRESHOLD
+    least = round(LEAST_THRESHOLD * 20)
+    losses = []
+    for t in range(least, max(least, max(s for _, s, _ in steps)) + 1):
+        missed = sum(n for k, s, n in steps if k == 1 and s < t) / totals[1]
+        false = sum(n for k, s, n in steps if k == 0 and s >= t) / totals[0]
+        losses.append((missed + FALSE_COST * false, t))
+    best = [t for loss, t in losses if loss == min(losses)[0]]
+    return best[len(best) // 2] / 20
 
 
 def _log_probabilities(counts: list[float], size: int) -> list[float]:
@@ -131,28 +183,31 @@ def _log_probabilities(counts: list[float], size: int) -> list[float]:
     return out
 
 
-def markov_spans(text: Column, model: list[float] | None, base: Column, threshold: float = 0.5) -> Column:
-    """Tokens whose mean log-likelihood ratio is over ``threshold`` and that
-    overlap no base span."""
-    if model is None:
-        return F.array().cast(_SPAN)
-    table = F.from_json(F.lit("[" + ",".join(map(str, model)) + "]"), "array<double>")
+def _ratio(token: Column, table: Column) -> Column:
+    """Mean of the ratios of a token's transitions."""
     size = len(ALPHABET)
+    chars = F.transform(F.split(token, ""), lambda c: _code(c))
+    pairs = F.zip_with(F.slice(chars, 1, F.size(chars) - 1), F.slice(chars, 2, F.size(chars) - 1),
+                       lambda a, b: F.get(table, a * size + b))
+    return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) / F.size(pairs)
 
-    def ratio(token: Column) -> Column:
-        chars = F.transform(F.split(token, ""), lambda c: _code(c))
-        pairs = F.zip_with(F.slice(chars, 1, F.size(chars) - 1), F.slice(chars, 2, F.size(chars) - 1),
-                           lambda a, b: F.get(table, a * size + b))
-        return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) / F.size(pairs)
 
+def markov_spans(text: Column, model: Model | None, base: Column, threshold: float | None = None) -> Column:
+    """Tokens whose mean log-likelihood ratio is over ``threshold`` (None:
+    the model's own) and that overlap no base span."""
+    if model is None:
+        return F.array().cast(_SPAN)
+    table = F.from_json(F.lit("[" + ",".join(map(str, model.ratios)) + "]"), "array<double>")
+    least = model.threshold if threshold is None else threshold
     found = _spans(text, TOKEN, 3)
     tokens = F.regexp_extract_all(text, F.lit(TOKEN), 0)
     both = F.zip_with(found, tokens, lambda s, t: F.struct(s.alias("s"), t.alias("t")))
     free = F.filter(both, lambda x: ~F.exists(base, lambda y: (y["start"] < x["s"]["end"]) & (x["s"]["start"] < y["end"])))
-    return F.transform(F.filter(free, lambda x: ratio(x["t"]) > threshold), lambda x: x["s"])
+    return F.transform(F.filter(free, lambda x: _ratio(x["t"], table) > least), lambda x: x["s"])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float | None = None,
+         share: float = SHARE, least_docs: int = LEAST_DOCS, least_strings: int = LEAST_STRINGS) -> DataFrame:
     """(id, text, base, spans) for every row of ``docs``.
 
     ``base`` holds the spans of the three patterns, ``spans`` those and the
@@ -160,11 +215,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     exclusive, ``kind`` an index of KINDS, ordered by start and kind.  Null
     texts count as empty and have no spans; ids may be null or repeat; other
     columns are not read.  Without any labelled sample (an empty table, no
-    pattern match) the models add nothing.
+    pattern match) the models add nothing.  ``threshold`` is learned from
+    samples that the models do not see unless it is given.
     """
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     based = src.withColumn("base", base_spans(F.col("text")))
-    model = train(based)
+    model = train(based, share, least_docs, least_strings)
     text, base = F.col("text"), F.col("base")
     return based.withColumn("spans", F.array_sort(F.concat(base, markov_spans(text, model, base, threshold))))
 
@@ -179,17 +235,18 @@ def listed(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[secret]",
-           count_col: str | None = "n_chars", threshold: float = 0.5) -> DataFrame:
+           count_col: str | None = "n_chars", threshold: float | None = None, share: float = SHARE,
+           least_docs: int = LEAST_DOCS, least_strings: int = LEAST_STRINGS) -> DataFrame:
     """``docs`` with every stretch covered by spans replaced by ``mask``;
-    all rows and columns.  ``count_col`` becomes the new length of changed
-    texts.  Null texts stay null."""
+    all rows and columns, whatever their names.  ``count_col`` becomes the new
+    length of changed texts.  Null texts stay null."""
     own = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     src = docs.select(F.col(id_col).alias("id"), own.alias("text"))
-    model = train(src.withColumn("base", base_spans(F.col("text"))))
-    base = base_spans(own)
-    marked = docs.withColumn("_base", base)
-    spans = F.array_sort(F.concat("_base", markov_spans(own, model, F.col("_base"), threshold)))
-    marked = marked.withColumn("_spans", spans)
+    model = train(src.withColumn("base", base_spans(F.col("text"))), share, least_docs, least_strings)
+    based, found, masked = fresh(docs, "_base", "_spans", "_masked")
+    marked = docs.withColumn(based, base_spans(own))
+    spans = F.array_sort(F.concat(based, markov_spans(own, model, F.col(based), threshold)))
+    marked = marked.withColumn(found, spans)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def add(acc: Column, s: Column) -> Column:
@@ -198,10 +255,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
         longer = F.when(s["start"] < acc["at"], acc["out"]).otherwise(new)  # overlaps what is masked
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), longer.alias("out"))
 
-    done = F.aggregate("_spans", zero, add)
+    done = F.aggregate(found, zero, add)
     text = F.concat(F.array_join(done["out"], ""), F.substr(own, done["at"] + 1, F.length(own)))
-    marked = marked.withColumn("_masked", F.when(F.size("_spans") > 0, text))
-    new = {text_col: F.coalesce("_masked", text_col)}
+    marked = marked.withColumn(masked, F.when(F.size(found) > 0, text))
+    new = {text_col: F.coalesce(masked, text_col)}
     if count_col and count_col in docs.columns:
-        new[count_col] = F.coalesce(F.length("_masked").cast(docs.schema[count_col].dataType), count_col)
+        new[count_col] = F.coalesce(F.length(masked).cast(docs.schema[count_col].dataType), count_col)
     return marked.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redress.llm.common import attach, ship, stored
+from redress.llm.common import FEW_DECISIONS, attach, fresh, ship, stored
 from redress.llm.components import connected_components
 
 #: The method splits a radius of 3 into 2 + 1.
@@ -160,8 +160,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are told apart by hashes of their text and of all their columns but maps,
     and of rows equal in all that any one stays.  Null, empty and blank texts
     have the fingerprint 0 and link like any other.  ``docs`` is read several
-    times: give it stored.  A column ``_k`` or ``_c`` or ``_first`` is not
-    allowed.
+    times: give it stored.  Its columns may have any names.  Texts stay in
+    their tasks while the decisions (the rows that go and the repeated ones) are
+    at most :data:`common.FEW_DECISIONS`.
     """
     whole = F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind])
     size = F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(-1))
@@ -176,6 +177,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     heads = heads.select(F.col("first._k").alias("_k"), F.lit(True).alias("_first"))
     # what the rows of docs have to know: those that go, and those that stay but are repeated
     marks = rows.select("_k", "_c").join(heads, "_k", "left").where("_first IS NULL OR _c > 1")
-    told = attach(docs.withColumn("_k", key), stored(marks, "simhash-marks"), "_k", "_c")
-    lone, repeated = told.where("_c IS NULL"), told.where("_first").dropDuplicates(["_k"])
+    k, c, stays = fresh(docs, "_k", "_c", "_first")
+    marks = stored(marks.select(F.col("_k").alias(k), F.col("_c").alias(c), F.col("_first").alias(stays)), "simhash-marks")
+    told = attach(docs.withColumn(k, key), marks, k, c, few=FEW_DECISIONS)
+    lone, repeated = told.where(F.col(c).isNull()), told.where(F.col(stays)).dropDuplicates([k])
     return lone.select(*docs.columns).unionByName(repeated.select(*docs.columns))

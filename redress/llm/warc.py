@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redress.llm.common import attach, ship, stored
+from redress.llm.components import connected_components
 
 EOL = "\r\n"
 END = EOL * 2
@@ -240,58 +241,108 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = False) ->
     return files.mapInPandas(run, schema)
 
 
-def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: (capture_id, capture, request, metadata,
-    n_requests, n_metadata).
-
-    A capture is a response or revisit record.  Other records belong to the
-    capture that they name in ``concurrent_to``, that names them, or that a
-    record linked to them in one of these ways belongs to.  ``request`` and
-    ``metadata`` are the records with the smallest ids (null if none), the
-    counts say how many there are, so a capture with very many of them stays
-    one small row.  Records without an id, or that lead to no capture, are
-    in no row.  Records repeated under one id count once.
-    """
-    slim = stored(records.where("record_id IS NOT NULL").dropDuplicates(["record_id"]), "warc-records")
+#: Members of one kind that a nested row shows; rounds of plain joins that follow links.
+NESTED, ROUNDS = 100, 3
+
+
+def _linked(links: DataFrame, captures: DataFrame) -> DataFrame:
+    """(id, capture_id): every other record with every capture that its links
+    reach, one step after another while there are new pairs."""
+    first = links.join(captures, links["to"] == captures["capture_id"]).select("id", "capture_id").distinct()
+    found = front = stored(first, "warc-members")
+    for _ in range(ROUNDS):
+        step = front.select(F.col("id").alias("_via"), "capture_id")
+        new = links.join(step, F.col("to") == F.col("_via")).select("id", "capture_id").distinct()
+        front = stored(new.join(found, ["id", "capture_id"], "left_anti"), "warc-members")
+        if front.isEmpty():
+            return found
+        found = found.unionByName(front)
+    # longer chains: whatever holds together without a capture reaches the same captures
+    others = links.join(captures, links["to"] == captures["capture_id"], "left_anti").select("id", "to")
+    group = connected_components(others, "id", "to")
+    known = links.select("id").distinct().join(group.withColumnRenamed("node", "id"), "id", "left")
+    known = known.select("id", F.coalesce("component", "id").alias("group"))
+    reach = known.join(first, "id").select("group", "capture_id").distinct()
+    return known.join(reach, "group").select("id", "capture_id")
+
+
+def _slim(records: DataFrame) -> DataFrame:
+    return stored(records.where("record_id IS NOT NULL").dropDuplicates(["record_id"]), "warc-records")
+
+
+def _members(slim: DataFrame) -> DataFrame:
     main = F.col("type").isin("response", "revisit")
     named = slim.select("record_id", main.alias("main"), F.explode("concurrent_to").alias("to"))
-    captures = slim.where(main).select(F.col("record_id").alias("capture_id"))
+    heads = slim.where(main).select(F.col("record_id").alias("capture_id"))
     # links of the other records to whatever they name or are named by
     out = named.where("NOT main").select(F.col("record_id").alias("id"), "to")
     back = named.select(F.col("to").alias("id"), F.col("record_id").alias("to"))
-    links = stored(out.unionByName(back).distinct(), "warc-links")
-    direct = links.join(captures, links["to"] == captures["capture_id"]).groupBy("id").agg(F.min("capture_id").alias("capture_id"))
-    direct = stored(direct, "warc-direct")
-    step = direct.select(F.col("id").alias("_via"), "capture_id")
-    further = links.join(direct.select("id"), "id", "left_anti").join(step, F.col("to") == F.col("_via"))
-    further = further.groupBy("id").agg(F.min("capture_id").alias("capture_id"))
-    member = direct.unionByName(further)
-    rest = slim.where(~main).join(member, slim["record_id"] == member["id"])
+    links = out.unionByName(back).distinct().join(heads, F.col("id") == F.col("capture_id"), "left_anti")
+    found = _linked(stored(links, "warc-links"), heads)
+    rest = slim.where(~main).select("record_id", "type", "target_uri", "fields")
+    return rest.join(found, rest["record_id"] == found["id"]).select("capture_id", *rest.columns)
+
+
+def members(records: DataFrame) -> DataFrame:
+    """(capture_id, record_id, type, target_uri, fields): every record that is
+    no response or revisit, once for each capture that it belongs to.
+
+    A record belongs to the captures that it names in ``concurrent_to``, that
+    name it, or that a record linked to it in one of these ways belongs to,
+    over any number of steps.  Records without an id, or that lead to no
+    capture, are in no row.  Records repeated under one id count once."""
+    return _members(_slim(records))
+
+
+def assemble(records: DataFrame, lists: bool = True) -> DataFrame:
+    """One nested row per capture: (capture_id, capture, request, metadata,
+    n_requests, n_metadata, requests, metadatas, page).
+
+    A capture is a response or revisit record; its members are those of
+    :func:`members`.  ``request`` and ``metadata`` are the ones with the
+    smallest ids (null if none), the counts say how many there are, and
+    ``requests`` and ``metadatas`` list them by id.  A capture with more than
+    ``NESTED`` members shows about so many of them there, drawn by hash, so
+    that its row stays small: all of them are rows of :func:`members`.
+    ``page`` is the ``page-id`` that any of the metadata records has (the
+    smallest).  Without ``lists`` those two columns are left out."""
+    slim = _slim(records)
+    rest = stored(_members(slim), "warc-members-of-captures")
     part = F.struct("record_id", "target_uri", "fields")
-    sides = rest.groupBy("capture_id").agg(
-        F.min(F.when(F.col("type") == "request", part)).alias("request"),
-        F.min(F.when(F.col("type") == "metadata", part)).alias("metadata"),
-        F.count(F.when(F.col("type") == "request", 1)).alias("n_requests"),
-        F.count(F.when(F.col("type") == "metadata", 1)).alias("n_metadata"),
-    )
+    page = F.regexp_extract("fields", r"(?m)^page-id: (.*?)\r?$", 1)
+    of = lambda kind, x: F.when(F.col("type") == kind, x)
+    sides = stored(rest.groupBy("capture_id").agg(
+        F.min(of("request", part)).alias("request"), F.min(of("metadata", part)).alias("metadata"),
+        F.count(of("request", F.lit(1))).alias("n_requests"), F.count(of("metadata", F.lit(1))).alias("n_metadata"),
+        F.min(of("metadata", F.nullif(page, F.lit("")))).alias("page"), F.count("*").alias("_n"),
+    ), "warc-sides")
     inner = [c for c in slim.columns if c not in ("concurrent_to", "fields")]
-    heads = slim.where(main).select(F.col("record_id").alias("capture_id"), F.struct(*inner).alias("capture"))
-    return heads.join(sides, "capture_id", "left").select(
-        "capture_id", "capture", "request", "metadata",
-        F.coalesce("n_requests", F.lit(0)).alias("n_requests"), F.coalesce("n_metadata", F.lit(0)).alias("n_metadata"),
+    heads = slim.where(F.col("type").isin("response", "revisit")).select(
+        F.col("record_id").alias("capture_id"), F.struct(*inner).alias("capture"))
+    out = heads.join(sides, "capture_id", "left")
+    shown = ["capture_id", "capture", "request", "metadata", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_requests", "n_metadata")]]
+    if not lists:
+        return out.select(*shown, "page")
+    told = attach(rest, sides.select("capture_id", "_n"), "capture_id", "_n")
+    drawn = told.where(F.pmod(F.xxhash64("record_id"), F.lit(1 << 31)) * F.col("_n") < F.lit(NESTED << 31))
+    listed = drawn.groupBy("capture_id").agg(
+        F.array_sort(F.collect_list(of("request", part))).alias("requests"),
+        F.array_sort(F.collect_list(of("metadata", part))).alias("metadatas"),
     )
+    none = F.array().cast("array<struct<record_id:string,target_uri:string,fields:string>>")
+    return out.join(listed, "capture_id", "left").select(
+        *shown, F.coalesce("requests", none).alias("requests"), F.coalesce("metadatas", none).alias("metadatas"), "page")
 
 
 def captures(records: DataFrame) -> DataFrame:
     """Assembled captures with revisits resolved: ``payload_bytes`` and
     ``payload_digest`` (bare) of the full payload, and ``refers_page``, the
     page id of the response that a revisit refers to."""
-    done = stored(assemble(records), "captures")
-    page = F.regexp_extract("metadata.fields", r"(?m)^page-id: (.*?)\r?$", 1)
+    done = stored(assemble(records, lists=False), "captures")
     flat = done.select(
         "capture_id", F.col("capture.type").alias("record_type"), F.col("capture.refers_to").alias("ref"),
         F.col("capture.payload_bytes").alias("size"), F.col("capture.computed_digest").alias("digest"),
-        F.nullif(page, F.lit("")).alias("page"), F.col("capture.target_uri").alias("url"),
+        "page", F.col("capture.target_uri").alias("url"),
     )
     # responses that are referred to, with the number of rows that do
     asked = flat.where("ref IS NOT NULL").groupBy("ref").agg(F.count("*").alias("_n"))

@@ -136,3 +136,30 @@ def test_pipeline_stages_on_odd_rows(spark, odd_docs, no_docs):
             out.collect()
             if f is not corpus_pipeline.pack:
                 assert out.columns == docs.columns
+
+
+INTERNAL = ["_id", "_h", "_n", "_did", "_dh", "_dn", "_drop", "_k", "_c", "_first", "_hot", "_base", "_masked", "_spans", "__k"]
+
+
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_stages_carry_columns_of_any_name(spark, monkeypatch, few):
+    from redress.llm import line_spread, simhash
+
+    monkeypatch.setattr(line_spread, "FEW_DECISIONS", few)
+    monkeypatch.setattr(simhash, "FEW_DECISIONS", few)
+    line = "this very line stands on a lot of different sites"
+    secret = "password = hunter2hunter2hunter2"
+    rows = [(i, f"{line}\nown text number {i} has quite different words {i * 7919} in it {secret}", "en", f"s{i}", 9) for i in range(8)]
+    rows += [(100 + i, rows[0][1], "en", "s0", 9) for i in range(3)]
+    extra = [f"x{k}" for k in range(len(INTERNAL))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in INTERNAL)
+    docs = spark.createDataFrame([(*r, *extra) for r in rows], schema)
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, "").collect()
+        assert all([r[n] for n in INTERNAL] == extra for r in out), name
+        assert len(out) == (8 if name == "near_duplicates" else 11), name
+        texts = [r["text"] for r in out]
+        if name == "line_dedup":
+            assert sum(line in t for t in texts) == 1
+        if name == "secret_scan":
+            assert not any("hunter2" in t for t in texts)

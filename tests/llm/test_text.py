@@ -17,7 +17,7 @@ MODEL = tokenizer_path()
 
 
 def test_exact_duplicates(spark, odd_docs, no_docs):
-    got = digest_merge.exact_duplicates(odd_docs, fan_in=2).collect()
+    got = digest_merge.exact_duplicates(odd_docs).collect()
     assert len(got) == odd_docs.count()
     by = {(r.doc_id, r.text_sha256): r for r in got}
     empty = hashlib.sha256(b"").hexdigest()
@@ -39,11 +39,26 @@ def test_merge_tree_has_every_level(spark):
     want = defaultdict(list)
     for i, t in rows:
         want[t].append(i)
-    for fan_in in (2, 3, 8):
-        got = digest_merge.exact_duplicates(df, fan_in=fan_in).collect()
+    for parts in (1, 3, 13, 17):
+        got = digest_merge.exact_duplicates(df.repartition(parts)).collect()
         assert {r.doc_id: (r.keep_id, r.group_size) for r in got} == {i: (min(want[t]), len(want[t])) for i, t in rows}
 
 
+def test_sorted_runs_and_binomial_rounds(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    run = digest_merge.runs(docs)
+    sizes = {r["run"]: r["count"] for r in run.groupBy("run").count().collect()}
+    assert sorted(sizes) == list(range(len(sizes))) and len(sizes) >= 8
+    digests = [r["digest"] for r in run.collect()]
+    assert digests == sorted(digests)  # one partition wrote them
+    root = digest_merge.merge(run)
+    assert root.count() == run.select("digest").distinct().count()
+    root.collect()
+    plan = root._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    levels = len(re.findall(r"Exchange hashpartitioning\([^)\n]*digest", plan))
+    assert levels >= 3 and "Python" not in plan
+
+
 def plain_lines(rows, min_sites):
     sites, first = defaultdict(set), {}
     key = lambda i: (i is None, i or 0)
