@@ -1,89 +1,75 @@
-"""Chi-square tail probability as a vectorised column function.
-
-Spark SQL has no incomplete gamma function, so the p-value of a chi-square
-statistic is computed by a pandas UDF.  It is applied to the one-row test
-result only (never to raw rows); the arithmetic is the regularised upper
-incomplete gamma Q(dof/2, chi2/2), by its power series below a + 1 and by
-the Lentz continued fraction above (the usual split; both converge fast on
-their side).
+"""Chi-square tail probability as a column expression.
+
+The p-value is the regularised upper incomplete gamma Q(dof / 2, chi2 / 2),
+by its power series below a + 1 and by the Lentz continued fraction above
+(the usual split; both converge fast on their side).  Both are folds over a
+sequence of step numbers whose length follows the degrees of freedom, so all
+of it stays in the JVM.  ln gamma of a half or whole number is a sum of
+logarithms.
 """
 
 from __future__ import annotations
 
 import math
-import sys
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# Ship this module's functions to the Python workers by value, so the UDF runs
-# on executors that do not have this package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_EPS = 1e-16
 _TINY = 1e-300
-_MAX_ITER = 10_000
-
-
-def _upper_gamma_q(a: float, x: float) -> float:
-    """Regularised upper incomplete gamma Q(a, x) for a > 0, x >= 0."""
-    if x <= 0.0:
-        return 1.0
-    log_front = a * math.log(x) - x - math.lgamma(a)
-    if x < a + 1.0:
-        term = 1.0 / a
-        total = term
-        ap = a
-        for _ in range(_MAX_ITER):
-            ap += 1.0
-            term *= x / ap
-            total += term
-            if abs(term) < abs(total) * _EPS:
-                break
-        return max(0.0, 1.0 - total * math.exp(log_front))
+
+
+def _steps(count: Column) -> Column:
+    return F.sequence(F.lit(1), F.greatest(count, F.lit(1)).cast("int"))
+
+
+def _log_gamma_half(dof: Column) -> Column:
+    """ln gamma(dof / 2) for whole dof >= 1: the logarithms of 1 .. dof/2 - 1,
+    or of 1/2, 3/2 .. dof/2 - 1 and of the root of pi."""
+    odd = dof % 2
+    last = F.floor((dof + odd) / 2) - 1
+    shift = odd.cast("double") / 2
+    add = lambda acc, k: acc + F.when(k <= last, F.log(k - shift)).otherwise(0.0)
+    return F.aggregate(_steps(last), odd.cast("double") * (math.log(math.pi) / 2), add)
+
+
+def _series(a: Column, x: Column, steps: Column) -> Column:
+    """sum of x^n / (a (a + 1) .. (a + n))."""
+    first = F.struct((F.lit(1.0) / a).alias("term"), (F.lit(1.0) / a).alias("total"))
+
+    def add(acc: Column, n: Column) -> Column:
+        term = acc["term"] * x / (a + n)
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    return F.aggregate(steps, first, add)["total"]
+
+
+def _fraction(a: Column, x: Column, steps: Column) -> Column:
+    """1 / (x + 1 - a - 1 (1 - a) / (x + 3 - a - ..))."""
+    apart = lambda v: F.when(F.abs(v) < _TINY, F.lit(_TINY)).otherwise(v)
     b = x + 1.0 - a
-    c = 1.0 / _TINY
-    d = 1.0 / b
-    h = d
-    for i in range(1, _MAX_ITER):
-        an = -i * (i - a)
-        b += 2.0
-        d = an * d + b
-        if abs(d) < _TINY:
-            d = _TINY
-        c = b + an / c
-        if abs(c) < _TINY:
-            c = _TINY
-        d = 1.0 / d
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < _EPS:
-            break
-    return math.exp(log_front) * h
-
-
-def chi2_sf(statistic: float, dof: int) -> float:
-    """P(X >= statistic) for X ~ chi-square(dof); dof 0 gives 1.0."""
-    if statistic is None or dof is None or (isinstance(statistic, float) and math.isnan(statistic)):
-        return float("nan")
-    if dof <= 0:
-        return 1.0
-    return _upper_gamma_q(dof / 2.0, statistic / 2.0)
-
-
-@F.pandas_udf(T.DoubleType())
-def _chi2_sf_udf(statistic: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series(
-        [chi2_sf(float(s), int(d)) if pd.notna(s) and pd.notna(d) else np.nan
-         for s, d in zip(statistic, dof)],
-        dtype="float64",
-    )
+    start = F.lit(1.0) / apart(b)
+    first = F.struct(F.lit(1.0 / _TINY).alias("c"), start.alias("d"), start.alias("h"))
+
+    def add(acc: Column, i: Column) -> Column:
+        an, bn = -i * (i - a), b + i * 2.0
+        d = F.lit(1.0) / apart(an * acc["d"] + bn)
+        c = apart(bn + an / acc["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (acc["h"] * d * c).alias("h"))
+
+    return F.aggregate(steps, first, add)["h"]
 
 
 def chi2_p_value(statistic: Column, dof: Column) -> Column:
-    """Column of chi-square upper-tail probabilities."""
-    return _chi2_sf_udf(statistic.cast("double"), dof.cast("long"))
+    """Column of chi-square upper-tail probabilities; dof 0 gives 1, a null
+    or NaN statistic or a null dof gives NaN."""
+    s, k = statistic.cast("double"), dof.cast("long")
+    a, x = k.cast("double") / 2, s / 2
+    steps = _steps(F.lit(100) + 12 * F.sqrt(a + 1))
+    front = F.exp(a * F.log(x) - x - _log_gamma_half(k))
+    below = F.greatest(F.lit(0.0), F.lit(1.0) - _series(a, x, steps) * front)
+    return (
+        F.when(s.isNull() | k.isNull() | F.isnan(s), F.lit(float("nan")))
+        .when((k <= 0) | (x <= 0), F.lit(1.0))
+        .when(x < a + 1, below)
+        .otherwise(front * _fraction(a, x, steps))
+    )

@@ -2,21 +2,34 @@
 
 A Complement Naive Bayes text classifier held as two tables:
 
-``weights``  (term, label, weight): weight = -(ln(f - n + s) - ln(T - N + s V))
-             with f and n the occurrences of the term in all texts and in the
-             label's, T and N the tokens of all texts and of the label's, V
-             the number of terms and s the smoothing;
+``terms``    (term, weights): one weight per label, in the order of ``labels``:
+             idf * -(ln(idf (f - n) + s) - ln(T - N + s V)) with f and n the
+             occurrences of the term in all texts and in the label's, T and N
+             their sums (times idf) over all terms, V the number of terms, s
+             the smoothing, and idf = 1 or ln((m + 1) / (d + 1)) where d of
+             all m texts hold the term;
 ``classes``  (label, documents, tokens).
 
 Tokens are maximal runs of two or more letters, digits or underscores in the
-lower-cased text.  Every labelled row trains, every term counts.  Fitting is
-one aggregation of (term, label) counts with a map-side stage; scoring joins
-a text's term counts to the weights on the term.  A term has one row per text
-at most, a small share of all rows even for the commonest word, and both
-sides of the join come straight from shuffles, so AQE can split such a term.
-The vocabulary is never on the driver; only the list of classes is.
-
-``save_model`` / ``load_model`` keep a model as parquet.
+lower-cased text, without the stop words.  Every labelled row trains, every
+term counts.  Fitting is one pass over the texts: one aggregation, with a
+map-side stage, of (term, label) occurrences, texts that hold the term, and
+texts per label; it is stored, and all else is computed from it.
+
+Scoring gives every row the score of its own text, whatever its id.  A model
+of at most ``BROADCAST_TERMS`` terms (its size is known) goes to the tasks, so
+texts and terms stay where they are and a row crosses the shuffle once, as one
+partial sum per label.  A larger one is joined on the term: a term has one row
+per text at most, and both sides come straight from shuffles, so AQE can split
+a common term.  The vocabulary is never on the driver; the labels are.
+
+``store_tokens`` keeps a corpus as tokens, so that fitting and scoring read
+them instead of cutting the texts twice.
+
+``save_model`` publishes a model: a folder of its own for each version, and
+last a line in the manifest that names it.  ``load_model`` reads the last
+published version, so a save that fails half-way changes nothing.
+
 ``sample_narratives`` picks a repeatable pseudo-random sample (seeded hash
 order, a per-partition top-k); ``score_sample`` is a prediction of it (the
 reference's one-click prediction).
@@ -24,121 +37,221 @@ reference's one-click prediction).
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from redress.session import stored
+
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
+#: A model of so many terms is broadcast: with ten labels about 100 MB in a task's memory.
+BROADCAST_TERMS = 500_000
+
+_MANIFEST = "version long, folder string, labels array<string>, size long"
+
 
 @dataclass(frozen=True)
 class NarrativeModel:
-    """``weights`` (term, label, weight) and ``classes`` (label, documents,
-    tokens)."""
+    """``terms`` (term, weights), ``classes`` (label, documents, tokens), the
+    labels in alphabetical order and the number of terms."""
 
-    weights: DataFrame
+    terms: DataFrame
     classes: DataFrame
+    labels: tuple[str, ...]
+    size: int
 
+    @property
+    def weights(self) -> DataFrame:
+        """(term, label, weight)."""
+        labels = _texts(self.labels)
+        rows = self.terms.select("term", F.posexplode("weights").alias("_at", "weight"))
+        return rows.select("term", F.get(labels, F.col("_at")).alias("label"), "weight")
 
-def tokens(text: str | Column) -> Column:
-    """The tokens of a text, an array."""
+
+def _texts(values: Sequence[str]) -> Column:
+    return F.array(*[F.lit(x) for x in values]).cast("array<string>")
+
+
+def tokens(text: str | Column, stop_words: Sequence[str] = ()) -> Column:
+    """The tokens of a text, an array (null for a null text)."""
     c = F.col(text) if isinstance(text, str) else text
-    return F.regexp_extract_all(F.lower(c), F.lit(TOKEN_PATTERN), 0)
+    found = F.regexp_extract_all(F.lower(c), F.lit(TOKEN_PATTERN), 0)
+    stop = sorted(set(stop_words))
+    return F.filter(found, lambda t: ~t.isin(stop)) if stop else found
+
+
+def store_tokens(
+    df: DataFrame, text_col: str = "text", keep: Sequence[str] = (), stop_words: Sequence[str] = (),
+    tokens_col: str = "tokens",
+) -> DataFrame:
+    """The columns ``keep`` and ``tokens_col`` of every row of ``df``, written
+    to the shared folder and read from there."""
+    return stored(df.select(*keep, tokens(text_col, stop_words).alias(tokens_col)), "tokens")
 
 
 def train_response_model(
-    df: DataFrame, text_col: str = "text", label_col: str = "label", smoothing: float = 1.0
+    df: DataFrame,
+    text_col: str = "text",
+    label_col: str = "label",
+    smoothing: float = 1.0,
+    stop_words: Sequence[str] = (),
+    idf: bool = False,
+    tokens_col: str | None = None,
 ) -> NarrativeModel:
     """Fit on labelled narratives (rows with a null label or text are left
-    out).  The classes are collected (their number is that of the labels);
-    ``weights`` is a lazy plan: save the model before using it twice."""
-    data = df.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(
-        F.col(label_col).alias("label"), tokens(text_col).alias("_tokens")
-    )
-    totals = data.groupBy("label").agg(
-        F.count(F.lit(1)).alias("documents"), F.sum(F.size("_tokens")).cast("long").alias("tokens")
+    out; every other row is a text of its own).  ``tokens_col`` names a column
+    of :func:`store_tokens`; the text is not read then.  With ``idf`` a term
+    counts by its inverse document frequency.  ``terms`` is a plan over the
+    stored counts."""
+    words = F.col(tokens_col) if tokens_col else tokens(text_col, stop_words)
+    labelled = df.where(F.col(label_col).isNotNull() & F.col(tokens_col or text_col).isNotNull())
+    # the tokens, ``#`` for the text itself, and where texts are counted ``=`` and each distinct token;
+    # ``explode_outer``, since Spark would compute the array again to test it for ``explode``
+    entries = [F.col("_tokens"), F.array(F.lit("#"))]
+    if idf:
+        entries.append(F.transform(F.array_distinct("_tokens"), lambda t: F.concat(F.lit("="), t)))
+    cut = labelled.select(F.col(label_col).alias("label"), words.alias("_tokens"))
+    each = cut.select("label", F.explode_outer(F.concat(*entries)).alias("entry"))
+    counts = stored(each.groupBy("entry", "label").agg(F.count(F.lit(1)).alias("n")), "term-counts")
+    text, held = F.col("entry") == "#", F.col("entry").startswith("=")
+    word = ~text & ~held
+    totals = counts.groupBy("label").agg(
+        F.sum(F.when(text, F.col("n"))).alias("documents"),
+        F.coalesce(F.sum(F.when(word, F.col("n"))), F.lit(0)).alias("tokens"),
     )
-    rows = [tuple(r) for r in totals.orderBy("label").collect()]
+    rows = [tuple(r) for r in totals.orderBy("label").collect()]  # a row per label
+    labels = tuple(r[0] for r in rows)
     spark = df.sparkSession
     classes = spark.createDataFrame(rows, "label string, documents long, tokens long")
-    all_tokens = sum(r[2] for r in rows)
-    counts = data.select("label", F.explode("_tokens").alias("term")).groupBy("term", "label").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    # one row per term: its total, and its count in each class that has it
-    terms = counts.groupBy("term").agg(
-        F.sum("n").alias("f"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("by_label")
+
+    terms = counts.where(~text).groupBy(F.ltrim("entry", F.lit("=")).alias("term")).agg(
+        F.sum(F.when(word, F.col("n"))).alias("f"), F.sum(F.when(held, F.col("n"))).alias("d"),
+        F.map_from_entries(F.collect_list(F.when(word, F.struct("label", "n")))).alias("by_label"),  # an entry per label at most
     )
-    size = counts.select("term").distinct().count()
-    every = F.array(*[
-        F.struct(F.lit(k).alias("label"), F.lit(float(all_tokens - t) + smoothing * size).alias("rest")) for k, _, t in rows
-    ]) if rows else F.array().cast("array<struct<label:string,rest:double>>")
-    exploded = terms.select("term", "f", "by_label", F.explode(every).alias("k"))
-    n = F.coalesce(F.try_element_at("by_label", F.col("k.label")), F.lit(0))
-    weight = -(F.log((F.col("f") - n).cast("double") + smoothing) - F.log(F.col("k.rest")))
-    return NarrativeModel(exploded.select("term", F.col("k.label").alias("label"), weight.alias("weight")), classes)
+    scale = F.log(F.lit(float(sum(r[1] for r in rows) + 1)) / (F.col("d") + 1)) if idf else F.lit(1.0)
+    terms = terms.withColumn("idf", scale)
+    own = [F.coalesce(F.try_element_at("by_label", F.lit(k)), F.lit(0)) for k in labels]
+    sums = terms.agg(
+        F.count("*"), F.coalesce(F.sum(F.col("f") * F.col("idf")), F.lit(0.0)),
+        *[F.coalesce(F.sum(n * F.col("idf")), F.lit(0.0)) for n in own],
+    ).first()
+    size = sums[0]
+    rest = [sums[1] - n + smoothing * size for n in sums[2:]]
+    weights = [
+        F.col("idf") * -(F.log((F.col("f") - n) * F.col("idf") + smoothing) - F.log(F.lit(float(r))))
+        for n, r in zip(own, rest)
+    ]
+    table = terms.select("term", F.array(*weights).cast("array<double>").alias("weights"))
+    return NarrativeModel(table, classes, labels, size)
+
+
+def _published(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(_MANIFEST).json(f"{path}/manifest")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
 
+def save_model(model: NarrativeModel, path: str) -> int:
+    """Publish a model under ``path``; its version, one more than the last.
 
-def save_model(model: NarrativeModel, path: str) -> None:
-    """Store a model as parquet under ``path``."""
-    model.weights.write.mode("overwrite").parquet(f"{path}/weights")
-    model.classes.write.mode("overwrite").parquet(f"{path}/classes")
+    The tables go to a new folder, are counted there, and only then one line
+    of the manifest (a file that appears at once) names the folder.  Older
+    versions stay readable."""
+    spark = model.terms.sparkSession
+    folder = f"model-{uuid.uuid4().hex}"
+    model.terms.write.parquet(f"{path}/{folder}/terms")
+    model.classes.write.parquet(f"{path}/{folder}/classes")
+    written = spark.read.schema(model.terms.schema).parquet(f"{path}/{folder}/terms").count()
+    if written != model.size:
+        raise ValueError(f"{written} terms were written of {model.size}")
+    before = _published(spark, path)
+    version = (before.agg(F.max("version")).first()[0] or 0) + 1 if before is not None else 1
+    line = spark.createDataFrame([(version, folder, list(model.labels), model.size)], _MANIFEST)
+    line.coalesce(1).write.mode("append").json(f"{path}/manifest")
+    return version
 
 
-def load_model(spark: SparkSession, path: str) -> NarrativeModel:
-    """The model stored under ``path``."""
-    weights = spark.read.schema("term string, label string, weight double").parquet(f"{path}/weights")
-    classes = spark.read.schema("label string, documents long, tokens long").parquet(f"{path}/classes")
-    return NarrativeModel(weights, classes)
+def load_model(spark: SparkSession, path: str, version: int | None = None) -> NarrativeModel:
+    """The model last published under ``path``, or an earlier ``version``."""
+    found = _published(spark, path)
+    if found is not None and version is not None:
+        found = found.where(F.col("version") == version)
+    last = found.orderBy(F.desc("version"), "folder").first() if found is not None else None
+    if last is None:
+        raise FileNotFoundError(f"no model is published under {path}")
+    terms = spark.read.schema("term string, weights array<double>").parquet(f"{path}/{last.folder}/terms")
+    classes = spark.read.schema("label string, documents long, tokens long").parquet(f"{path}/{last.folder}/classes")
+    return NarrativeModel(terms, classes, tuple(last.labels), last["size"])
 
 
 def model_labels(model: NarrativeModel) -> list[str]:
     """The class labels in alphabetical order."""
-    return [r["label"] for r in model.classes.select("label").orderBy("label").collect()]
+    return list(model.labels)
 
 
 def model_summary(model: NarrativeModel) -> DataFrame:
     """``(label, label_index, documents, tokens, weight_sum)``: the fitted
     classes, with the sum of their weights to three decimals."""
     sums = model.weights.groupBy("label").agg(F.round(F.sum("weight"), 3).alias("weight_sum"))
-    index = F.array(*[F.lit(x) for x in model_labels(model)]).cast("array<string>")
     return model.classes.join(sums, "label", "left").select(
-        "label", (F.array_position(index, F.col("label")) - 1).cast("int").alias("label_index"),
+        "label", (F.array_position(_texts(model.labels), F.col("label")) - 1).cast("int").alias("label_index"),
         "documents", "tokens", F.coalesce("weight_sum", F.lit(0.0)).alias("weight_sum"),
     )
 
 
 def score_narratives(
-    model: NarrativeModel, df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
+    model: NarrativeModel,
+    df: DataFrame,
+    text_col: str = "text",
+    id_col: str = "doc_id",
+    stop_words: Sequence[str] = (),
+    tokens_col: str | None = None,
+    keep: Sequence[str] = (),
+    broadcast_terms: int = BROADCAST_TERMS,
 ) -> DataFrame:
-    """``(id, prediction, probability, probability_pct)`` per id (rows that
-    share an id are scored as one text).
+    """``(id_col, *keep, prediction, probability, probability_pct)``, one row
+    per row of ``df``.
 
+    A row is scored by its own text: rows may share an id, or have none.
     ``probability`` is the largest class probability (a double in [0, 1]);
     ``probability_pct`` is it times 100 as text with two decimals.  Ties go to
-    the first label; a text without any known term has equal probabilities.
+    the first label; a text without any known term, or a null one, has equal
+    probabilities.  ``stop_words`` as in the fit.  The result is the same on
+    either side of ``broadcast_terms``.
     """
-    labels = model_labels(model)
-    docs = df.select(F.col(id_col).alias("_id"), tokens(text_col).alias("_tokens"))
-    seen = docs.select("_id", F.explode("_tokens").alias("term")).groupBy("_id", "term").agg(
-        F.count(F.lit(1)).alias("x")
-    )
-    sums = (
-        seen.join(model.weights, "term")
-        .groupBy("_id", "label").agg(F.sum(F.col("x") * F.col("weight")).alias("s"))
-        .groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "s"))).alias("by_label"))
+    words = F.col(tokens_col) if tokens_col else tokens(text_col, stop_words)
+    named = [F.col(c).alias(f"_k{i}") for i, c in enumerate((id_col, *keep))]
+    rows = df.select(*named, F.coalesce(words, F.array().cast("array<string>")).alias("_tokens"))
+    keys = ["_task", "_digest", *[f"_k{i}" for i in range(len(named))]]
+    # Rows equal in id and tokens are added up within their task and divided
+    # again; ``#`` is no token: one such entry per row counts them.
+    marked = rows.withColumn("_digest", F.sha2(F.concat_ws(" ", "_tokens"), 256)).select(
+        F.spark_partition_id().alias("_task"), *keys[1:],
+        F.explode_outer(F.concat("_tokens", F.array(F.concat(F.lit("#"), F.col("_digest"))))).alias("term"),
     )
-    sums = df.select(F.col(id_col).alias("_id")).distinct().join(sums, "_id", "left")
-    known = F.array(*[F.lit(x) for x in labels]).cast("array<string>")
-    scores = F.transform(known, lambda k: F.coalesce(F.try_element_at(F.col("by_label"), k), F.lit(0.0)))
-    scored = sums.select("_id", scores.alias("_s")).withColumn("_top", F.array_max("_s"))
+    if model.size <= broadcast_terms:
+        each = marked.withColumn("_x", F.lit(1)).join(F.broadcast(model.terms), "term", "left")
+    else:
+        each = marked.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("_x")).join(model.terms, "term", "left")
+    sums = [F.sum(F.col("_x") * F.get("weights", F.lit(i))).alias(f"_s{i}") for i in range(len(model.labels))]
+    texts = each.groupBy(*keys).agg(F.sum(F.when(F.col("term").startswith("#"), F.col("_x"))).alias("_n"), *sums)
+    scores = F.array(*[F.coalesce(f"_s{i}", F.lit(0.0)) / F.col("_n") for i in range(len(sums))]).cast("array<double>")
+    scored = texts.withColumn("_s", scores).withColumn("_top", F.array_max("_s"))
     total = F.aggregate("_s", F.lit(0.0), lambda acc, s: acc + F.exp(s - F.col("_top")))
     out = scored.select(
-        F.col("_id").alias(id_col),
-        F.get(known, (F.array_position("_s", F.col("_top")) - 1).cast("int")).alias("prediction"),
-        (F.lit(1.0) / total).alias("probability"),
-    )
+        *[F.col(f"_k{i}").alias(c) for i, c in enumerate((id_col, *keep))],
+        F.get(_texts(model.labels), (F.array_position("_s", F.col("_top")) - 1).cast("int")).alias("prediction"),
+        F.try_divide(F.lit(1.0), total).alias("probability"),
+        F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"),  # of one task's rows
+    ).drop("_copy")
     return out.withColumn("probability_pct", F.format_string("%.2f", F.col("probability") * F.lit(100.0)))
 
 
@@ -161,14 +274,15 @@ def score_sample(
     id_col: str = "doc_id",
     k: int = 1,
     seed: int = 42,
+    stop_words: Sequence[str] = (),
 ) -> DataFrame:
     """One-click prediction: ``(Narratives, Prediction, Probability)`` of
     ``k`` sampled narratives, probability as two-decimal percent text."""
     picked = sample_narratives(df.select(id_col, text_col), id_col, k, seed)
     # k rows: fetched once, so that the table is read once
     picked = df.sparkSession.createDataFrame(picked.collect(), picked.schema)
-    scored = score_narratives(model, picked, text_col, id_col)
-    return picked.join(scored, id_col).select(
+    scored = score_narratives(model, picked, text_col, id_col, stop_words, keep=[text_col])
+    return scored.select(
         F.col(id_col),
         F.col(text_col).alias("Narratives"),
         F.col("prediction").alias("Prediction"),

@@ -178,8 +178,12 @@ def category_trend_wide(
     return wide.na.fill(0, subset=value_cols)
 
 
-def top_issue_per_year(c: DataFrame, date_col: str = DATE, issue: str = "issue") -> DataFrame:
-    """``(year, issue, count)``: the arg-max issue of each year.
+def top_issue_per_year(
+    c: DataFrame, date_col: str = DATE, issue: str = "issue", with_totals: bool = False
+) -> DataFrame:
+    """``(year, issue, count)``: the arg-max issue of each year;
+    ``with_totals`` adds ``total``, the number of that year's complaints, and
+    ``share``, the leading issue's part of it.
 
     Counts are per raw issue value; a null issue is labelled ``'Unknown'``
     only afterwards, with its real count.  Ties go to the smaller label.  A
@@ -192,8 +196,12 @@ def top_issue_per_year(c: DataFrame, date_col: str = DATE, issue: str = "issue")
         .withColumn(issue, null_label(issue))
     )
     w = Window.partitionBy("year").orderBy(F.desc("count"), F.asc(issue))
+    totals = []
+    if with_totals:
+        counts = counts.withColumn("total", F.sum("count").over(Window.partitionBy("year")).cast("long"))
+        totals = ["total", (F.col("count") / F.col("total")).alias("share")]
     return (
         counts.withColumn("_rank", F.row_number().over(w))
         .where(F.col("_rank") == 1)
-        .select("year", issue, "count")
+        .select("year", issue, "count", *totals)
     )

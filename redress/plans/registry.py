@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 
 from redress.functions.labels import RESPONSES
 from redress.operators import association, counts, narratives, outcomes, profile, trends
-from redress.session import checkpoint_dir
-from redress.sources.complaints import COMPLAINT_COLUMNS, NULL_PROFILE_COLUMNS
-from redress.sources.narratives import documents_corpus
+from redress.operators.order import with_position
+from redress.session import scratch_path
+from redress.sources.complaints import COMPLAINT_COLUMNS, NULL_PROFILE_COLUMNS, read_complaints_table
+from redress.sources.narratives import documents_corpus, read_narratives_split
 from redress.sources.tpch_view import VIEW_SQL, complaints_view
 
 MIN_YEAR = 1996
@@ -38,6 +39,9 @@ WINDOW = 30
 PRODUCT_LABELS = {"PROMO": "Pr", "STANDARD": "St", "No such product": "X"}
 ISSUE_LABELS = {"issue 1-URGENT": "Urgent", "issue 2-HIGH": "High", "No such issue": "X"}
 
+# Frequent words of the documents' four languages, left out by the weighted model.
+STOP_WORDS = ("and", "de", "der", "die", "el", "en", "in", "la", "le", "les", "of", "que", "the", "to", "und")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -255,20 +259,41 @@ def _dispute_by_response(spark, d):
 
 
 def _stored_model(spark, model):
-    """``model`` stored in the shared folder and loaded from there."""
-    path = f"{checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
+    """``model`` published in the shared folder and loaded from there."""
+    path = scratch_path(spark, "model")
     narratives.save_model(model, path)
     return narratives.load_model(spark, path)
 
 
-def _language_model(spark, d):
+def _document_tokens(spark, d, stop_words=()):
+    """The documents as tokens, cut once for the fit and the scores."""
+    return narratives.store_tokens(documents_corpus(spark, d), "text", ["doc_id", "lang"], stop_words)
+
+
+def _language_model(spark, docs, idf=False):
     """Complement NB trained on every document's whole text, labelled by
     language: the stand-in for narratives labelled by company response."""
-    return _stored_model(spark, narratives.train_response_model(documents_corpus(spark, d), "text", "lang"))
+    return _stored_model(spark, narratives.train_response_model(docs, label_col="lang", tokens_col="tokens", idf=idf))
+
+
+def _complaint_tokens(spark, d):
+    """Every complaint with a narrative, as tokens."""
+    c = _view(spark, d, "complaint_id", "consumer_complaint_narrative", "company_response_to_consumer")
+    c = c.where(F.col("consumer_complaint_narrative").isNotNull())
+    return narratives.store_tokens(
+        c, "consumer_complaint_narrative", ["complaint_id", "company_response_to_consumer"]
+    )
+
+
+def _complaint_model(spark, c):
+    return _stored_model(
+        spark, narratives.train_response_model(c, label_col="company_response_to_consumer", tokens_col="tokens")
+    )
 
 
 def _train_response_model(spark, d):
-    return narratives.model_summary(_language_model(spark, d))
+    corpus = documents_corpus(spark, d)
+    return narratives.model_summary(_stored_model(spark, narratives.train_response_model(corpus, "text", "lang")))
 
 
 def _train_complaint_model(spark, d):
@@ -278,34 +303,122 @@ def _train_complaint_model(spark, d):
     return narratives.model_summary(_stored_model(spark, model))
 
 
+def _train_weighted_model(spark, d):
+    """The fit without stop words, terms weighted by inverse document frequency."""
+    corpus = documents_corpus(spark, d)
+    model = narratives.train_response_model(corpus, "text", "lang", stop_words=STOP_WORDS, idf=True)
+    return narratives.model_summary(_stored_model(spark, model))
+
+
 def _score_narratives(spark, d):
     """Every document scored: id, predicted label and the top probability as
     two-decimal percent text (the reference's record)."""
-    model = _language_model(spark, d)
-    scored = narratives.score_narratives(model, documents_corpus(spark, d), "text", "doc_id")
+    docs = _document_tokens(spark, d)
+    scored = narratives.score_narratives(_language_model(spark, docs), docs, tokens_col="tokens")
+    return scored.select("doc_id", "prediction", "probability_pct")
+
+
+def _score_weighted(spark, d):
+    """As above, by the model without stop words and with document frequencies."""
+    docs = _document_tokens(spark, d, STOP_WORDS)
+    scored = narratives.score_narratives(_language_model(spark, docs, idf=True), docs, tokens_col="tokens")
     return scored.select("doc_id", "prediction", "probability_pct")
 
 
 def _score_complaints(spark, d):
-    """Every complaint id's narrative scored by the model of the complaint
-    columns.  Some ids of the test data stand on several rows: one text each."""
-    c = _view(spark, d, "complaint_id", "consumer_complaint_narrative", "company_response_to_consumer")
-    c = c.where(F.col("consumer_complaint_narrative").isNotNull())
-    model = narratives.train_response_model(c, "consumer_complaint_narrative", "company_response_to_consumer")
-    scored = narratives.score_narratives(
-        _stored_model(spark, model), c, "consumer_complaint_narrative", "complaint_id"
-    )
+    """Every complaint's narrative scored by the model of the complaint
+    columns, one row per complaint (ids repeat in the test data)."""
+    c = _complaint_tokens(spark, d)
+    scored = narratives.score_narratives(_complaint_model(spark, c), c, id_col="complaint_id", tokens_col="tokens")
     return scored.select("complaint_id", "prediction", "probability_pct")
 
 
+def _narratives_csv(spark, d):
+    """The documents written as CSV, quoted and over many lines, and read
+    back by splits."""
+    docs = documents_corpus(spark, d).select("doc_id", "text")
+    path = scratch_path(spark, "narratives-csv")
+    quoted = {"header": True, "quote": '"', "escape": '"', "quoteAll": True}
+    docs.write.options(**quoted, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    found = read_narratives_split(spark, path, "doc_id long, text string", text_index=1)
+    text = F.coalesce("narrative", F.lit(""))
+    return found.select("doc_id", F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
+
+
+def _catalog_counts(spark, d):
+    """Complaints per product and state from a catalog table with column
+    names of its own."""
+    path, name = scratch_path(spark, "catalog"), f"complaints_{uuid.uuid4().hex}"
+    view = _view(spark, d, "complaint_id", "product", "state", "date_received")
+    view.select(
+        F.col("complaint_id").alias("Complaint ID"), F.col("product").alias("Product"), "state",
+        F.col("date_received").alias("Date received"),
+    ).write.parquet(path)
+    spark.catalog.createTable(name, path, source="parquet")
+    names = {"complaint_id": "Complaint ID", "product": "Product", "date_received": "Date received"}
+    c = read_complaints_table(spark, name, names)
+    return c.groupBy("product", "state").agg(
+        F.count(F.lit(1)).alias("complaints"), F.min("date_received").alias("first_received"))
+
+
+def _dispute_by_response_bound(spark, d):
+    """The SQL form with bound values, over a temporary view."""
+    name = f"complaints_{uuid.uuid4().hex}"
+    _view(spark, d, "company_response_to_consumer", "consumer_disputed").createOrReplaceTempView(name)
+    return outcomes.dispute_by_response_sql(spark, name)
+
+
+def _top_issue_share(spark, d):
+    return trends.top_issue_per_year(_view(spark, d, "date_received", "issue"), with_totals=True)
+
+
+def _year_marks(spark, d):
+    """The slider's marks, one map, as JSON text."""
+    return trends.year_marks(_view(spark, d, "date_received"), MIN_YEAR, WINDOW).select(F.to_json("marks").alias("marks"))
+
+
+def _lists_as_map(lists: DataFrame, key: str, values: str, *order: str) -> DataFrame:
+    """Key -> list rows as one map in the order of ``order``, as JSON text."""
+    entries = F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(order)], key, values)))
+    pairs = F.transform(entries, lambda x: F.struct(x[key], x[values]))
+    return lists.agg(F.to_json(F.map_from_entries(pairs)).alias("lists"))
+
+
+def _product_subproduct_map(spark, d):
+    lists = counts.product_subproduct_lists(_view(spark, d, "product", "subproduct", "state"), as_arrays=True)
+    return _lists_as_map(lists, "product", "subproducts", "product")
+
+
+def _issue_subissue_map(spark, d):
+    lists = counts.issue_subissue_lists(_view(spark, d, "issue", "subissue"), as_arrays=True)
+    return _lists_as_map(lists, "issue", "subissues", "issue_position")
+
+
+def _sample_records(spark, d):
+    """The sample as the record list of the table page: one JSON text a row."""
+    return profile.sample_records(_sample_rows(spark, d))
+
+
+def _ordered(name: str, *lead: tuple[str, bool]) -> Query:
+    """A grouped result with the place of each row: ``lead`` (column,
+    descending), then all columns ascending."""
+
+    def query(spark, d):
+        columns = [F.desc_nulls_last(c) if down else F.asc_nulls_first(c) for c, down in lead]
+        return with_position(QUERIES[name](spark, d), *columns)
+
+    return query
+
+
 def _sample_narratives(spark, d):
     docs = documents_corpus(spark, d)
     return narratives.sample_narratives(docs, "doc_id", k=5, seed=42).select("doc_id", "lang")
 
 
 def _score_sample(spark, d):
-    model = _language_model(spark, d)
-    return narratives.score_sample(model, documents_corpus(spark, d), "text", "doc_id", k=1, seed=42)
+    corpus = documents_corpus(spark, d)
+    model = _stored_model(spark, narratives.train_response_model(corpus, "text", "lang"))
+    return narratives.score_sample(model, corpus, "text", "doc_id", k=1, seed=42)
 
 
 QUERIES: dict[str, Query] = {
@@ -346,6 +459,8 @@ QUERIES: dict[str, Query] = {
     "product_trend_of_standard": _product_trend_of("STANDARD"),
     "train_complaint_model": _train_complaint_model,
     "score_complaints": _score_complaints,
+    "train_weighted_model": _train_weighted_model,
+    "score_weighted": _score_weighted,
     "daily_trend": _daily_trend,
     "trend_for_year": _trend_for_year,
     "trend_for_first_year": _trend_for_first_year,
@@ -361,7 +476,29 @@ QUERIES: dict[str, Query] = {
     "score_narratives": _score_narratives,
     "sample_narratives": _sample_narratives,
     "score_sample": _score_sample,
+    "narratives_csv": _narratives_csv,
+    "catalog_counts": _catalog_counts,
+    "dispute_by_response_bound": _dispute_by_response_bound,
+    "top_issue_share": _top_issue_share,
+    "year_marks": _year_marks,
+    "product_subproduct_map": _product_subproduct_map,
+    "issue_subissue_map": _issue_subissue_map,
+}
+
+# Grouped results in the order they are shown in: largest first, by date, or
+# by year and then largest first.
+DISPLAY_ORDER: dict[str, list[tuple[str, bool]]] = {
+    "product_counts": [("Counts_Complaints", True)],
+    "product_subproduct_state": [("Counts_Complaints", True)],
+    "issue_counts": [("count", True)],
+    "issue_subissue_counts": [("count", True)],
+    "channel_response_counts": [("Count_Response", True)],
+    "daily_trend": [("date_received", False)],
+    "response_trend": [("date_received", False)],
+    "product_trend": [("date_received", False)],
+    "top_issue_per_year": [("year", False), ("count", True)],
 }
+QUERIES.update({f"{name}_ordered": _ordered(name, *lead) for name, lead in DISPLAY_ORDER.items()})
 
 
 # ---------------------------------------------------------------------------
@@ -530,60 +667,69 @@ FROM p"""
 # runs of 2+ letters/digits/underscores, lower-cased, smoothing 1, classes in
 # alphabetical order, arg-max with ties to the first class.
 _NB_TRAIN = "train AS (SELECT lang, text FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL),"
-_NB_FIT = r"""
-class_term AS (
-  SELECT lang, term, COUNT(*) AS n FROM (
-    SELECT lang, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM train)
-  GROUP BY lang, term
+def _nb_fit(idf: bool = False, stop_words: tuple[str, ...] = ()) -> str:
+    stop = ", ".join(_quote(x) for x in ("", *stop_words))
+    weight = "ln(CAST((SELECT COUNT(*) FROM train) + 1 AS DOUBLE) / (COUNT(DISTINCT doc) + 1))" if idf else "1.0"
+    return rf"""
+numbered AS (SELECT row_number() OVER () AS doc, lang, text FROM train),
+words AS (
+  SELECT * FROM (
+    SELECT doc, lang, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM numbered)
+  WHERE term NOT IN ({stop})
 ),
-vocab AS (SELECT term, SUM(n) AS f FROM class_term GROUP BY term),
+class_term AS (SELECT lang, term, COUNT(*) AS n FROM words GROUP BY lang, term),
+vocab AS (SELECT term, COUNT(*) AS f, CAST({weight} AS DOUBLE) AS idf FROM words GROUP BY term),
 classes AS (
-  SELECT t.lang, COALESCE(SUM(ct.n), 0) AS nk
+  SELECT t.lang, COALESCE(SUM(ct.n), 0) AS nk, COALESCE(SUM(ct.n * v.idf), 0) AS wk
   FROM (SELECT DISTINCT lang FROM train) t LEFT JOIN class_term ct ON ct.lang = t.lang
+  LEFT JOIN vocab v ON v.term = ct.term
   GROUP BY t.lang
 ),
-consts AS (SELECT SUM(f) AS total, COUNT(*) AS v FROM vocab),
+consts AS (SELECT SUM(f * idf) AS total, COUNT(*) AS v FROM vocab),
 theta AS (
   SELECT k.lang, vo.term,
-         -(ln(CAST(vo.f - COALESCE(ct.n, 0) + 1 AS DOUBLE))
-           - ln(CAST(c.total - k.nk + c.v AS DOUBLE))) AS w
+         -vo.idf * (ln(CAST((vo.f - COALESCE(ct.n, 0)) * vo.idf + 1 AS DOUBLE))
+           - ln(CAST(c.total - k.wk + c.v AS DOUBLE))) AS w
   FROM classes k CROSS JOIN vocab vo CROSS JOIN consts c
   LEFT JOIN class_term ct ON ct.lang = k.lang AND ct.term = vo.term
 )"""
+
+
+_NB_FIT = _nb_fit()
 _NB_SUMMARY = """
 SELECT k.lang AS label, CAST(DENSE_RANK() OVER (ORDER BY k.lang ASC) - 1 AS INTEGER) AS label_index,
   CAST((SELECT COUNT(*) FROM train t WHERE t.lang = k.lang) AS BIGINT) AS documents, CAST(k.nk AS BIGINT) AS tokens,
   ROUND((SELECT SUM(w) FROM theta th WHERE th.lang = k.lang), 3) AS weight_sum
 FROM classes k"""
+#: Every row of scored_docs (rec, doc_id, text) by its own text.
 _NB_SCORE = r""",
 doc_tf AS (
-  SELECT doc_id, term, COUNT(*) AS x FROM (
-    SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term
+  SELECT rec, term, COUNT(*) AS x FROM (
+    SELECT rec, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term
     FROM scored_docs)
-  GROUP BY doc_id, term
+  GROUP BY rec, term
 ),
 raw AS (
-  SELECT t.doc_id, th.lang, SUM(t.x * th.w) AS s
-  FROM doc_tf t JOIN theta th ON th.term = t.term GROUP BY t.doc_id, th.lang
+  SELECT t.rec, th.lang, SUM(t.x * th.w) AS s
+  FROM doc_tf t JOIN theta th ON th.term = t.term GROUP BY t.rec, th.lang
 ),
 scores AS (
-  SELECT d.doc_id, k.lang, COALESCE(r.s, 0.0) AS s
-  FROM (SELECT DISTINCT doc_id FROM scored_docs) d CROSS JOIN classes k
-  LEFT JOIN raw r ON r.doc_id = d.doc_id AND r.lang = k.lang
+  SELECT d.rec, d.doc_id, k.lang, COALESCE(r.s, 0.0) AS s
+  FROM scored_docs d CROSS JOIN classes k
+  LEFT JOIN raw r ON r.rec = d.rec AND r.lang = k.lang
 ),
 best AS (
-  SELECT doc_id, MAX(s) AS smax,
+  SELECT rec, MAX(s) AS smax,
          first(lang ORDER BY s DESC, lang ASC) AS prediction
-  FROM scores GROUP BY doc_id
+  FROM scores GROUP BY rec
 ),
 prob AS (
-  SELECT b.doc_id, b.prediction, 1.0 / SUM(exp(sc.s - b.smax)) AS p
-  FROM best b JOIN scores sc ON sc.doc_id = b.doc_id GROUP BY b.doc_id, b.prediction
+  SELECT b.rec, any_value(sc.doc_id) AS doc_id, b.prediction, 1.0 / SUM(exp(sc.s - b.smax)) AS p
+  FROM best b JOIN scores sc ON sc.rec = b.rec GROUP BY b.rec, b.prediction
 )"""
-
-
+_SCORED = ", scored_docs AS (SELECT row_number() OVER () AS rec, doc_id, text FROM documents WHERE text IS NOT NULL)"
 _NB_SQL = (
-    _NB_TRAIN + _NB_FIT + ", scored_docs AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL)" + _NB_SCORE
+    _NB_TRAIN + _NB_FIT + _SCORED + _NB_SCORE
 )
 _NB_COMPLAINTS = f"""WITH complaints AS ({VIEW_SQL}),
 train AS (SELECT company_response_to_consumer AS lang, consumer_complaint_narrative AS text FROM complaints
@@ -733,9 +879,12 @@ GROUP BY company_response_to_consumer"""
     "train_response_model": f"WITH {_NB_TRAIN}{_NB_FIT}{_NB_SUMMARY}",
     "train_complaint_model": f"{_NB_COMPLAINTS}{_NB_SUMMARY}",
     "score_complaints": f"""{_NB_COMPLAINTS}, scored_docs AS (
-  SELECT complaint_id AS doc_id, consumer_complaint_narrative AS text FROM complaints
+  SELECT row_number() OVER () AS rec, complaint_id AS doc_id, consumer_complaint_narrative AS text FROM complaints
   WHERE consumer_complaint_narrative IS NOT NULL){_NB_SCORE}
 SELECT doc_id AS complaint_id, prediction, printf('%.2f', 100.0 * p) AS probability_pct FROM prob""",
+    "train_weighted_model": f"WITH {_NB_TRAIN}{_nb_fit(True, STOP_WORDS)}{_NB_SUMMARY}",
+    "score_weighted": f"""WITH {_NB_TRAIN}{_nb_fit(True, STOP_WORDS)}{_SCORED}{_NB_SCORE}
+SELECT doc_id, prediction, printf('%.2f', 100.0 * p) AS probability_pct FROM prob""",
     "score_narratives": f"""WITH {_NB_SQL}
 SELECT doc_id, prediction, printf('%.2f', 100.0 * p) AS probability_pct FROM prob""",
     "score_sample": f"""WITH {_NB_SQL},
@@ -763,3 +912,52 @@ WHERE company_response_to_consumer IS NOT NULL
 GROUP BY 1, 2"""
     ),
 }
+
+ORACLE_SQL.update({
+    "narratives_csv": """
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS text_sha256 FROM documents WHERE text IS NOT NULL""",
+    "catalog_counts": _with_view(
+        "SELECT product, state, COUNT(*) AS complaints, MIN(date_received) AS first_received FROM complaints GROUP BY product, state"
+    ),
+    "dispute_by_response_bound": ORACLE_SQL["dispute_by_response"],
+    "top_issue_share": _with_view(
+        """, counts AS (
+  SELECT CAST(year(date_received) AS INTEGER) AS year, COALESCE(issue, 'Unknown') AS issue, COUNT(*) AS count
+  FROM complaints WHERE date_received IS NOT NULL GROUP BY 1, complaints.issue),
+ranked AS (SELECT *, CAST(SUM(count) OVER (PARTITION BY year) AS BIGINT) AS total,
+  ROW_NUMBER() OVER (PARTITION BY year ORDER BY count DESC, issue ASC) AS rk FROM counts)
+SELECT year, issue, count, total, CAST(count AS DOUBLE) / total AS share FROM ranked WHERE rk = 1"""
+    ),
+    "year_marks": f"WITH complaints AS ({VIEW_SQL}), {_DAILY},\n"
+    "years AS (SELECT DISTINCT CAST(year(date_received) AS VARCHAR) AS mark FROM cut WHERE date_received IS NOT NULL)\n"
+    "SELECT '{' || string_agg('\"' || mark || '\":\"' || mark || '\"', ',' ORDER BY mark) || '}' AS marks FROM years",
+    "product_subproduct_map": f"WITH complaints AS ({VIEW_SQL}), {_PSS},\n"
+    "rows AS (SELECT product, to_json(list(subproduct ORDER BY position)) AS subs FROM lists GROUP BY product)\n"
+    "SELECT '{' || string_agg(CAST(to_json(product) AS VARCHAR) || ':' || CAST(subs AS VARCHAR), ',' ORDER BY product) || '}'\n"
+    "  AS lists FROM rows",
+    "issue_subissue_map": f"WITH lists AS ({ORACLE_SQL['issue_subissue_lists']}),\n"
+    "rows AS (SELECT issue, issue_position, to_json(list(subissue ORDER BY position)) AS subs FROM lists GROUP BY 1, 2)\n"
+    "SELECT '{' || string_agg(CAST(to_json(issue) AS VARCHAR) || ':' || CAST(subs AS VARCHAR), ',' ORDER BY issue_position)\n"
+    "  || '}' AS lists FROM rows",
+})
+
+
+def _ordered_sql(name: str, columns: list[str]) -> str:
+    lead = [f'"{c}" DESC NULLS LAST' if down else f'"{c}" ASC NULLS FIRST' for c, down in DISPLAY_ORDER[name]]
+    order = ", ".join([*lead, *[f'"{c}" ASC NULLS FIRST' for c in columns]])
+    return f"SELECT *, ROW_NUMBER() OVER (ORDER BY {order}) AS position FROM ({ORACLE_SQL[name]})"
+
+
+#: Columns of the ordered results, in the operators' order: it breaks ties.
+_COLUMNS = {
+    "product_counts": ["product", "Counts_Complaints", "product_abbr"],
+    "product_subproduct_state": ["product", "subproduct", "state", "Counts_Complaints"],
+    "issue_counts": ["issue", "count"],
+    "issue_subissue_counts": ["issue", "subissue", "count"],
+    "channel_response_counts": ["submitted_via", "company_response_to_consumer", "Count_Response"],
+    "daily_trend": ["date_received", "count", "monthly_mva"],
+    "response_trend": ["date_received", "company_response_to_consumer", "count", "monthly_mva"],
+    "product_trend": ["date_received", "product", "count", "monthly_mva"],
+    "top_issue_per_year": ["year", "issue", "count"],
+}
+ORACLE_SQL.update({f"{name}_ordered": _ordered_sql(name, columns) for name, columns in _COLUMNS.items()})

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job here relies on.  AQE re-plans joins and coalesces the
 # small post-aggregation shuffles that dominate this workload; skew-join
@@ -65,3 +66,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: it is
+    computed once, and a lost executor re-reads files."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

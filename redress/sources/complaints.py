@@ -74,6 +74,38 @@ def read_complaints(spark: SparkSession, path: str, fmt: str = "parquet") -> Dat
     return conform(reader.load(path))
 
 
-def read_complaints_table(spark: SparkSession, name: str) -> DataFrame:
-    """Catalog form of :func:`read_complaints` (``spark.table``)."""
-    return conform(spark.table(name))
+def read_complaints_table(spark: SparkSession, name: str, columns: dict[str, str] | None = None) -> DataFrame:
+    """Catalog form of :func:`read_complaints`.
+
+    ``columns`` maps complaint columns to the table's own names; other
+    complaint columns are looked for under their own.  What the catalog says
+    about the table is checked before anything is read: a named column that is
+    missing, a column whose type cannot be cast to the complaint's without
+    guessing, or a table without any complaint column is an error.  Complaint
+    columns that the table lacks are left out."""
+    schema = spark.table(name).schema
+    held = {f.name: f.dataType for f in schema.fields}
+    named = {x: (columns or {}).get(x, x) for x in COMPLAINT_COLUMNS}
+    unknown = sorted(set(columns or {}) - set(COMPLAINT_COLUMNS))
+    lost = sorted(named[x] for x in (columns or {}) if x in named and named[x] not in held)
+    if unknown or lost:
+        raise ValueError(f"{name}: no complaint column {unknown}, no table column {lost}")
+    present = [f for f in COMPLAINT_SCHEMA.fields if named[f.name] in held]
+    if not present:
+        raise ValueError(f"{name} has no complaint column: {sorted(held)}")
+    wrong = [
+        f"{named[f.name]} {held[named[f.name]].simpleString()} as {f.dataType.simpleString()}"
+        for f in present if not _fits(held[named[f.name]], f.dataType)
+    ]
+    if wrong:
+        raise ValueError(f"{name}: " + ", ".join(wrong))
+    return conform(spark.table(name).select(*[F.col(f"`{named[f.name]}`").alias(f.name) for f in present]))
+
+
+def _fits(held: T.DataType, wanted: T.DataType) -> bool:
+    """Whether a stored type is the wanted one or widens to it."""
+    if isinstance(wanted, T.LongType):
+        return isinstance(held, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
+    if isinstance(wanted, T.DateType):
+        return isinstance(held, (T.DateType, T.TimestampType, T.TimestampNTZType))
+    return isinstance(held, type(wanted))

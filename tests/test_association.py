@@ -3,11 +3,11 @@ import random
 
 import numpy as np
 import pytest
-from helpers import complaint
+from pyspark.sql import functions as F
+from helpers import chi2_sf, complaint
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.stat import ChiSquareTest
 
-from redress.functions.stats import chi2_sf
 from redress.operators import association
 
 CH, RESP = "submitted_via", "company_response_to_consumer"
@@ -45,6 +45,17 @@ def test_chi2_sf_known_values():
         assert abs(chi2_sf(x, 1) - math.erfc(math.sqrt(x / 2))) < 1e-12
 
 
+def test_p_value_column_equals_the_scalar_form(spark):
+    from redress.functions.stats import chi2_p_value
+
+    rows = [(x, k) for k in (0, 1, 2, 3, 4, 7, 10, 31, 100, 999, 5000) for x in (0.0, 1e-9, 0.3, 1.0, 9.5, 40.0, 99.0, 400.0, 4900.0, 5200.0)]
+    rows += [(None, 3), (2.0, None), (float("nan"), 2)]
+    df = spark.createDataFrame(rows, "x double, k int")
+    for r in df.select("x", "k", chi2_p_value(F.col("x"), F.col("k")).alias("p")).collect():
+        want = chi2_sf(r.x, r.k)
+        assert (math.isnan(want) and math.isnan(r.p)) or abs(r.p - want) <= 1e-11 * max(want, 1e-3) + 1e-300, r
+
+
 def test_chi_square_matches_spark_ml_on_rows(spark, frame):
     rng = random.Random(11)
     channels, responses = ["Web", "Phone", "Fax", "Mail"], ["Closed", "Explained", "Relief"]

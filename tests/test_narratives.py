@@ -146,3 +146,74 @@ def test_csv_ids_do_not_depend_on_other_files_and_schema_is_checked(spark):
 def test_labels_are_alphabetical(model):
     labels = narratives.model_labels(model)
     assert labels == sorted(labels) and len(labels) == 4
+
+
+RECORDS = "doc_id long, text string, lang string"
+
+
+def test_every_row_is_scored_by_its_own_text(spark):
+    train = spark.createDataFrame([(1, "good fine nice", "x"), (2, "bad awful poor", "y"), (3, "good bad", "z")], RECORDS)
+    model = narratives.train_response_model(train, "text", "lang")
+    rows = [(None, "good fine", None), (None, "bad awful", None), (7, "bad poor", None), (7, "fine nice good", None),
+            (7, "bad poor", None), (8, None, None), (None, None, None), (None, "good fine", None), (9, "?", None)]
+    df = spark.createDataFrame(rows, RECORDS)
+    alone = {}
+    for text in {t for _, t, _ in rows}:
+        one = narratives.score_narratives(model, spark.createDataFrame([(1, text, None)], RECORDS)).collect()
+        assert len(one) == 1
+        alone[text] = (one[0].prediction, round(one[0].probability, 12))
+    want = sorted(((i, *alone[t]) for i, t, _ in rows), key=str)
+    for parts, limit in ((1, narratives.BROADCAST_TERMS), (4, narratives.BROADCAST_TERMS), (3, 0)):
+        got = narratives.score_narratives(model, df.repartition(parts), broadcast_terms=limit).collect()
+        assert sorted(((r.doc_id, r.prediction, round(r.probability, 12)) for r in got), key=str) == want
+    assert alone["good fine"][0] == "x" and alone["bad awful"][0] == "y" and abs(alone[None][1] - 1 / 3) < 1e-9
+    kept = narratives.score_narratives(model, df, keep=["text"]).collect()
+    assert sorted(((r.doc_id, r.text, r.prediction) for r in kept), key=str) == sorted(((i, t, alone[t][0]) for i, t, _ in rows), key=str)
+    assert narratives.score_narratives(model, df.limit(0)).collect() == []
+
+
+def test_stored_tokens_give_the_same_model_and_scores(spark):
+    docs = documents_corpus(spark, SF01).limit(200)
+    kept = narratives.store_tokens(docs, "text", ["doc_id", "lang"], ("the", "of"))
+    a = narratives.train_response_model(docs, "text", "lang", stop_words=("of", "the"), idf=True)
+    b = narratives.train_response_model(kept, label_col="lang", tokens_col="tokens", idf=True)
+    key = lambda m: sorted((r.term, r.label, round(r.weight, 9)) for r in m.weights.collect())
+    assert key(a) == key(b) and not {"of", "the"} & {t for t, _, _ in key(a)}
+    one = narratives.score_narratives(a, docs, stop_words=("of", "the"))
+    two = narratives.score_narratives(b, kept, tokens_col="tokens")
+    rows = lambda df: sorted((r.doc_id, r.prediction, r.probability_pct) for r in df.collect())
+    assert rows(one) == rows(two)
+
+
+def test_document_frequencies_follow_the_formula(spark):
+    rows = [(1, "red red blue", "a"), (2, "blue green", "a"), (3, "green blue", "b"), (4, "red", "c")]
+    m = narratives.train_response_model(spark.createDataFrame(rows, RECORDS), "text", "lang", idf=True)
+    labels, vocabulary = ["a", "b", "c"], ["blue", "green", "red"]
+    held = np.array([sum(w in _words(t) for _, t, _ in rows) for w in vocabulary])
+    idf = np.log((len(rows) + 1) / (held + 1))
+    counts = np.array([[sum(_words(t).count(w) for _, t, k in rows if k == lab) for w in vocabulary] for lab in labels]) * idf
+    rest = counts.sum(0) - counts + 1.0
+    weights = -np.log(rest / rest.sum(1, keepdims=True)) * idf
+    got = {(r.label, r.term): r.weight for r in m.weights.collect()}
+    for i, k in enumerate(labels):
+        for j, w in enumerate(vocabulary):
+            assert abs(got[k, w] - weights[i, j]) < 1e-12
+
+
+def test_a_failed_save_leaves_the_published_model(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="redress-model-"), "nb")
+    first = narratives.train_response_model(spark.createDataFrame([(1, "red one", "a"), (2, "blue two", "b")], RECORDS), "text", "lang")
+    with pytest.raises(FileNotFoundError):
+        narratives.load_model(spark, path)
+    assert narratives.save_model(first, path) == 1
+    second = narratives.train_response_model(spark.createDataFrame([(1, "green", "c")], RECORDS), "text", "lang")
+    broken = second.classes.withColumn("documents", F.raise_error(F.lit("lost")).cast("long"))
+    with pytest.raises(Exception, match="lost"):  # the second of the two tables
+        narratives.save_model(narratives.NarrativeModel(second.terms, broken, second.labels, second.size), path)
+    with pytest.raises(ValueError):  # a table that is not whole
+        narratives.save_model(narratives.NarrativeModel(second.terms, second.classes, second.labels, second.size + 1), path)
+    again = narratives.load_model(spark, path)
+    assert again.labels == ("a", "b") and again.terms.count() == again.size == 4
+    assert narratives.save_model(second, path) == 2
+    assert narratives.load_model(spark, path).labels == ("c",)
+    assert narratives.load_model(spark, path, version=1).labels == ("a", "b")

@@ -175,7 +175,7 @@ table = st.lists(st.lists(st.integers(0, 12), min_size=1, max_size=4), min_size=
 def test_chi_square_matches_textbook_on_random_tables(spark, obs):
     import numpy as np
 
-    from redress.functions.stats import chi2_sf
+    from helpers import chi2_sf
 
     rows = []
     for i, line in enumerate(obs):
