@@ -84,7 +84,8 @@ def op9_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_rows(_table(spark, sf_dir, "documents"), packing.count_words(F.col("text")))
+    sized = packing.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack_rows(sized, F.col("n_tokens"))
 
 
 def op11_spill_align(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,6 +139,65 @@ SELECT page_id, url,
 FROM pages
 """
 
+_HEAD = "regexp_extract({0}, '(?s)^.*?://[^/?]*')"
+
+
+def _address_sql(x: str) -> str:
+    head = _HEAD.format(x)
+    return f"CASE WHEN contains({x}, '://') THEN lower({head}) || substr({x}, length({head}) + 1) ELSE {x} END"
+
+
+def _attribute_sql(name: str) -> str:
+    pattern = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))"""
+    value = " || ".join(f"regexp_extract(tag, '{pattern}', {k})" for k in (1, 2, 3))
+    return f"replace({value}, '&amp;', '&')"
+
+
+#: The longest of RULES that fits a host and path.
+_RULE = """CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END"""
+
+#: Aliases by recursion over the edges of canonical links and refreshes in
+#: both directions.  Dot parts of paths are not worked out here.
+_ALIASES = rf"""
+WITH RECURSIVE j AS ({_HOST_PATH}),
+p AS (SELECT page_id, html, {_address_sql("regexp_replace(url, '(?s)#.*$', '')")} AS a FROM pages),
+tags AS (SELECT a, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\s[^>]*>')) AS tag FROM p WHERE a IS NOT NULL),
+named AS (
+  SELECT a, {_attribute_sql("href")} AS t FROM tags WHERE regexp_matches(tag,
+    '(?is)^<link\s(?:.*\s)?rel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|''(?:[^'']*\s)?canonical(?:\s[^'']*)?''|canonical[\s/>])')
+  UNION ALL
+  SELECT a, regexp_extract({_attribute_sql("content")}, '(?is)\burl\s*=\s*["'']?\s*([^"'']*)', 1) FROM tags WHERE regexp_matches(tag,
+    '(?is)^<meta\s(?:.*\s)?http-equiv\s*=\s*["'']?\s*refresh\s*["''\s/>]')),
+split AS (SELECT a, trim(t, E' \t\n\x0b\x0c\r') AS t, {_HEAD.format("a")} AS head,
+  regexp_extract(substr(a, length({_HEAD.format("a")}) + 1), '^[^?]*') AS path FROM named),
+whole AS (SELECT a, regexp_replace(CASE
+    WHEN t = '' OR starts_with(t, '#') THEN NULL
+    WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t
+    WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') OR head = '' THEN NULL
+    WHEN starts_with(t, '//') THEN regexp_extract(head, '^[^:]*:') || t
+    WHEN starts_with(t, '/') THEN head || t
+    WHEN starts_with(t, '?') THEN head || path || t
+    WHEN contains(path, '/') THEN head || regexp_extract(path, '(?s)^.*/') || t
+    ELSE head || '/' || t END, '(?s)#.*$', '') AS v FROM split),
+edges AS (SELECT a AS u, {_address_sql("v")} AS v FROM whole WHERE v IS NOT NULL),
+ways AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
+reach AS (SELECT DISTINCT u AS a, u AS url FROM ways UNION SELECT reach.a, ways.v FROM reach JOIN ways ON reach.url = ways.u),
+nodes AS (SELECT a, {_RULE} AS rule FROM (SELECT a,
+    regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?]*') AS host,
+    regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?]*([^?]*)', 1) AS path
+  FROM reach WHERE contains(url, '://'))),
+votes AS (SELECT a, min(CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END) AS inherited
+  FROM nodes WHERE rule IS NOT NULL GROUP BY a),
+d AS (SELECT *, {_RULE} AS rule FROM j)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
+  WHEN rule IS NOT NULL THEN 'allow' ELSE coalesce(inherited, 'allow') END AS verdict
+FROM d LEFT JOIN votes ON votes.a = {_address_sql("regexp_replace(d.url, '(?s)#.*$', '')")}
+"""
+
 ORACLE_SQL = {
     "op1_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
@@ -151,17 +211,7 @@ SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
   CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM f
 """,
-    "op4_redirects": f"""
-WITH RECURSIVE j AS ({_HOST_PATH}),
-d AS (SELECT *, CASE
-    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
-    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
-    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
-    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM j)
-SELECT page_id, host, path, rule,
-  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
-FROM d
-""",
+    "op4_redirects": _ALIASES,
     "op6_digest_merge": r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points,
     regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents)

@@ -198,7 +198,7 @@ def plain_verdicts(rows):
     return out
 
 
-def test_targets_of_every_form(spark):
+def planted_forms():
     link = lambda u, rel="canonical", q='"': f"<p><link href={q}{u}{q} rel={q}{rel}{q}/>"
     move = lambda c: f'<META content="{c}" HTTP-EQUIV=Refresh>'
     rows = [
@@ -211,6 +211,24 @@ def test_targets_of_every_form(spark):
         (15, "http://R.org/p", link("http://q.org/1")), (16, "http://r.ORG/p", None), (17, "http://q.org/1", link("http://p.net/")), (18, None, link("http://p.net/")),
         (19, "nothing", link("http://p.net/")), (20, "http://o.org/i", '<link rel=canonical href=http://n.net/>'), (20, "http://o.org/i", None),
     ]
+    return rows
+
+
+def test_oracle_follows_aliases():
+    import duckdb
+    import pandas as pd
+
+    from redress.llm.queries import ORACLE_SQL
+
+    rows = [r for r in planted_forms() if r[0] not in (4, 5, 6, 7)]  # the SQL does not work out dot parts
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    got = [(r[0], r[4]) for r in con.execute(ORACLE_SQL["op4_redirects"]).fetchall()]
+    assert sorted(got) == sorted(plain_verdicts(rows))
+
+
+def test_targets_of_every_form(spark):
+    rows = planted_forms()
     got = sorted((r.page_id, r.verdict) for r in redirects.filter_urls(pages(spark, rows), RULES).collect())
     assert got == sorted(plain_verdicts(rows))
     verdicts = dict(got)

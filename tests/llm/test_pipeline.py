@@ -5,10 +5,12 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
+import sentencepiece
 from test_near import plain_fingerprint
 
 import corpus_pipeline
 from redress.llm import packing
+from redress.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.01"
 
@@ -16,14 +18,27 @@ SF = "/root/testdata/sf0.01"
 def brute_pack(sizes, capacities, overhead):
     """The same rules, written plainly."""
     best = None
-    for largest in sorted(capacities):
+    order = sorted(range(len(sizes)), key=lambda k: (-sizes[k], k))
+
+    def cheapest(rest):
+        found = []
+        for c in sorted(capacities):
+            if c >= sizes[rest[0]]:
+                used = 0
+                for k in rest:
+                    used += sizes[k] if used + sizes[k] <= c else 0
+                found.append(((min(x for x in capacities if x >= used) + overhead) / used, c))
+        return min(found)[1]
+
+    for largest in (*sorted(capacities), None):
         bins = []
-        for k in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
+        for place, k in enumerate(order):
             fits = [(b["cap"] - b["used"], i) for i, b in enumerate(bins) if b["cap"] - b["used"] >= sizes[k]]
             if fits:
                 b = bins[min(fits)[1]]
             else:
-                bins.append(b := {"cap": min(c for c in capacities if c >= max(sizes[k], largest)), "used": 0, "items": []})
+                cap = cheapest(order[place:]) if largest is None else min(c for c in capacities if c >= max(sizes[k], largest))
+                bins.append(b := {"cap": cap, "used": 0, "items": []})
             b["used"] += sizes[k]
             b["items"].append(k)
         caps = [min(c for c in capacities if c >= b["used"]) for b in bins]
@@ -42,6 +57,30 @@ def test_best_fit_equals_plain_version():
         assert [(b, c) for b, c in zip(got["bin"], got["capacity"])] == [want[k] for k in range(n)]
 
 
+def test_every_opening_chooses_its_length():
+    # 40 and 24 fill 64, 30 is cheapest in 32: two lengths in one packing
+    assert packing._cheapest([40, 30, 24], 0, (32, 64), 1) == 64
+    assert packing._cheapest([40, 30], 1, (32, 64), 1) == 32
+    rng = np.random.default_rng(5)
+    for _ in range(20):  # never worse than one largest length for all
+        sizes = rng.integers(1, 65, size=150)
+        got = packing.pack(sizes, (16, 32, 64), 4).drop_duplicates("bin")["capacity"]
+        for largest in (16, 32, 64):
+            ordered = sorted(sizes.tolist(), reverse=True)
+            _, filled = packing._best_fit(ordered, (16, 32, 64), 4, largest)
+            assert (got + 4).sum() <= sum(min(c for c in (16, 32, 64) if c >= f) + 4 for f in filled)
+
+
+def test_token_counts_equal_the_library(spark, odd_docs):
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path())
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(150).select("doc_id", "text").unionByName(odd_docs.select("doc_id", "text"))
+    odd = spark.createDataFrame([(-1, "a▁b  c \n d"), (-2, " "), (-3, "x" * 5000 + " y")], "doc_id long, text string")
+    docs = docs.unionByName(odd)
+    want = sorted(((r.doc_id, len(sp.encode(r.text or ""))) for r in docs.collect()), key=str)
+    got = sorted(((r.doc_id, r.n_tokens) for r in packing.count_tokens(docs, tokenizer_path()).collect()), key=str)
+    assert got == want
+
+
 def test_downsizing_and_the_joint_choice():
     # one short item: its bin is cut down whatever was opened
     assert packing.pack(np.array([10]), (16, 64), 4)["capacity"].tolist() == [16]
@@ -125,8 +164,9 @@ def test_no_pattern_survives_the_scan(stages):
 def test_everything_is_packed(stages):
     clean, packed = stages[4], stages[5]
     check_bins(packed, packing.CAPACITIES)
-    words = clean.set_index("doc_id").text.map(lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t)))
-    assert packed.groupby("doc_id").n_tokens.sum().to_dict() == words.to_dict()
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path())
+    tokens = clean.set_index("doc_id").text.map(lambda t: len(sp.encode(t)))
+    assert packed.groupby("doc_id").n_tokens.sum().to_dict() == tokens.to_dict()
 
 
 def test_pipeline_stages_on_odd_rows(spark, odd_docs, no_docs):
