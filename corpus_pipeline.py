@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from redress.llm import gam, line_spread, packing, secrets, simhash
 from redress.llm.common import stored
+from redress.llm.queries import tokenizer_path
 
 #: No SQL expresses the classifier, the fingerprints or the packing;
 #: ``tests/llm/test_pipeline.py`` checks the stages against plain versions.
@@ -46,8 +47,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where every document (or piece of a long one) goes: doc_id, piece,
-    n_tokens, bin_id, capacity, start; sizes in words."""
-    return packing.pack_rows(docs, packing.count_words(F.col("text")))
+    n_tokens, bin_id, capacity, start; sizes in subword ids of the public
+    32k vocabulary."""
+    return packing.pack_rows(packing.count_tokens(docs, tokenizer_path()), F.col("n_tokens"))
 
 
 STAGES = [
