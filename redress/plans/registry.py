@@ -483,6 +483,7 @@ QUERIES: dict[str, Query] = {
     "year_marks": _year_marks,
     "product_subproduct_map": _product_subproduct_map,
     "issue_subissue_map": _issue_subissue_map,
+    "sample_records": _sample_records,
 }
 
 # Grouped results in the order they are shown in: largest first, by date, or
@@ -935,6 +936,9 @@ SELECT year, issue, count, total, CAST(count AS DOUBLE) / total AS share FROM ra
     "rows AS (SELECT product, to_json(list(subproduct ORDER BY position)) AS subs FROM lists GROUP BY product)\n"
     "SELECT '{' || string_agg(CAST(to_json(product) AS VARCHAR) || ':' || CAST(subs AS VARCHAR), ',' ORDER BY product) || '}'\n"
     "  AS lists FROM rows",
+    "sample_records": "SELECT CAST(to_json(struct_pack("
+    + ", ".join(f"{x} := {x}" for x in COMPLAINT_COLUMNS)
+    + f")) AS VARCHAR) AS record FROM ({ORACLE_SQL['sample_rows']})",
     "issue_subissue_map": f"WITH lists AS ({ORACLE_SQL['issue_subissue_lists']}),\n"
     "rows AS (SELECT issue, issue_position, to_json(list(subissue ORDER BY position)) AS subs FROM lists GROUP BY 1, 2)\n"
     "SELECT '{' || string_agg(CAST(to_json(issue) AS VARCHAR) || ':' || CAST(subs AS VARCHAR), ',' ORDER BY issue_position)\n"

@@ -8,7 +8,9 @@ from helpers import SF01
 from pyspark.sql import functions as F
 
 from redress.operators import narratives
-from redress.sources.narratives import distinct_texts, documents_corpus, read_narratives_csv, store_narratives
+from redress.sources.narratives import (
+    distinct_texts, documents_corpus, read_narratives_csv, read_narratives_split, store_narratives,
+)
 
 
 @pytest.fixture(scope="module")
@@ -217,3 +219,45 @@ def test_a_failed_save_leaves_the_published_model(spark):
     assert narratives.save_model(second, path) == 2
     assert narratives.load_model(spark, path).labels == ("c",)
     assert narratives.load_model(spark, path, version=1).labels == ("a", "b")
+
+
+def test_split_reader_equals_the_file_reader(spark):
+    """Records over many splits, quotes, blank lines, both line ends."""
+    import random
+
+    folder, rnd = tempfile.mkdtemp(prefix="redress-csv-"), random.Random(6)
+    words = ["plain", 'say ""hi""', "two\nlines", "\n", "end,", "", " lead", "ü日本", '""', "a\n\n\nb", "x" * 300, "back\\slash"]
+    for name, n in (("a.csv", 400), ("b.csv", 3), ("empty.csv", 0)):
+        with open(os.path.join(folder, name), "w", encoding="utf-8", newline="") as fh:
+            fh.write("id,narrative,response\n")
+            for i in range(n):
+                text = "".join(rnd.choices(words, k=rnd.randrange(0, 6)))
+                quoted = f'"{text}"' if text else rnd.choice(["", "plain text"])
+                fh.write(f"{i},{quoted},{rnd.choice(['Closed', ''])}\n" + ("\n" if name == "a.csv" and i % 50 == 7 else ""))
+    schema = "id long, narrative string, response string"
+    whole = read_narratives_csv(spark, folder, text_index=1, schema=schema)
+    want = sorted(map(tuple, whole.collect()), key=str)
+    assert len(want) == 403
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        for size in ("97", "1000", "128m"):
+            spark.conf.set(key, size)
+            got = read_narratives_split(spark, folder, schema, text_index=1)
+            assert got.columns == ["narrative_id", "narrative", "id", "response"]
+            rows = got.collect()
+            assert sorted(((r.narrative_id, r.narrative) for r in rows), key=str) == want
+            assert {(r.narrative_id, r.id) for r in rows} == {(r.narrative_id, int(r.narrative_id.split(":")[1])) for r in rows}
+        with pytest.raises(ValueError, match="header"):
+            read_narratives_split(spark, folder, "id long, text string, response string", text_index=1)
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_split_reader_with_carriage_returns(spark):
+    folder = tempfile.mkdtemp(prefix="redress-csv-")
+    with open(os.path.join(folder, "c.csv"), "w", encoding="utf-8", newline="") as fh:
+        fh.write('\ufeffnarrative,response\r\n"one\r\ntwo",Closed\r\n\r\nthree,\r\n"last ""q""",x')
+    got = read_narratives_split(spark, folder, "narrative string, response string").orderBy("narrative_id").collect()
+    assert [(r.narrative_id, r.narrative, r.response) for r in got] == [
+        ("c.csv:0", "one\r\ntwo", "Closed"), ("c.csv:1", "three", None), ("c.csv:2", 'last "q"', "x")]

@@ -75,3 +75,13 @@ def test_dispute_by_response_sql_binds_the_list(spark, frame):
     assert got == want
     one = outcomes.dispute_by_response_sql(spark, "complaints_outcomes", ["In progress"]).collect()
     assert [(r.Response, r.Dispute, r.Count_response) for r in one] == [("In progress", "True", 7)]
+
+
+def test_bound_list_reaches_the_parquet_reader(spark, frame, tmp_path):
+    frame([complaint(company_response_to_consumer=r, consumer_disputed=True) for r in ("Closed", "It's", None)]).write.parquet(str(tmp_path / "t"))
+    spark.read.parquet(str(tmp_path / "t")).createOrReplaceTempView("bound_outcomes")
+    got = outcomes.dispute_by_response_sql(spark, "bound_outcomes", ["It's", "x' OR 1=1 --"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "In(company_response_to_consumer" in plan.split("PushedFilters:")[1]
+    assert [(r.Response, r.Count_response) for r in got.collect()] == [("It's", 1)]
+    assert outcomes.dispute_by_response_sql(spark, "bound_outcomes", []).collect() == []

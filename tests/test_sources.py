@@ -99,3 +99,23 @@ def test_narrative_flag_counts_like_the_text(spark):
     flag = complaints_view(spark, SF001, ["consumer_complaint_narrative"], narrative_flag=True)
     nulls = lambda df: df.where("consumer_complaint_narrative IS NULL").count()
     assert nulls(text) == nulls(flag) > 0
+
+
+def test_catalog_columns_are_mapped_and_checked(spark):
+    import pytest
+
+    from redress.sources.complaints import read_complaints_table
+
+    spark.sql("SELECT 7 AS `Complaint ID`, 'Web' AS via, current_timestamp() AS got, 'x' AS timely_response").createOrReplaceTempView("shop")
+    names = {"complaint_id": "Complaint ID", "submitted_via": "via", "date_received": "got"}
+    with pytest.raises(ValueError, match="timely_response string as boolean"):
+        read_complaints_table(spark, "shop", names)
+    spark.table("shop").drop("timely_response").createOrReplaceTempView("shop2")
+    got = read_complaints_table(spark, "shop2", names)
+    assert dict(got.dtypes) == {"complaint_id": "bigint", "date_received": "date", "submitted_via": "string"}
+    assert got.first().submitted_via == "Web"
+    for bad in ({"complaint_id": "nowhere"}, {"no_such": "via"}):
+        with pytest.raises(ValueError):
+            read_complaints_table(spark, "shop2", bad)
+    with pytest.raises(ValueError, match="no complaint column"):
+        read_complaints_table(spark, "shop2")

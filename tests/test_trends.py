@@ -146,3 +146,9 @@ def test_default_year_and_marks(frame):
     assert years == {2012}
     assert trends.year_marks(c, 2012).first().marks == {"2012": "2012", "2014": "2014"}
     assert trends.year_marks(c, 2020).first().marks == {}
+
+
+def test_leading_issue_with_the_years_total(frame):
+    rows = [complaint(date_received=day(0), issue=x) for x in ("a", "a", "b", None)] + [complaint(date_received=day(400), issue=None)]
+    got = [tuple(r) for r in trends.top_issue_per_year(frame(rows), with_totals=True).orderBy("year").collect()]
+    assert got == [(2020, "a", 2, 4, 0.5), (2021, "Unknown", 1, 1, 1.0)]
