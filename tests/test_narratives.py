@@ -261,3 +261,32 @@ def test_split_reader_with_carriage_returns(spark):
     got = read_narratives_split(spark, folder, "narrative string, response string").orderBy("narrative_id").collect()
     assert [(r.narrative_id, r.narrative, r.response) for r in got] == [
         ("c.csv:0", "one\r\ntwo", "Closed"), ("c.csv:1", "three", None), ("c.csv:2", 'last "q"', "x")]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_common_terms_are_broadcast_whatever_the_size_of_the_model(spark):
+    texts = [(i, "common words here " * 5 + f"rare{i} rare{i}b", "xyz"[i % 3]) for i in range(60)]
+    model = narratives.train_response_model(spark.createDataFrame(texts, RECORDS), "text", "lang")
+    asked = [(None, "common rare1 rare2b unseen", None), (7, "rare3 rare3", None), (7, "unseen", None), (8, None, None), (9, "words here", None)]
+    df = spark.createDataFrame(asked, RECORDS).unionByName(spark.createDataFrame(texts, RECORDS))
+    rows = lambda d: sorted(((r.doc_id, r.prediction, round(r.probability, 12)) for r in d.collect()), key=str)
+    whole = rows(narratives.score_narratives(model, df))
+    for limit in (0, 1, 3, 50):
+        some = narratives.score_narratives(model, df, broadcast_terms=limit)
+        assert rows(some) == whole
+        common, rest = narratives._by_frequency(model, limit)
+        assert common.count() <= limit and common.count() + rest.count() == model.size
+    # what was one join of every term with a larger model
+    common, _ = narratives._by_frequency(model, 3)
+    assert {r.term for r in common.collect()} == {"common", "words", "here"}
+    assert "ResolvedHint (strategy=broadcast)" in _plan(narratives.score_narratives(model, df, broadcast_terms=3))
+
+
+def test_stored_tokens_are_the_tokens(spark):
+    df = spark.createDataFrame([(1, "One two, two_3 x", "a"), (2, "", "a"), (3, None, "a"), (4, "! x", "a"), (5, "naïve Ünï ٣٤ 日本 ½½", "a")], RECORDS)
+    kept = narratives.store_tokens(df, "text", ["doc_id"])
+    want = {1: ["one", "two", "two_3"], 2: [], 3: None, 4: [], 5: ["naïve", "ünï", "٣٤", "日本", "½½"]}
+    assert {r.doc_id: r.tokens for r in kept.collect()} == want
