@@ -290,3 +290,11 @@ def test_stored_tokens_are_the_tokens(spark):
     kept = narratives.store_tokens(df, "text", ["doc_id"])
     want = {1: ["one", "two", "two_3"], 2: [], 3: None, 4: [], 5: ["naïve", "ünï", "٣٤", "日本", "½½"]}
     assert {r.doc_id: r.tokens for r in kept.collect()} == want
+
+
+def test_fit_puts_the_counts_of_a_term_together_once(spark):
+    rows = [(1, "red red blue", "a"), (2, "blue green", "a"), (3, "green blue", "b"), (4, "red", "c"), (5, "x", "d")]
+    m = narratives.train_response_model(spark.createDataFrame(rows, RECORDS), "text", "lang", idf=True)
+    assert {r.term: r.n for r in m.terms.collect()} == {"red": 3, "blue": 3, "green": 2} and m.size == 3
+    # every use of the table grouped the counts again, through lists of labels
+    assert "collect_list" not in _plan(m.terms) and "Aggregate" not in _plan(m.terms)
