@@ -298,3 +298,15 @@ def test_fit_puts_the_counts_of_a_term_together_once(spark):
     assert {r.term: r.n for r in m.terms.collect()} == {"red": 3, "blue": 3, "green": 2} and m.size == 3
     # every use of the table grouped the counts again, through lists of labels
     assert "collect_list" not in _plan(m.terms) and "Aggregate" not in _plan(m.terms)
+
+
+def test_a_large_model_that_was_saved_without_occurrences_scores_alike(spark, tmp_path):
+    rows = [(i, f"common words t{i}x", "xy"[i % 2]) for i in range(20)]
+    df = spark.createDataFrame(rows, RECORDS)
+    fitted = narratives.train_response_model(df, "text", "lang")
+    old = narratives.NarrativeModel(fitted.terms.drop("n"), fitted.classes, fitted.labels, fitted.size)
+    narratives.save_model(old, str(tmp_path))
+    again = narratives.load_model(spark, str(tmp_path))
+    got = [sorted((r.doc_id, r.prediction, r.probability_pct) for r in narratives.score_narratives(m, df, broadcast_terms=n).collect())
+           for m, n in ((fitted, 100), (again, 100), (again, 5))]
+    assert got[0] == got[1] == got[2]
