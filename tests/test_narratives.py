@@ -310,3 +310,13 @@ def test_a_large_model_that_was_saved_without_occurrences_scores_alike(spark, tm
     got = [sorted((r.doc_id, r.prediction, r.probability_pct) for r in narratives.score_narratives(m, df, broadcast_terms=n).collect())
            for m, n in ((fitted, 100), (again, 100), (again, 5))]
     assert got[0] == got[1] == got[2]
+
+
+def test_weighted_scores_are_the_same_on_either_side_of_the_limit(spark):
+    rows = [(i, "the common words " * (i % 4) + f"t{i}x t{i % 5}y", "xyz"[i % 3]) for i in range(40)]
+    df = spark.createDataFrame(rows, RECORDS)
+    model = narratives.train_response_model(df, "text", "lang", stop_words=("the",), idf=True)
+    got = {n: sorted((r.doc_id, r.prediction, r.probability_pct) for r in narratives.score_narratives(model, df, stop_words=("the",), broadcast_terms=n).collect())
+           for n in (0, 7, narratives.BROADCAST_TERMS)}
+    assert got[0] == got[7] == got[narratives.BROADCAST_TERMS]
+    assert "ResolvedHint (strategy=broadcast)" in _plan(narratives.score_narratives(model, df, broadcast_terms=7))
