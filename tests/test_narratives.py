@@ -320,3 +320,35 @@ def test_weighted_scores_are_the_same_on_either_side_of_the_limit(spark):
            for n in (0, 7, narratives.BROADCAST_TERMS)}
     assert got[0] == got[7] == got[narratives.BROADCAST_TERMS]
     assert "ResolvedHint (strategy=broadcast)" in _plan(narratives.score_narratives(model, df, broadcast_terms=7))
+
+
+def test_a_term_crosses_the_shuffle_once_for_all_labels(spark, monkeypatch):
+    held = {}
+    plain = narratives.stored
+
+    def kept(df, name, *more):
+        held[name] = plain(df, name, *more)
+        return held[name]
+
+    monkeypatch.setattr(narratives, "stored", kept)
+    rows = [(1, "red red blue", "a"), (2, "blue red", "b"), (3, "blue", "c"), (4, None, "d"), (5, "blue", None), (6, "", "e")]
+    m = narratives.train_response_model(spark.createDataFrame(rows, RECORDS), "text", "lang")
+    # was a row per term and label, grouped and stored again as a row per term
+    assert set(held) == {"term-counts"} and sorted(r.term for r in held["term-counts"].collect()) == ["#", "blue", "red"]
+    assert m.labels == ("a", "b", "c", "e")
+    assert sorted(map(tuple, m.classes.collect())) == [("a", 1, 3), ("b", 1, 2), ("c", 1, 1), ("e", 1, 0)]
+    assert {r.term: r.n for r in m.terms.collect()} == {"red": 3, "blue": 3}
+
+
+def test_rare_terms_cross_the_shuffle_without_sums(spark):
+    rows = [(i, "common words " * 3 + f"t{i}x t{i}x", "xy"[i % 2]) for i in range(20)]
+    df = spark.createDataFrame(rows + rows[:3] + [(None, "t1x unseen", "x"), (None, "t2x", "x")], RECORDS)
+    model = narratives.train_response_model(spark.createDataFrame(rows, RECORDS), "text", "lang")
+    asked = narratives.score_narratives(model, df, broadcast_terms=2)
+    lines = asked._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    at = next(i for i, x in enumerate(lines) if "Join Inner" in x)
+    end = next((i for i in range(at + 1, len(lines)) if depth[i] <= depth[at]), len(lines))
+    assert not any("Aggregate" in x or "sha2" in x for x in lines[at:end])  # were summed up by text and term first
+    rows = lambda d: sorted(((r.doc_id, r.prediction, round(r.probability, 12)) for r in d.collect()), key=str)
+    assert rows(asked) == rows(narratives.score_narratives(model, df)) and asked.count() == 25
