@@ -1,3 +1,4 @@
+import math
 import os
 import re
 import tempfile
@@ -352,3 +353,17 @@ def test_rare_terms_cross_the_shuffle_without_sums(spark):
     assert not any("Aggregate" in x or "sha2" in x for x in lines[at:end])  # were summed up by text and term first
     rows = lambda d: sorted(((r.doc_id, r.prediction, round(r.probability, 12)) for r in d.collect()), key=str)
     assert rows(asked) == rows(narratives.score_narratives(model, df)) and asked.count() == 25
+
+
+def test_texts_that_hold_a_term_are_counted_with_its_occurrences(spark, monkeypatch):
+    names = []
+    plain = narratives.stored
+    monkeypatch.setattr(narratives, "stored", lambda df, name, *more: names.append(name) or plain(df, name, *more))
+    rows = [(1, "red red blue", "a"), (2, "blue red", "b"), (3, "blue", "c"), (4, None, "c"), (5, "blue", None)]
+    m = narratives.train_response_model(spark.createDataFrame(rows, RECORDS), "text", "lang", idf=True)
+    assert names == ["term-counts"]  # was stored by label and kind of count, and again by term
+    counts = {r.term: (r.n, [round(w, 9) for w in r.weights]) for r in m.terms.collect()}
+    idf = {"red": math.log(4 / 3), "blue": math.log(4 / 4)}
+    n = {"red": [2, 1, 0], "blue": [1, 1, 1]}
+    rest = [sum((sum(n[t]) - n[t][i]) * idf[t] for t in n) + 2 for i in range(3)]
+    assert counts == {t: (3, [round(idf[t] * -(math.log((3 - n[t][i]) * idf[t] + 1) - math.log(rest[i])), 9) for i in range(3)]) for t in n}
